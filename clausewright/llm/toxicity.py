@@ -67,7 +67,7 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0)
 
 
-def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]), l the logistic loss; Adam over all rows."""
     x = np.vstack([p, u]).astype(np.float32)
     n, m = len(p), len(u)
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     # what the unlabelled text has beyond its share of toxic documents
     rest = F.greatest(F.col("u") - prior * n_u / n_p * F.col("p"), F.lit(0.0))
     ratio = F.log((F.col("p") + 0.5) / (n_p + 1)) - F.log((rest + 0.5) / ((1 - prior) * n_u + 1))
-    best = stats.withColumns({"z": z, "ratio": ratio}).where((F.col("p") >= 3) & (F.col("z") >= 3) & (F.col("ratio") >= 2)).orderBy(F.desc("z"), "kind", "name").limit(features)
+    best = stats.withColumns({"z": z, "ratio": ratio}).where((F.col("p") >= 3) & (F.col("z") >= 2.5) & (F.col("ratio") >= 2)).orderBy(F.desc("z"), "kind", "name").limit(features)
     names = [(r["kind"], r["name"]) for r in best.select("kind", "name").collect()]  # at most ``features``
     if not names:
         return blank
