@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing, secret_scan, simhash, toxicity
+from . import bpe, chat, exact, packing, quality, secret_scan, simhash, substring, toxicity, warc
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -29,6 +29,43 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+OP2_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+v AS (SELECT DISTINCT conv_id, speaker AS view FROM t),
+s AS (SELECT t.conv_id, v.view, t.turn, t.speaker, t.text, t.speaker = v.view AS loss,
+  CASE WHEN t.speaker = v.view THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || t.speaker || chr(10) END || t.text || '<|im_end|>' || chr(10) AS segment
+  FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id),
+p AS (SELECT *, row_number() OVER w - 1 AS position, CAST(sum(length(segment)) OVER w - length(segment) AS BIGINT) AS char_start FROM s
+  WINDOW w AS (PARTITION BY conv_id, view ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, view, turn, position, speaker, segment, loss, char_start, char_start + length(segment) AS char_end,
+  CASE WHEN loss THEN char_start + 22 ELSE char_start END AS mask_start, CASE WHEN loss THEN char_start + length(segment) - 1 ELSE char_start END AS mask_end FROM p
+"""
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, list_reduce(list_transform(string_split(lower(sha1(html)), ''), lambda x: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (instr('0123456789abcdef', x) - 1)::INT + 1, 4)), lambda a, b: a || b) AS bits FROM p),
+g AS (SELECT html, min(page_id) AS least FROM p GROUP BY html)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT + 1)::INT, 1)), lambda a, b: a || b) AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM least THEN NULL ELSE least END AS refers_to
+FROM h JOIN g USING (html)
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -44,6 +81,12 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    n = (F.octet_length("ids") / 4).cast("bigint")
+    return rows.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,11 +95,33 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+a AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS start, words FROM w WHERE len(words) >= 20),
+k AS (SELECT doc_id, start, row_number() OVER (PARTITION BY array_to_string(words[start:start + 19], ' ') ORDER BY doc_id, start) AS nth FROM a),
+r AS (SELECT doc_id, list(start) AS starts FROM k WHERE nth > 1 GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM w),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM (SELECT doc_id, unnest(starts) AS s FROM r)),
+n AS (SELECT p.doc_id, count(c.i) AS n_removed, string_agg(word, ' ' ORDER BY p.i) FILTER (WHERE c.i IS NULL) AS kept FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN n USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_chat_rotation": op2_chat_rotation,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
+    "op10_substring_dedup": op10_substring_dedup,
 }
-SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
+SQL: dict[str, str] = {"op2_chat_rotation": OP2_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
