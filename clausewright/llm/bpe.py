@@ -84,7 +84,7 @@ class Bpe:
         self.pre = regex.compile(PATTERN)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._hash()
-        self.clear()
+        self.units = words.Ragged()
 
     # ranks of pairs
 
@@ -218,31 +218,14 @@ class Bpe:
 
     # texts
 
-    def clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.flat, self.n_flat = np.zeros(1 << 16, np.int64), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
     def add(self, units: list[str]) -> None:
         lists = [self.pre.findall(u) for u in units]
         place: dict[str, int] = {}
         order = np.array([place.setdefault(p, len(place)) for x in lists for p in x], np.int64)
         flat, counts = self.encode_many([p.encode() for p in place])
         start = np.cumsum(counts) - counts
-        ids = words.gather(flat, start[order], counts[order])
         ends = np.concatenate([[0], np.cumsum(counts[order])])[np.cumsum([0, *map(len, lists)])]
-        self._store(units, ids, np.diff(ends))
-
-    def _store(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, m = len(self.slot), len(names)
-        while n + m > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while self.n_flat + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
-        self.start[n : n + m], self.length[n : n + m] = self.n_flat + np.cumsum(lengths) - lengths, lengths
-        self.slot.update(zip(names, range(n, n + m)))
-        self.n_flat += len(ids)
+        self.units.store(units, words.gather(flat, start[order], counts[order]), np.diff(ends))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of each."""
@@ -255,18 +238,17 @@ class Bpe:
             elif text:
                 units += UNIT.findall(text)
             at.append(len(units))
-        distinct = set(units)
-        if len(self.slot) + len(distinct) > KEPT_UNITS:
-            self.clear()
-        new = [u for u in distinct if u not in self.slot]
+        distinct, known = set(units), self.units.slot
+        if len(known) + len(distinct) > KEPT_UNITS:
+            self.units.clear()
+            known = self.units.slot
+        new = [u for u in distinct if u not in known]
         for u in [u for u in new if u in self.special]:
-            self._store([u], np.array([self.special[u]]), np.array([1]))
+            self.units.store([u], np.array([self.special[u]]), np.array([1]))
         if new := [u for u in new if u not in self.special]:
             self.add(new)
-        slots = np.fromiter(map(self.slot.__getitem__, units), np.int64, len(units))
-        lengths = self.length[slots]
-        before = np.concatenate([[0], np.cumsum(lengths)])
-        return words.gather(self.flat, self.start[slots], lengths), np.diff(before[np.array(at)])
+        ids, ends = self.units.lists(self.units.slots(units))
+        return ids, np.diff(ends[np.array(at)])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts of the ids; bytes that aren't UTF-8 become replacement characters."""

@@ -8,11 +8,15 @@ on either side. No token is shuffled.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,75 +25,94 @@ from pyspark.sql import functions as F
 from . import words
 from .common import written
 
-#: Distinct words whose ids a Python worker keeps; beyond that it starts anew.
-KEPT_WORDS = 500_000
-#: Stands between words that are tokenized together; a word of its own in the vocabulary.
+#: Distinct words, and parts of words, whose ids a Python worker keeps; beyond that it starts anew.
+KEPT = 500_000
+#: Stands between strings that are tokenized together; a token of its own.
 BETWEEN = "\x01"
+#: Words of these characters have one normal form, so that lower-casing and the tokenizer's own pattern cut them as it does.
+PLAIN = "^[!-~\xa1-\u012f\u0131-\u024f]+$"
 
 
 class WordIds:
-    """Token ids of words, each tokenized once while it is kept.
+    """Token ids of words by the tokenizers library; a word, and a part of a word, is tokenized once while it is kept.
 
     Holds for tokenizers that drop white space, so that a text's ids are its words' ids in order.
     """
 
-    def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
+    def __init__(self, path: str, kept: int = KEPT) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
-        self.clear()
-
-    def clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.flat, self.n_flat = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def add(self, new: list[str]) -> None:
-        """Tokenizes ``new``; words go in together with BETWEEN around them, which no merge crosses."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        pattern = steps[0].get("pattern", {}).get("Regex") if steps[0].get("behavior") == "Removed" and steps[0].get("invert") else None
+        #: cuts a word into the parts that the tokenizer merges on their own; None where it isn't of this kind
+        self.parts_of = regex.compile(pattern + r"|\n").findall if pattern and kinds == ["NFC", "Replace", "Lowercase"] else None
+        self.words, self.parts = words.Ragged(), words.Ragged()
+
+    def tokenize(self, table: words.Ragged, new: list[str]) -> None:
+        """Stores the ids of ``new``; strings go in together with BETWEEN around them, which no merge crosses."""
         plain = [w for w in new if BETWEEN not in w] if self.between is not None else []
         rest = [w for w in new if BETWEEN in w] if self.between is not None else new
-        pieces: list[np.ndarray] = []
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(f" {BETWEEN} ".join(part), add_special_tokens=False).ids, np.uint32)
+        some = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        for names, found in zip(some, self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(x) for x in some], add_special_tokens=False)):
+            ids = np.array(found.ids, np.int64)
             cuts = np.flatnonzero(ids == self.between)
-            if len(cuts) != len(part) - 1:  # a word's ids hold BETWEEN's
-                rest += part
-                continue
-            self._store(part, ids[ids != self.between], np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+            if len(cuts) == len(names) - 1:
+                table.store(names, ids[ids != self.between], np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+            else:  # a string's own ids hold BETWEEN's
+                rest += names
         for w in rest:
-            pieces = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
-            self._store([w], pieces, np.array([len(pieces)]))
-
-    def _store(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, m = len(self.slot), len(names)
-        while n + m > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while self.n_flat + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
-        self.start[n : n + m], self.length[n : n + m] = self.n_flat + np.cumsum(lengths) - lengths, lengths
-        self.slot.update(zip(names, range(n, n + m)))
-        self.n_flat += len(ids)
-
-    def slots(self, names: list[str]) -> np.ndarray:
-        if len(self.slot) + len(names) > self.kept:
-            self.clear()
-        if new := [w for w in names if w not in self.slot]:
-            self.add(new)
-        return np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
+            ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.int64)
+            table.store([w], ids, np.array([len(ids)]))
+
+    def by_parts(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words one after another, and the number of each."""
+        flat = self.parts_of("\n".join(names).lower())
+        distinct = dict.fromkeys(flat)
+        if len(self.parts.slot) + len(distinct) > self.kept:
+            self.parts.clear()
+        known = self.parts.slot
+        if "\n" not in known:  # stands between words and has no ids
+            self.parts.store(["\n"], np.zeros(0, np.int64), np.zeros(1, np.int64))
+        self.tokenize(self.parts, [p for p in distinct if p not in known])
+        slots = self.parts.slots(flat)
+        ids, ends = self.parts.lists(slots)
+        return ids, np.diff(ends[np.concatenate([[0], np.flatnonzero(slots == known["\n"]), [len(slots)]])])
+
+    def whole(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of other words."""
+        if len(self.words.slot) + len(names) > self.kept:
+            self.words.clear()
+        known = self.words.slot
+        self.tokenize(self.words, [w for w in names if w not in known])
+        ids, ends = self.words.lists(self.words.slots(names))
+        return ids, np.diff(ends)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` and the number of each text."""
         codes, at, distinct = words.split(texts)
-        slots = self.slots(distinct.to_pylist())[codes] if len(codes) else np.zeros(0, np.int64)
-        lengths = self.length[slots]
-        ids = words.gather(self.flat, self.start[slots], lengths)
-        before = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, np.diff(before[at])
+        plain = np.zeros(len(distinct), bool)
+        if self.parts_of and len(distinct):
+            plain = np.asarray(pc.match_substring_regex(distinct, PLAIN))
+            if self.special:
+                plain = plain & ~np.asarray(pc.match_substring_regex(distinct, "|".join(map(re.escape, self.special))))
+        start, length, flat, done = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), [], 0
+        for mask, work in ((plain, self.by_parts), (~plain, self.whole)):
+            if mask.any():
+                ids, counts = work(distinct.filter(pa.array(mask)).to_pylist())
+                start[mask], length[mask] = done + np.cumsum(counts) - counts, counts
+                flat.append(ids)
+                done += len(ids)
+        lengths = length[codes]
+        ids = words.gather(np.concatenate(flat), start[codes], lengths) if flat else np.zeros(0, np.int64)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[at])
 
 
 _workers: dict[str, WordIds] = {}

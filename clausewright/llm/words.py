@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task handles at once; a longer text stands alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -39,3 +39,35 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     """The pieces ``flat[start:start+length]`` one after another."""
     before = np.cumsum(lengths) - lengths
     return flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+
+
+class Ragged:
+    """Lists of numbers under names: what a Python worker has worked out and keeps from task to task."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.int64), 0
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def store(self, names: list[str], numbers: np.ndarray, lengths: np.ndarray) -> None:
+        """``numbers`` holds the new names' lists one after another."""
+        n, m = len(self.slot), len(names)
+        while n + m > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+        while self.used + len(numbers) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(numbers)] = numbers
+        self.start[n : n + m], self.length[n : n + m] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.slot.update(zip(names, range(n, n + m)))
+        self.used += len(numbers)
+
+    def slots(self, names: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
+
+    def lists(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of ``slots`` one after another, and where each begins and the last ends."""
+        lengths = self.length[slots]
+        return gather(self.flat, self.start[slots], lengths), np.concatenate([[0], np.cumsum(lengths)])
