@@ -1,0 +1,430 @@
+"""Each operator against brute force on texts with nulls, blanks, copies, ties, long texts and clashing columns."""
+
+import base64
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from clausewright.llm import bpe, chat, common, exact, packing, quality, secret_scan, simhash, substring, toxicity, warc
+from clausewright.llm.queries import tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+
+def ordered(rows):
+    return sorted(map(repr, rows))
+
+
+# exact dedup
+
+
+def exact_expected(rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[low(t)].append(i)
+    out = []
+    for i, t in rows:
+        ids = [x for x in groups[low(t)] if x is not None]
+        keep = max(ids) if ids else None
+        out.append((i, keep, len(groups[low(t)]), i == keep, sha(low(t))))
+    return out
+
+
+def test_exact_groups(docs, doc_rows, no_docs):
+    assert ordered(map(tuple, exact.exact_groups(docs).collect())) == ordered(exact_expected(doc_rows))
+    assert exact.exact_groups(no_docs).count() == 0
+
+
+def test_exact_groups_with_clashing_hashes(docs, doc_rows):
+    weak = lambda c: (F.length(c) % 3).cast("bigint")
+    got = exact.recipes(docs, key=weak).groupBy("recipe").agg(F.countDistinct("text_sha256").alias("n")).where("n > 1")
+    assert got.count() == 0
+    by_text = exact.recipes(docs, key=weak).groupBy("text_sha256").agg(F.countDistinct("recipe").alias("n")).where("n > 1")
+    assert by_text.count() == 0
+    assert exact.recipes(docs, key=weak).count() == len(doc_rows)
+
+
+def test_chunks_rebuild_the_text_and_follow_content(spark):
+    text = "".join(f"Sentence number {i} of the text. " for i in range(400))
+    row = spark.createDataFrame([(text,), ("New start. " + text,)], "t string").select(exact.chunks(F.col("t")).alias("c")).collect()
+    assert "".join(row[0].c) == text and len(row[0].c) > 5
+    assert len(set(row[0].c) & set(row[1].c)) >= 1 or len(row[1].c) > 5
+
+
+def test_drop_copies_keeps_columns(docs, doc_rows):
+    out = exact.drop_copies(docs)
+    assert out.columns == docs.columns
+    kept = {(i, t) for (i, t), e in zip(doc_rows, exact_expected(doc_rows)) if e[3]}
+    assert {(r.doc_id, r.text) for r in out.collect()} == kept
+
+
+# SimHash
+
+
+def fingerprint_expected(text, width=3):
+    w = WORD.findall(low(text))
+    if not w:
+        return 0
+    shingles = [" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components_expected(items, distance):
+    """items: (id, fingerprint); the least id reachable from each."""
+    fps = sorted({f for _, f in items})
+    up = {f: f for f in fps}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if a < b and (a ^ b).bit_count() <= distance:
+                up[find(a)] = find(b)
+    least = {}
+    for i, f in items:
+        if i is not None:
+            least[find(f)] = min(i, least.get(find(f), i))
+    return [least.get(find(f)) for _, f in items]
+
+
+def test_simhash(docs, doc_rows, no_docs):
+    items = [(i, fingerprint_expected(t)) for i, t in doc_rows]
+    expected = [(i, f"{f:016x}", c) for (i, f), c in zip(items, components_expected(items, 2))]
+    assert ordered(map(tuple, simhash.near_groups(docs).collect())) == ordered(expected)
+    assert simhash.near_groups(no_docs).count() == 0
+    assert simhash.drop_near_copies(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("dense", [0, 2, 32])
+def test_simhash_links_lose_nothing(spark, dense):
+    rng = np.random.default_rng(3)
+    fps = set()
+    for base in rng.integers(0, 1 << 63, 12, dtype=np.int64).tolist() + [0, -1]:
+        for _ in range(12):
+            x = base & (1 << 64) - 1
+            for b in rng.integers(0, 64, rng.integers(0, 4)).tolist():
+                x ^= 1 << b
+            fps.add(x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(signed(x),) for x in fps], "fp bigint")
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.links(table, dense=dense).collect()}
+    expected = {(min(signed(a), signed(b)), max(signed(a), signed(b))) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
+    assert got == expected
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (1, 0)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+
+
+# packing
+
+
+def test_packing(docs, doc_rows, no_docs):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    coder = Tokenizer.from_file(path)
+    expected = Counter()
+    for i, t in doc_rows:
+        ids = np.array(coder.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        expected[i, ids.tobytes()] += 1
+    pieces = packing.pack(docs, path, length=512)
+    rows = pieces.collect()
+    whole = defaultdict(bytes)
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert len(r.ids) == 4 * r.length
+        first = r.sequence_id * 512 + r.offset - r.start
+        whole[r.doc_id, first] += r.ids
+        assert len(whole[r.doc_id, first]) == 4 * (r.start + r.length)
+    assert Counter((i, b) for (i, _), b in whole.items()) == expected
+    sizes = {r.sequence_id: r.tokens for r in packing.sequences(pieces).collect()}
+    assert sorted(sizes) == list(range(len(sizes))) and all(sizes[k] == 512 for k in sizes if k + 1 < len(sizes))
+    assert packing.pack(no_docs, path).count() == 0
+
+
+def test_word_ids_when_the_table_starts_anew(doc_rows):
+    import pyarrow as pa
+
+    table = packing.WordIds(tokenizer_path("word_bpe_49k.json"), kept=30)
+    texts = [t or "" for _, t in doc_rows if len(t or "") < 4000] + ["Straße ŒUVRE ﬁne İstanbul ΣΑΣ áb ½ ² 12"]
+    for t in texts:
+        ids, n = table.encode(pa.array([t]))
+        assert ids.tolist() == table.tokenizer.encode(t, add_special_tokens=False).ids and n.tolist() == [len(ids)]
+
+
+# BPE
+
+
+def test_bpe(docs, doc_rows, no_docs):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    coder = Tokenizer.from_file(path)
+    expected = []
+    for i, t in doc_rows:
+        ids = coder.encode(t or "", add_special_tokens=False).ids
+        expected.append((i, np.array(ids, "<u4").tobytes(), coder.decode(ids, skip_special_tokens=False)))
+    got = [(r.doc_id, bytes(r.ids), r.decoded) for r in bpe.encode_decode(docs, path).collect()]
+    assert ordered(got) == ordered(expected)
+    assert bpe.encode_decode(no_docs, path).count() == 0
+
+
+def test_segment_trees_agree():
+    coder = bpe.Bpe(tokenizer_path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(1)
+    raws = [bytes(rng.choice(list(b"aeinst th"), n).tolist()) for n in [1, 2, 3, 4, 5, 8, 9, 16, 17, 33, 64, 65, 200] for _ in range(5)]
+    ids, counts = coder.encode_many(raws)
+    assert ids.tolist() == [x for r in raws for x in coder.encode_bytes(r)] and int(counts.sum()) == len(ids)
+    assert coder.decode(np.array([coder.of_byte[0xC3]]), np.array([1])) == ["�"]
+
+
+# secrets
+
+ASSIGN = re.compile("((?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key")).replace("_?", "_?") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
+
+
+def base_expected(t):
+    spans = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(spans)
+
+
+def test_secret_base(docs, doc_rows, no_docs):
+    expected = []
+    for i, t in doc_rows:
+        spans = base_expected(t or "")
+        text = ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)
+        expected.append((i, *(sum(x[3] == k for x in spans) for k in ("assign", "access", "hex")), sha(text)))
+    got = secret_scan.scan_documents(docs)
+    assert ordered(tuple(r) for r in got.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()) == ordered(expected)
+    assert sum(x[1] for x in expected) >= 2 and sum(x[2] for x in expected) == 1 and sum(x[3] for x in expected) == 2
+    assert secret_scan.scan_documents(no_docs).count() == 0
+
+
+def p_expected(token, alphabet):
+    from math import erfc, exp, log, sqrt
+
+    x, k, n = [alphabet.index(c) for c in token], len(alphabet), len(token)
+    chi = (sum(v * v for v in Counter(token).values()) * k / n - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n)
+    high = [c >= k / 2 for c in x]
+    h = sum(high)
+    mean = 2 * h * (n - h) / n + 1
+    runs = 9.0 if h in (0, n) else abs(1 + sum(a != b for a, b in zip(high, high[1:])) - mean) / sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    m = sum(x) / n
+    square = sum((c - m) ** 2 for c in x)
+    serial = 9.0 if square <= 0 else abs(sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / square) * sqrt(n)
+    tail = lambda z: erfc(z / sqrt(2)) / 2
+    half = -sum(log(min(max(p, 1e-30), 1.0)) for p in (tail(chi), 2 * tail(runs), 2 * tail(serial)))
+    return exp(-half) * (1 + half + half * half / 2)
+
+
+def test_randomness_battery(spark):
+    rng = np.random.default_rng(5)
+    for _, alphabet, _ in secret_scan.ENCODINGS:
+        tokens = ["".join(rng.choice(list(alphabet), n)) for n in (20, 33, 90)] + [alphabet[:20], alphabet[3] * 30]
+        got = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string").select("i", secret_scan.p_value(F.col("t"), F.lit(alphabet)).alias("p")).orderBy("i").collect()
+        for r, t in zip(got, tokens):
+            assert r.p == pytest.approx(p_expected(t, alphabet), abs=2e-5)
+
+
+def test_random_strings_are_found_and_others_left(spark):
+    rng = np.random.default_rng(9)
+    b62 = secret_scan.ENCODINGS[4][1]
+    secret = ["".join(rng.choice(list(b62), 40)) for _ in range(300)]
+    plain = [f"Chapter1SectionAbout{w}Regulations" for w in "aaaaaa bbbbbb cccccc dddddd".split()] * 20
+    rows = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(secret + plain)], "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan_documents(rows).collect()}
+    hit = sum("random:4:44" in got[i] for i in range(300))
+    assert hit >= 250
+    assert sum("random" in got[i] for i in range(300, 380)) <= 0.1 * hit
+
+
+def test_redaction(docs, doc_rows):
+    out = {r.doc_id: r.text for r in secret_scan.redact_documents(docs).where("doc_id is not null").collect()}
+    assert secret_scan.redact_documents(docs).columns == docs.columns
+    assert "abc123XYZ" not in out[15] and "[SECRET]" in out[15] and out[15].endswith("secret : token : abcdefgh") is ("token : abcdefgh" in out[15])
+    same = {i: t for i, t in doc_rows if i is not None and not base_expected(t or "") and i != 17}
+    assert all(out[i] == t for i, t in same.items())
+    assert len(out) == len({i for i, _ in doc_rows if i is not None})
+
+
+# substring dedup
+
+
+def repeats_expected(rows, width):
+    docs = sorted(((i is None, i or 0, t or "", n) for n, (i, t) in enumerate(rows)))
+    seen, out = set(), {}
+    marks = []
+    for _, _, t, n in docs:
+        w = WORD.findall(t)
+        gone = [False] * len(w)
+        for a in range(len(w) - width + 1):
+            window = tuple(w[a : a + width])
+            if window in seen:
+                gone[a : a + width] = [True] * width
+            seen.add(window)
+        marks.append((n, w, gone))
+    for n, w, gone in marks:
+        out[n] = (rows[n][0], len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
+    return list(out.values())
+
+
+def test_substring_dedup(docs, doc_rows, no_docs):
+    got = substring.remove_repeats(docs)
+    rows = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()]
+    assert ordered(rows) == ordered(repeats_expected(doc_rows, 20))
+    for r in got.where("size(removed) > 0").collect():
+        assert sum(x.end - x.first for x in r.removed) == r.n_removed
+    assert substring.remove_repeats(no_docs).count() == 0
+
+
+# quality rules
+
+
+def quality_expected(text):
+    t = text or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_quality(spark, docs, doc_rows, no_docs):
+    labels = spark.createDataFrame([(4, 1, 0), (12, 1, 0), (24, 0, 0), (None, 1, 0), (4, None, None)], "doc_id bigint, quality int, toxic int")
+    got = quality.rate(docs, labels, n=256)
+    rows = [(r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)) for r in got.collect()]
+    assert ordered(rows) == ordered((i, quality_expected(t)) for i, t in doc_rows)
+    # the ratio by hand
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    one = lambda x, seed=42: xxhash.xxh64_intdigest(x.encode(), seed)
+
+    def grams(t):
+        w = WORD.findall(t or "")
+        return [signed(one(x)) % 256 for x in w] + [signed(one(b, one(a))) % 256 for a, b in zip(w, w[1:])]
+
+    raw = Counter(g for _, t in doc_rows for g in grams(t))
+    good = Counter(g for i, t in doc_rows if i in (4, 12) for g in grams(t))
+    total = [sum(c.values()) + 256 for c in (good, raw)]
+    ratio = lambda t: np.mean([np.log((good[g] + 1) / total[0]) - np.log((raw[g] + 1) / total[1]) for g in grams(t)]) if grams(t) else 0.0
+    by_id = {r.doc_id: r for r in got.collect() if r.doc_id is not None}
+    for i, t in doc_rows:
+        if i is not None:
+            assert by_id[i].ratio == pytest.approx(ratio(t), abs=1e-9)
+            assert by_id[i].kept == (not by_id[i].base_failed and by_id[i].ratio >= quality.LEAST_RATIO)
+    assert quality.rate(no_docs, labels).count() == 0
+    assert quality.rate(docs, labels.where("false")).where("ratio <> 0").count() == 0
+
+
+# toxicity
+
+
+def test_toxicity(spark, docs, doc_rows, no_docs):
+    rng = np.random.default_rng(2)
+    plain, bad = [f"word{i}" for i in range(300)], ["vilest", "rotten", "cretin"]
+    texts, labels = [], []
+    for i in range(1200):
+        w = list(rng.choice(plain, 40))
+        toxic = i % 6 == 0
+        if toxic:
+            w[:3] = list(rng.choice(bad, 3))
+        texts.append((i, " ".join(w)))
+        if i % 2 == 0 or toxic and i % 4:
+            labels.append((i, 1, int(toxic)))
+    table = spark.createDataFrame(texts, "doc_id bigint, text string")
+    known = spark.createDataFrame(labels + [(None, 1, 1), (5, 1, None)], "doc_id bigint, quality int, toxic int")
+    got = toxicity.score_documents(table, known).collect()
+    assert len(got) == 1200
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.predicted == (r.doc_id % 6 == 0) for r in held]) > 0.97
+    # flipping held-out labels changes nothing
+    flipped = known.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert {r.doc_id: r.score for r in toxicity.score_documents(table, flipped).collect()} == {r.doc_id: r.score for r in got}
+    # odd tables
+    odd = toxicity.score_documents(docs, known).collect()
+    assert len(odd) == len(doc_rows) and all(0 <= r.score <= 1 for r in odd)
+    assert toxicity.score_documents(no_docs, known).count() == 0
+    assert toxicity.score_documents(docs, known.where("false")).count() == len(doc_rows)
+    assert toxicity.drop_toxic(docs, known.where("false")).columns == docs.columns
+
+
+# WARC
+
+PAGES = [(1, "http://a", "<p>one</p>"), (2, None, None), (3, "http://c\nd%", ""), (4, "http://d", "<p>one</p>"), (5, "e", "é" * 70000), (6, "f", "<p>one</p>"), (None, "g", "<p>one</p>"), (7, "h", "\r\n\r\nWARC/1.1\r\n\x1f\x8b\x08"), (8, "i", "tail")]
+
+
+def warc_expected(pages):
+    least = {}
+    for i, _, h in pages:
+        if i is not None:
+            least[h or ""] = min(i, least.get(h or "", i))
+    out = []
+    for i, u, h in pages:
+        raw = (h or "").encode()
+        again = least.get(h or "") != i and len([1 for _, _, x in pages if (x or "") == (h or "")]) > 1
+        out.append((i, u, "revisit" if again else "response", least[h or ""] if again else None, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode()))
+    return out
+
+
+@pytest.mark.parametrize("split", [50, 1000, 1 << 25])
+def test_warc(spark, split):
+    pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").withColumn("key", F.lit(1)).repartition(2)
+    got = warc.archive(pages, split_bytes=split)
+    assert ordered(tuple(r) for r in got.drop("payload").collect()) == ordered(warc_expected(PAGES))
+    assert {r.page_id: bytes(r.payload).decode() for r in got.where("record_type = 'response' and page_id is not null").collect()} == {i: h or "" for i, _, h in PAGES if i not in (3, 4, 6, None)}
+    assert warc.archive(pages.where("false")).count() == 0
+    assert warc.archive(pages, least_bytes=1000).where("record_type = 'revisit'").count() == 0
+
+
+def test_warc_rejects_false_magic(tmp_path):
+    import pyarrow as pa
+
+    good = warc.member(1, "u", "response", None, b"x")
+    raw = b"junk\x1f\x8b\x08" + good + zlib.compress(b"other") + b"\x1f\x8b\x08\x00" + good
+    (tmp_path / "f").write_bytes(raw)
+    with pa.OSFile(str(tmp_path / "f")) as f:
+        whole = list(warc.records(f, 0, len(raw)))
+        assert len(whole) == 2
+        for cut in range(0, len(raw), 37):
+            assert len(list(warc.records(f, 0, cut))) + len(list(warc.records(f, cut, len(raw)))) == 2
+
+
+# chat
+
+
+def test_chat(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "bob", None), (1, 2, None, "x"), (1, 600, "user", "late"), (1, 1500, "bob", "later"), (2, 0, "user", ""), (2, 0, "user", ""), (None, None, "a", "b"), (None, 3, "c", "d")]
+    table = spark.createDataFrame([(*t, "z") for t in turns], "conv_id bigint, turn bigint, role string, text string, block string")
+    got = chat.rotate(table).collect()
+    plain = [(c, n, r or "unknown", t or "") for c, n, r, t in turns]
+    expected = []
+    for conv in {c for c, *_ in plain}:
+        own = sorted((n if n is not None else -1, r, t, n) for c, n, r, t in plain if c == conv)
+        for view in {r for _, r, _, _ in own}:
+            done = ""
+            for k, (_, r, t, n) in enumerate(own):
+                head = "<|im_start|>assistant\n" if r == view else f"<|im_start|>user name={r}\n"
+                seg = head + t + "<|im_end|>\n"
+                a, b = len(done), len(done) + len(seg)
+                expected.append((conv, view, n, k, r, seg, r == view, a, b, a + len(head) if r == view else a, b - 1 if r == view else a))
+                done += seg
+    assert ordered(tuple(r) for r in got) == ordered(expected)
+    assert chat.rotate(table.where("false")).count() == 0
