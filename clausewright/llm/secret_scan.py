@@ -58,13 +58,11 @@ def found(text: Column, pattern: str, group: int, least: int, kind: str) -> Colu
     return F.coalesce(F.when(text.rlike(pattern), spans).otherwise(none), empty)
 
 
-def _erfc_tail(z: Column) -> Column:
+def upper_tail(z: Column) -> Column:
     """P(Z > z) of the normal distribution; Abramowitz and Stegun 26.2.17."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    upper = F.exp(-a * a / 2) * 0.3989422804014327 * poly
-    return F.when(z >= 0, upper).otherwise(1 - upper)
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    poly = let(t, lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))
+    return let(F.exp(-z * z / 2) * 0.3989422804014327 * poly, lambda upper: F.when(z >= 0, upper).otherwise(1 - upper))
 
 
 def encoding(token: Column) -> Column:
@@ -78,30 +76,44 @@ def encoding(token: Column) -> Column:
 def p_value(token: Column, alphabet: Column) -> Column:
     """Fisher's combination of the three tests; close to 0 where the token isn't random in its alphabet."""
 
-    def tests(v: Column) -> Column:
+    # each struct is bound once: a lambda would work out an expression anew for every element
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+    before = lambda x, i: F.get(x, F.greatest(i - 1, F.lit(0)))
+
+    def counted(v: Column) -> Column:
         x, k, n = v["x"], v["k"], v["n"]
-        total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
-        # Pearson's statistic by its exact mean and variance
-        squares = total(F.transform(F.array_distinct(x), lambda c: F.pow(n - F.size(F.array_remove(x, c)), F.lit(2.0))))
-        chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-        # runs above and below the alphabet's middle
-        high = total(F.transform(x, lambda c: F.when(c >= k / 2, 1.0).otherwise(0.0)))
-        low = n - high
-        turns = total(F.transform(x, lambda c, i: F.when((i > 0) & ((c >= k / 2) != (F.get(x, F.greatest(i - 1, F.lit(0))) >= k / 2)), 1.0).otherwise(0.0)))
-        mean = 2 * high * low / n + 1
+        return F.struct(
+            x.alias("x"), k.alias("k"), n.alias("n"), (total(x) / n).alias("centre"),
+            total(F.transform(F.array_distinct(x), lambda c: F.pow(n - F.size(F.array_remove(x, c)), F.lit(2.0)))).alias("squares"),
+            total(F.transform(x, lambda c: F.when(c >= k / 2, 1.0).otherwise(0.0))).alias("high"),
+            total(F.transform(x, lambda c, i: F.when((i > 0) & ((c >= k / 2) != (before(x, i) >= k / 2)), 1.0).otherwise(0.0))).alias("turns"),
+        )
+
+    def moments(v: Column) -> Column:
+        x, n, high, centre = v["x"], v["n"], v["high"], v["centre"]
+        return F.struct(
+            v["k"].alias("k"), n.alias("n"), v["squares"].alias("squares"), high.alias("high"), v["turns"].alias("turns"),
+            (2 * high * (n - high) / n + 1).alias("mean"),
+            total(F.transform(x, lambda c: (c - centre) * (c - centre))).alias("square"),
+            total(F.transform(x, lambda c, i: F.when(i > 0, (c - centre) * (before(x, i) - centre)).otherwise(0.0))).alias("product"),
+        )
+
+    def normal(v: Column) -> Column:
+        k, n, mean = v["k"], v["n"], v["mean"]
+        # Pearson's statistic by its exact mean and variance; runs above and below the alphabet's middle; lag one
+        chi = (v["squares"] * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
         spread = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
-        runs = F.when((high == 0) | (low == 0), F.lit(9.0)).otherwise(F.abs(turns + 1 - mean) / F.sqrt(spread))
-        centre = total(x) / n
-        square = total(F.transform(x, lambda c: (c - centre) * (c - centre)))
-        product = total(F.transform(x, lambda c, i: F.when(i > 0, (c - centre) * (F.get(x, F.greatest(i - 1, F.lit(0))) - centre)).otherwise(0.0)))
-        serial = F.when(square <= 0, F.lit(9.0)).otherwise(F.abs(product / square) * F.sqrt(n))
-        p = [F.greatest(_erfc_tail(chi), F.lit(1e-30)), F.greatest(2 * _erfc_tail(runs), F.lit(1e-30)), F.greatest(2 * _erfc_tail(serial), F.lit(1e-30))]
-        half = -sum(F.log(F.least(q, F.lit(1.0))) for q in p)
-        return F.exp(-half) * (1 + half + half * half / 2)  # chi-squared tail of 6 degrees at 2 * half
+        runs = F.when((v["high"] == 0) | (v["high"] == n), F.lit(9.0)).otherwise(F.abs(v["turns"] + 1 - mean) / F.sqrt(spread))
+        serial = F.when(v["square"] <= 0, F.lit(9.0)).otherwise(F.abs(v["product"] / v["square"]) * F.sqrt(n))
+        return F.array(F.struct(chi.alias("z"), F.lit(1.0).alias("sides")), F.struct(runs.alias("z"), F.lit(2.0).alias("sides")), F.struct(serial.alias("z"), F.lit(2.0).alias("sides")))
+
+    def fisher(zs: Column) -> Column:
+        half = -total(F.transform(zs, lambda t: F.log(F.least(F.greatest(t["sides"] * upper_tail(t["z"]), F.lit(1e-30)), F.lit(1.0)))))
+        return let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))  # chi-squared tail of 6 degrees at 2 * half
 
     chars = F.filter(F.split(token, ""), lambda c: c != "")
     index = F.transform(chars, lambda c: (F.call_function("locate", c, alphabet) - 1).cast("double"))
-    return let(F.struct(index.alias("x"), F.length(alphabet).cast("double").alias("k"), F.length(token).cast("double").alias("n")), tests)
+    return let(F.struct(index.alias("x"), F.length(alphabet).cast("double").alias("k"), F.length(token).cast("double").alias("n")), lambda v: let(counted(v), lambda c: let(moments(c), lambda m: let(normal(m), fisher))))
 
 
 def length_class(n: Column) -> Column:
@@ -116,9 +128,13 @@ def candidates(text: Column) -> Column:
     spans = found(text, CANDIDATE, 0, 20, "random")
 
     def tested(span: Column) -> Column:
+        def of(v: Column) -> Column:
+            step = F.least(F.floor(p_value(v["t"], v["c"]["alphabet"]) * STEPS), F.lit(STEPS - 1)).cast("int")
+            group = F.concat_ws("-", v["c"]["name"], length_class(F.length(v["t"])).cast("string"))
+            return F.struct(span["s"].alias("s"), span["e"].alias("e"), group.alias("group"), F.when(v["c"].isNotNull(), step).alias("step"))
+
         token = F.substring(text, span["s"] + 1, span["e"] - span["s"])
-        # the encoding, once, then the tests
-        return let(F.struct(token.alias("t"), encoding(token).alias("c")), lambda v: F.struct(span["s"].alias("s"), span["e"].alias("e"), F.concat_ws("-", v["c"]["name"], length_class(F.length(v["t"])).cast("string")).alias("group"), F.when(v["c"].isNotNull(), F.least(F.floor(p_value(v["t"], v["c"]["alphabet"]) * STEPS), F.lit(STEPS - 1))).cast("int").alias("step")))
+        return let(let(token, lambda t: F.struct(t.alias("t"), encoding(t).alias("c"))), of)
 
     return F.filter(F.transform(spans, tested), lambda x: x["step"].isNotNull())
 
