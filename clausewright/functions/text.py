@@ -83,7 +83,7 @@ def defined_term(text: Column) -> Column:
 
 def marker_date(text: Column) -> Column:
     """The date of "with effect from <Month d, yyyy>", or null."""
-    return F.try_to_date(F.regexp_extract(text, r"(?i)with effect from\s+([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})", 1), F.lit("MMMM d, yyyy"))
+    return F.try_to_date(F.regexp_extract(text, r"(?i)with effect from\s+([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})", 1), "MMMM d, yyyy")
 
 
 def uses_term(text: Column, term: Column) -> Column:
@@ -114,7 +114,7 @@ def days_in_words(days: Column) -> Column:
 
 def located(text: Column, quote: Column, least: int = 12) -> Column:
     """Struct (s, e) of the quote's first place, or null; quotes shorter than ``least`` without a last full stop aren't looked up."""
-    wanted = F.regexp_replace(F.trim(quote), r"\.+$", "")
+    wanted = F.regexp_replace(F.trim(quote), r"\.+\z", "")
     at = F.call_function("instr", text, wanted)
     return F.when((F.length(wanted) >= least) & (at > 0), F.struct((at - 1).alias("s"), (at - 1 + F.length(wanted)).alias("e")))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical
+from ..session import settled
 from .spans import own_segments, overlap_join, shared_length
 
 #: The marks that open a clause, and words that say a text sets a rule or defines a term.
@@ -115,7 +116,8 @@ def clause_tree(blocks: DataFrame) -> DataFrame:
         frame.insert(0, "doc", part["doc"].iloc[0])
         return frame
 
-    opened = placed.groupBy("doc").applyInPandas(build, f"doc {kind}, ref string, label string, kind string, depth int, parent_ref string, chapter string, section string, s bigint, amended_by array<string>")
+    # settled, since spans, runs and limits below all start from it
+    opened = settled(placed.groupBy("doc").applyInPandas(build, f"doc {kind}, ref string, label string, kind string, depth int, parent_ref string, chapter string, section string, s bigint, amended_by array<string>"))
     heads = placed.where("is_heading").select("doc", F.col("s").alias("at"), F.lit(0).alias("d"))
     size = placed.groupBy("doc").agg(F.max("e").alias("length"))
     limits = opened.select("doc", F.col("s").alias("at"), F.col("depth").alias("d")).unionByName(heads)
@@ -167,6 +169,7 @@ def units(clauses: DataFrame, texts: DataFrame, levels: int = 8) -> DataFrame:
     parents = clauses.where("parent_ref IS NOT NULL").select("doc", F.col("parent_ref").alias("ref")).distinct().withColumn("has_child", F.lit(True))
     nodes = q.join(parents, ["doc", "ref"], "left").withColumn("unit_kind", F.when(F.coalesce("section", F.lit("")).rlike(r"(?i)\bdefinitions?\b"), "definition").otherwise("provision"))
     whole = ((F.length("quote") <= UNIT_CHARS) & (F.col("unit_kind") == "provision")) | F.col("has_child").isNull()
+    nodes = settled(nodes)
     level = nodes.where("depth = 1").withColumn("context", F.lit(""))
     out = None
     for _ in range(levels):
@@ -208,7 +211,7 @@ def passages(clauses: DataFrame, texts: DataFrame, covered: DataFrame) -> DataFr
     text = F.regexp_replace(strip(piece), r"\s+$", "")
     found = each.select("doc", "ref", (F.col("s") + F.col("p.s") + lead).alias("s"), text.alias("text")).withColumn("e", F.col("s") + F.length("text")).where(F.length("text") >= LEAST_PASSAGE)
     pairs = overlap_join(found, covered.select("doc", "s", "e"), ["doc"], how="left_outer")
-    inside = pairs.groupBy("doc", "ref", "s", "e", "text").agg(F.coalesce(F.sum(shared_length(F.col("s"), F.col("e"), F.col("r_s"), F.col("r_e"))), F.lit(0)).alias("inside"))
+    inside = pairs.groupBy("doc", "ref", "s", "e", "text").agg(F.coalesce(F.sum(F.when(F.col("r_s").isNotNull(), shared_length(F.col("s"), F.col("e"), F.col("r_s"), F.col("r_e")))), F.lit(0)).alias("inside"))
     return inside.where(F.col("inside") < COVERED * (F.col("e") - F.col("s"))).select("doc", "ref", "s", "e", "text")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -23,3 +25,12 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` worked out once and kept in the shared checkpoint folder, so that what follows starts from files that survive lost executors."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="clausewright-"))
+    return df.checkpoint()
