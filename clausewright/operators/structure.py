@@ -157,7 +157,8 @@ def own_text(clauses: DataFrame, texts: DataFrame) -> DataFrame:
     child = clauses.select("doc", F.col("parent_ref").alias("ref"), F.col("s").alias("child_s"))
     first = clauses.select("doc", "ref", "s", "e").join(child, ["doc", "ref"], "left").groupBy("doc", "ref", "s", "e").agg(F.min(F.when(F.col("child_s") > F.col("s"), F.col("child_s"))).alias("first"))
     cut = first.join(texts, "doc")
-    return cut.select("doc", "ref", F.trim(F.substring("text", F.col("s").cast("int") + 1, (F.coalesce("first", "e") - F.col("s")).cast("int"))).alias("own"))
+    own = F.substring("text", F.col("s").cast("int") + 1, (F.coalesce("first", "e") - F.col("s")).cast("int"))
+    return cut.select("doc", "ref", F.regexp_replace(own, r"^\s+|\s+$", "").alias("own"))
 
 
 def units(clauses: DataFrame, texts: DataFrame, levels: int = 8) -> DataFrame:
