@@ -37,7 +37,9 @@ def clashing(docs: DataFrame, text: str = "text", key=chunk_hash) -> DataFrame:
     """
     each = docs.select(F.explode(chunks(normalised(F.col(text)))).alias("chunk"))
     distinct = each.select(key(F.col("chunk")).alias("hash"), "chunk").distinct()
-    shared = distinct.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    shared = written(distinct.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "shared-hashes")
+    if shared.isEmpty():
+        return shared.select("hash", F.lit("").alias("chunk"), F.lit(0).alias("ordinal"))
     rows = distinct.join(shared, "hash", "left_semi")
     # texts of one hash are few: they got there by a clash of 64-bit hashes
     by_hash = rows.groupBy("hash").agg(F.array_sort(F.collect_set("chunk")).alias("all"))
@@ -50,7 +52,7 @@ def recipes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key=chu
     Equal recipes mean equal normalised texts: an identifier is a chunk's hash where one chunk has it, and
     the hash with an ordinal where several share it.
     """
-    clash = written(clashing(docs, text, key), "chunk-clashes")
+    clash = clashing(docs, text, key)
     norm = normalised(F.col(text))
     plain = docs.select(F.col(doc_id).alias("doc_id"), norm.alias("norm"))
     parts = chunks(F.col("norm"))
