@@ -126,7 +126,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", doc_id:
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    batches = ranges = 2 * parts
+    batches = ranges = parts
     keyed = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     keyed = keyed.withColumn("batch", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(batches)).cast("int"))
     # one shuffle of the texts, read by the three steps below
