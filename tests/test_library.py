@@ -244,3 +244,31 @@ def test_streamed_changes(spark, tmp_path):
     run.awaitTermination(120)
     got = [r.transition for r in spark.read.parquet(f"file://{tmp_path}/out").orderBy("window_start").collect()]
     assert got == ["newly_failing", "still_failing", "recovered"]
+
+
+# planted edits and wording
+
+
+def test_mutation(spark):
+    from clausewright.operators import mutate
+
+    docs = spark.createDataFrame([(1, "Keep  records for ten years. Report at once. Keep it."), (2, "Nothing to see. Report at once.")], "doc_id int, text string")
+    edits = spark.createDataFrame([("a", "ten years", "five years and more", False), ("b", "Report at once.", "", True), ("c", "absent", "x", False), ("d", "Keep", "Hold", False)], "edit_id string, find string, replacement string, every boolean")
+    assert {r.edit_id: (r.total, r.applies) for r in mutate.checked(docs, edits).collect()} == {"a": (1, True), "b": (2, True), "c": (0, False), "d": (2, False)}
+    changed = mutate.mutated(docs, edits)
+    text = {r.doc_id: r.text for r in changed.collect()}
+    assert text == {1: "Keep records for five years and more. Keep it.", 2: "Nothing to see."}
+    for r in mutate.answer_key(changed, edits).collect():
+        if r.edit_id == "a":
+            assert text[1][r.start : r.end] == "five years and more"
+        else:
+            assert r.start == r.end and r.deleted_text == "Report at once."
+
+
+def test_wording(spark):
+    from clausewright.functions import display as D
+
+    r = one(spark, D.without_tags(F.lit("Report it, as in the obligation O2 .")).alias("a"), D.unfaithful(F.lit("(2) Banks shall not wait ten days"), F.lit("Banks may wait 12 days")).alias("b"), D.predates(F.lit("2024-01-05").cast("date"), F.lit("approved"), F.lit("2025-06-12").cast("date")).alias("c"), D.without_tags(F.lit("no tag  here")).alias("d"))
+    assert r.a == "Report it." and r.d == "no tag  here"
+    assert r.b == ["drops: ten", "adds: 12", "the prohibition is lost", "the duty is no longer mandatory"]
+    assert r.c == "The policy's own date (approved 5 Jan 2024) is earlier than the amendment to this paragraph (in effect from 12 Jun 2025)."
