@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .common import small_batches
 
 #: The pattern of byte-level BPE, with white space as Unicode has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -284,5 +285,6 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: s
                 blob = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype("<u4").tobytes())])
                 yield pa.RecordBatch.from_arrays([some["doc_id"], blob, pa.array(coder.decode(ids, counts), pa.string())], ["doc_id", "ids", "decoded"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, ids binary, decoded string")

@@ -44,6 +44,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of ``size`` bytes, so that a task's JVM and Python worker hold little text at once; a size that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("67108864b", "64m"):
+        spark.conf.set(key, size)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is evaluated once however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .common import small_batches
 
 #: The fit's bounds: confirmed toxic documents, unlabelled documents, features.
 POSITIVES, UNLABELLED, FEATURES = 3000, 6000, 512
@@ -94,6 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     ``unlabelled`` labelled documents at most, those of the smallest hashes of doc_id. Without a toxic label,
     or with none but toxic ones, the model has no features and scores every text with the prior.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     total, toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()

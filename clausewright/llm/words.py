@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task handles at once; a longer text stands alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -37,8 +37,11 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The pieces ``flat[start:start+length]`` one after another."""
-    before = np.cumsum(lengths) - lengths
-    return flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    shift = (starts - (ends - lengths)).astype(kind)
+    return flat[np.repeat(shift, lengths) + np.arange(total, dtype=kind)]
 
 
 class Ragged:
@@ -49,8 +52,8 @@ class Ragged:
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int64), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.start, self.length = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def store(self, names: list[str], numbers: np.ndarray, lengths: np.ndarray) -> None:
         """``numbers`` holds the new names' lists one after another."""
