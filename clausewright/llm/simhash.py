@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, let, written
+from .common import components, let, small_batches, written
 
 #: Distinct fingerprints of one variant that are compared with each other; more of them take the two-wildcard index.
 DENSE = 32
@@ -48,6 +48,7 @@ def fingerprints(docs: DataFrame, width: int = 3, text: str = "text", doc_id: st
             fps = np.array([fingerprint(t, width) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, fp bigint")
 
@@ -81,7 +82,8 @@ def links(fps: DataFrame, distance: int = 2, dense: int = DENSE) -> DataFrame:
     keyed = one_wildcard(fps)
     counts = keyed.groupBy("bit", "rest").agg(F.count("*").alias("n")).where("n > 1")
     counts = written(counts, "simhash-variants")
-    shared = written(keyed.join(counts, ["bit", "rest"]), "simhash-shared")
+    # a shuffle whatever the size: shared variants grow with the documents, so that a broadcast would only serve small tables
+    shared = written(keyed.join(counts.hint("merge"), ["bit", "rest"]), "simhash-shared")
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= distance
     # at most ``dense`` in a group here
     groups = shared.where(F.col("n") <= dense).groupBy("bit", "rest").agg(F.array_sort(F.collect_list("fp")).alias("all"))
