@@ -23,10 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import words
-from .common import written
+from .common import small_batches, written
 
 #: Distinct words, and parts of words, whose ids a Python worker keeps; beyond that it starts anew.
-KEPT = 500_000
+KEPT = 1_000_000
+#: Bytes of text that are tokenized at once: the more, the fewer times a word is looked up.
+SLICE_BYTES = 8 << 20
 #: Stands between strings that are tokenized together; a token of its own.
 BETWEEN = "\x01"
 #: Words of these characters have one normal form, so that lower-casing and the tokenizer's own pattern cut them as it does.
@@ -60,9 +62,9 @@ class WordIds:
         """Stores the ids of ``new``; strings go in together with BETWEEN around them, which no merge crosses."""
         plain = [w for w in new if BETWEEN not in w] if self.between is not None else []
         rest = [w for w in new if BETWEEN in w] if self.between is not None else new
-        some = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        for names, found in zip(some, self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(x) for x in some], add_special_tokens=False)):
-            ids = np.array(found.ids, np.int64)
+        for i in range(0, len(plain), 4000):
+            names = plain[i : i + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(names)], add_special_tokens=False)[0].ids, np.int64)
             cuts = np.flatnonzero(ids == self.between)
             if len(cuts) == len(names) - 1:
                 table.store(names, ids[ids != self.between], np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
@@ -72,9 +74,10 @@ class WordIds:
             ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.int64)
             table.store([w], ids, np.array([len(ids)]))
 
-    def by_parts(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def by_parts(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain words one after another, and the number of each."""
-        flat = self.parts_of("\n".join(names).lower())
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), "\n")[0].as_py()
+        flat = self.parts_of(lines.lower())
         distinct = dict.fromkeys(flat)
         if len(self.parts.slot) + len(distinct) > self.kept:
             self.parts.clear()
@@ -86,8 +89,9 @@ class WordIds:
         ids, ends = self.parts.lists(slots)
         return ids, np.diff(ends[np.concatenate([[0], np.flatnonzero(slots == known["\n"]), [len(slots)]])])
 
-    def whole(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def whole(self, words_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of other words."""
+        names = words_.to_pylist()
         if len(self.words.slot) + len(names) > self.kept:
             self.words.clear()
         known = self.words.slot
@@ -103,10 +107,10 @@ class WordIds:
             plain = np.asarray(pc.match_substring_regex(distinct, PLAIN))
             if self.special:
                 plain = plain & ~np.asarray(pc.match_substring_regex(distinct, "|".join(map(re.escape, self.special))))
-        start, length, flat, done = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), [], 0
+        start, length, flat, done = np.zeros(len(distinct), np.int32), np.zeros(len(distinct), np.int32), [], 0
         for mask, work in ((plain, self.by_parts), (~plain, self.whole)):
             if mask.any():
-                ids, counts = work(distinct.filter(pa.array(mask)).to_pylist())
+                ids, counts = work(distinct.filter(pa.array(mask)))
                 start[mask], length[mask] = done + np.cumsum(counts) - counts, counts
                 flat.append(ids)
                 done += len(ids)
@@ -132,7 +136,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "tex
         table, part, done = word_ids(tokenizer), TaskContext.get().partitionId(), 0
         kind = "<u2" if table.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
-            for some in words.slices(batch):
+            for some in words.slices(batch, limit=SLICE_BYTES):
                 ids, counts = table.encode(some["text"])
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype(kind)
                 counts = counts + 1
@@ -143,6 +147,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "tex
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "part_start", "tokens", "ids"])
                 done += int(ends[-1])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, part int, part_start bigint, tokens bigint, ids binary")
 
