@@ -21,11 +21,16 @@ BUCKETS, TRUSTED, SMOOTHING = 1 << 14, 20_000, 1.0
 LEAST_RATIO = -0.1
 
 
-def buckets(w: Column, n: int) -> Column:
-    """Buckets of the words and of the pairs of neighbours of a word array."""
-    ones = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(n)).cast("int"))
-    after = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), after, lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(n)).cast("int"))
+def word_hashes(text: Column) -> Column:
+    """64-bit hashes of a text's words; all that follows works on these."""
+    return F.transform(words_of(text), lambda x: F.xxhash64(x))
+
+
+def buckets(h: Column, n: int) -> Column:
+    """Buckets of the words and of the pairs of neighbours, from an array of word hashes."""
+    ones = F.transform(h, lambda x: F.pmod(x, F.lit(n)).cast("int"))
+    short = F.greatest(F.size(h) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(h, 1, short), F.slice(h, 2, short), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(n)).cast("int"))
     return F.concat(ones, pairs)
 
 
@@ -38,7 +43,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, trusted: in
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("trusted_id")).distinct()
     good = good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(trusted)
     marked = docs.join(F.broadcast(good), docs["doc_id"] == good["trusted_id"], "left")  # at most ``trusted`` rows
-    each = marked.select(F.col("trusted_id").isNotNull().cast("bigint").alias("good"), F.explode(buckets(words_of(docs["text"]), n)).alias("bucket"))
+    each = marked.select(F.col("trusted_id").isNotNull().cast("bigint").alias("good"), F.explode(let(word_hashes(docs["text"]), lambda h: buckets(h, n))).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()  # one row for each bucket
     raw, target = [SMOOTHING] * n, [SMOOTHING] * n
     for r in counts:
@@ -51,7 +56,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, trusted: in
 
 
 def repeated_words(w: Column, width: int = 8) -> Column:
-    """Words that lie in windows of ``width`` words found twice or more in the array."""
+    """Words that lie in windows of ``width`` words found twice or more, from an array of word hashes."""
     hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
 
     def covered(ordered: Column) -> Column:
@@ -83,7 +88,7 @@ def rate(docs: DataFrame, labels: DataFrame, least_ratio: float = LEAST_RATIO, n
         F.length(no_space).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-        let(words_of(text), lambda w: F.struct(
+        let(word_hashes(text), lambda w: F.struct(
             F.size(w).cast("bigint").alias("n_words"),
             repeated_words(w).alias("n_repeat_words"),
             let(buckets(w, n), lambda b: F.when(F.size(b) == 0, 0.0).otherwise(F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(table, x)) / F.size(b))).alias("ratio"),

@@ -2,7 +2,7 @@
 
 Documents are dealt into batches by doc_id. Each batch hashes all its windows; Spark counts the hashes, first
 by a short form (40 bits in each of many ranges), which rules out the windows that occur once, then by two
-64-bit hashes, which settle where a repeated window occurs first. Each batch sends a hash once however often
+independent hashes of 104 bits together, which settle where a repeated window occurs first. Each batch sends a hash once however often
 it holds it, so a passage that a third of the documents share costs no more than one entry a batch. A window
 that occurs earlier marks its words, and overlapping marks merge into maximal removal intervals.
 """
@@ -48,7 +48,7 @@ class Batch:
         np.add.at(last, self.at[1:], -1)
         starts &= np.cumsum(last[:-1]) == 0
         self.starts = np.flatnonzero(starts)
-        names = [w.as_buffer() for w in self.distinct] if len(self.distinct) else []
+        names = self.distinct.cast(pa.binary()).to_pylist()
         self.hashes = []
         for seed, base in enumerate(BASES):
             each = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, len(names))[self.codes] if n else np.zeros(0, np.uint64)
@@ -72,7 +72,7 @@ class Batch:
 
     def firsts(self, found: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the windows ``found``: the first of each distinct one, by range and hashes; the place of each among these; their ranges."""
-        a, b = self.hashes[0][found], self.hashes[1][found]
+        a, b = self.hashes[0][found], self.hashes[1][found] & np.uint64((1 << 8 * SHORT_BYTES) - 1)
         at = a % np.uint64(ranges)
         order = np.lexsort((found, b, a, at))
         new = np.ones(len(order), bool)
@@ -126,7 +126,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", doc_id:
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    batches = ranges = parts
+    batches, ranges = 2 * parts, parts
     keyed = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     keyed = keyed.withColumn("batch", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(batches)).cast("int"))
     # one shuffle of the texts, read by the three steps below
@@ -148,11 +148,16 @@ def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", doc_id:
         own = Batch(table, width, ranges)
         found = own.repeated(dict(zip(replies["range"].to_pylist(), replies["bits"].to_pylist())))
         first, _, at = own.firsts(found, ranges)
-        return _rows(key[0].as_py(), at, one=(own.hashes[0][first], 8), two=(own.hashes[1][first], 8), docs=(own.order_of(first).view(np.uint64), 8))
+        ids = own.order_of(first).view(np.uint64)
+        # as many bytes as the batch's largest doc_id takes
+        wide = max(1, (int(ids.max()).bit_length() + 7) // 8) if len(ids) else 1
+        return _rows(key[0].as_py(), at, one=(own.hashes[0][first], 8), two=(own.hashes[1][first], SHORT_BYTES), docs=(ids, wide))
 
     def earliest(table: pa.Table) -> pa.Table:
-        one, two, ids = ([_numbers(raw, 8) for raw in table[k].to_pylist()] for k in ("one", "two", "docs"))
+        one = [_numbers(raw, 8) for raw in table["one"].to_pylist()]
+        two = [_numbers(raw, SHORT_BYTES) for raw in table["two"].to_pylist()]
         lengths = [len(x) for x in one]
+        ids = [_numbers(raw, len(raw) // n) for raw, n in zip(table["docs"].to_pylist(), lengths)]
         a, b, d = (np.concatenate(x) for x in (one, two, ids))
         batch = np.repeat(np.asarray(table["batch"]), lengths)
         order = np.lexsort((batch, d.view(np.int64), b, a))
