@@ -44,3 +44,9 @@ def predates(stated: Column, kind: Column, amended: Column) -> Column:
     """A sentence where the policy's own date lies before the amendment of the paragraph, else null."""
     text = F.concat(F.lit("The policy's own date ("), kind, F.lit(" "), day(stated), F.lit(") is earlier than the amendment to this paragraph (in effect from "), day(amended), F.lit(")."))
     return F.when(stated < amended, text)
+
+
+def confidence_note(right: Column, known: Column, least: int = 30) -> Column:
+    """How often checked findings of a band were right; a percentage only from ``least`` of them on."""
+    share = F.concat(F.round(100 * right / known).cast("bigint"), F.lit(" % of "), known, F.lit(" checked findings in this band were right"))
+    return F.when(known >= least, share).otherwise(F.concat(right, F.lit(" of "), known, F.lit(" checked findings in this band were right; too few for a percentage")))

@@ -44,3 +44,12 @@ def answer(calls: DataFrame, cache: DataFrame, key: str, prompt: str, client: Cl
 
     misses = todo.join(cache.select(key).distinct(), key, "left_anti").mapInPandas(ask, f"{key} string, reply string, cached boolean")
     return hits.unionByName(misses)
+
+
+def second_pass(items: DataFrame, first: DataFrame, again: Callable[[DataFrame], DataFrame], key: str, columns: list[str], default: dict[str, str]) -> DataFrame:
+    """One row an item: ``columns`` of the first pass, of a second one over the items that the first left out, or ``default``."""
+    once = first.select(key, *columns).dropDuplicates([key])
+    left_out = items.join(once.select(key), key, "left_anti")
+    answered = once.unionByName(again(left_out).select(key, *columns).dropDuplicates([key])).withColumn("__answered", F.lit(True))
+    value = lambda c: F.when(F.col("__answered"), F.col(c)).otherwise(F.lit(default.get(c))).alias(c)
+    return items.select(key).distinct().join(answered, key, "left").select(key, *map(value, columns))

@@ -64,3 +64,9 @@ def rank_of(chosen: Column, ranked: Column) -> Column:
     """Place of the chosen id in a ranked list, null where it is absent."""
     at = F.array_position(ranked, chosen)
     return F.when(at > 0, at)
+
+
+def reranked(ranked: DataFrame, group: list[str], score: Column, order: list[str], keep: int) -> DataFrame:
+    """The ``keep`` rows of each group with the highest score; a null score, of a scorer that failed, counts as 0, and equal ones keep their order."""
+    rank = F.row_number().over(W.partitionBy(*group).orderBy(F.desc(F.coalesce(score, F.lit(0.0))), *order))
+    return ranked.withColumn("new_rank", rank).where(F.col("new_rank") <= keep)

@@ -66,6 +66,15 @@ def joined_blocks(blocks: DataFrame, key: str, pos: str, text: str, is_heading:
     return numbered.groupBy(key, "block").agg(F.min(pos).alias("pos"), F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("text"))
 
 
+def selected_blocks(blocks: DataFrame, key: str, pos: str, opens: Column, numbered: Column, closes: Column) -> DataFrame:
+    """The blocks of each document's body: from the last opening before the first numbered block up to the next closing one, which is left out."""
+    whole, at = W.partitionBy(key), F.col(pos)
+    found = blocks.withColumn("__numbered", F.min(F.when(numbered, at)).over(whole))
+    found = found.withColumn("__opened", F.max(F.when(opens & (at < F.col("__numbered")), at)).over(whole))
+    found = found.withColumn("__closed", F.min(F.when(closes & (at > F.col("__opened")), at)).over(whole))
+    return found.where((at >= F.col("__opened")) & (F.col("__closed").isNull() | (at < F.col("__closed")))).drop("__numbered", "__opened", "__closed")
+
+
 def capture_before(captures: DataFrame, key: str, captured: str, limit: str) -> DataFrame:
     """For each key, the latest capture strictly before its limit date."""
     return captures.where(F.col(captured) < F.col(limit)).groupBy(key).agg(F.max(captured).alias(captured))

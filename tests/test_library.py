@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clausewright.functions import numbers as N
 from clausewright.functions import text as T
-from clausewright.operators import calls, change, evaluate, evidence, guard, retrieve, rules, spans, structure, versioned
+from clausewright.operators import calls, change, evaluate, evidence, guard, records, retrieve, rules, spans, structure, versioned
 from clausewright.sources import readers
 from clausewright.streaming import evidence as stream
 
@@ -211,6 +211,29 @@ def test_calls(spark):
     assert got == {"k1": ("A", True), "k2": ("B", False), "k3": (None, False)}
 
 
+def test_second_pass(spark):
+    items = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
+    first = spark.createDataFrame([("a", "covered")], "key string, verdict string")
+    again = lambda left: left.where("key = 'b'").withColumn("verdict", F.lit("partial"))
+    got = {r.key: r.verdict for r in calls.second_pass(items, first, again, "key", ["verdict"], {"verdict": "unclear"}).collect()}
+    assert got == {"a": "covered", "b": "partial", "c": "unclear"}
+
+
+def test_citations(spark):
+    text = "Banks keep records, e.g. of v1.5 files; others follow.\nA line without an end\nlast"
+    rows = [(1, 1, text, "Banks keep records", "keep"), (1, 2, text, "Banks keep records", "Keep"), (1, 3, text, "of v1.5 files", "x"), (1, 4, text, "A line without", "x"), (1, 5, text, "not in the text", "x"), (1, 6, text, "short", "x"), (2, 1, None, "Banks keep records", "x")]
+    items = spark.createDataFrame(rows, "doc int, item int, text string, quote string, action string")
+    got = {(r.doc, r.item): (text[r.s : r.e] if r.s is not None else None, r.outcome) for r in records.gated(items, "doc", "item", "text", "quote", "action").collect()}
+    assert got == {(1, 1): ("Banks keep records, e.g.", "kept"), (1, 2): ("Banks keep records, e.g.", "duplicate"), (1, 3): ("of v1.5 files;", "kept"), (1, 4): ("A line without an end", "kept"), (1, 5): (None, "rejected"), (1, 6): (None, "rejected"), (2, 1): (None, "rejected")}
+
+
+def test_links(spark):
+    keys = spark.createDataFrame([("k1", 0, 9, "keep", "5"), ("k2", 0, 9, "file", "5"), ("k3", 7, 8, "file", "6"), ("k4", 7, 8, "none", "6")], "key_id string, s int, e int, action string, ref string")
+    rows = spark.createDataFrame([(1, 0, 9, "keep", "5"), (2, 20, 30, "file", "6"), (3, 20, 30, "none", "6"), (4, 40, 50, "none", "6")], "row_id int, s int, e int, action string, ref string")
+    got = {r.key_id: (r.row_id, r.level) for r in records.linked(keys, rows, "key_id", "row_id", ["s", "e"], "action", "ref").collect()}
+    assert got == {"k1": (1, "exact"), "k2": (1, "span"), "k3": (2, "action_ref"), "k4": (None, "none")}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "log.csv").write_text("account_id,opened_on\na,2026-01-01\nb,\n")
     rows = readers.csv_log(spark, f"file://{tmp_path}/log.csv", "account_id string, opened_on date").collect()

@@ -6,11 +6,11 @@ import duckdb
 import numpy as np
 import pytest
 
-from clausewright.plans import evidence, rules, text
+from clausewright.plans import evidence, records, rules, text
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = {**evidence.QUERIES, **rules.QUERIES, **text.QUERIES}
-SQL = {**evidence.SQL, **rules.SQL, **text.SQL}
+QUERIES = {**evidence.QUERIES, **records.QUERIES, **rules.QUERIES, **text.QUERIES}
+SQL = {**evidence.SQL, **records.SQL, **rules.SQL, **text.SQL}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 
