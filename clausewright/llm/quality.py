@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, let, words_of
 
-#: Buckets of the multinomials; trusted documents that are counted at most; what is added to each bucket's count.
-BUCKETS, TRUSTED, SMOOTHING = 1 << 14, 20_000, 1.0
+#: Buckets of the multinomials; what is added to each bucket's count.
+BUCKETS, SMOOTHING = 1 << 14, 1.0
 #: Documents below this mean log-likelihood ratio go.
 LEAST_RATIO = -0.1
 
@@ -34,16 +34,16 @@ def buckets(h: Column, n: int) -> Column:
     return F.concat(ones, pairs)
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, trusted: int = TRUSTED) -> list[float]:
+def log_ratios(docs: DataFrame, labels: DataFrame, n: int = BUCKETS) -> list[float]:
     """For each bucket, log of its share in trusted documents over its share in all documents.
 
-    All documents are counted. Trusted ones are those with label quality 1, of which those with the
-    ``trusted`` smallest hashes of doc_id are counted at most. Without any, every ratio is 0.
+    All documents are counted. Trusted ones are all with label quality 1. Without any, every ratio is 0.
     """
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("trusted_id")).distinct()
-    good = good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(trusted)
-    marked = docs.join(F.broadcast(good), docs["doc_id"] == good["trusted_id"], "left")  # at most ``trusted`` rows
-    each = marked.select(F.col("trusted_id").isNotNull().cast("bigint").alias("good"), F.explode(let(word_hashes(docs["text"]), lambda h: buckets(h, n))).alias("bucket"))
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("trusted_id"), F.lit(0).cast("bigint").alias("trusted_part")).distinct()
+    # rows without doc_id find no label and are dealt out by their text; a shuffle whatever the size, since labels grow with the documents
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).alias("part"), "text")
+    marked = rows.join(good.hint("merge"), (rows["id"] == good["trusted_id"]) & (rows["part"] == good["trusted_part"]), "left")
+    each = marked.select(F.col("trusted_id").isNotNull().cast("bigint").alias("good"), F.explode(let(word_hashes(F.col("text")), lambda h: buckets(h, n))).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()  # one row for each bucket
     raw, target = [SMOOTHING] * n, [SMOOTHING] * n
     for r in counts:
@@ -73,14 +73,14 @@ def repeated_words(w: Column, width: int = 8) -> Column:
     return F.when(F.size(w) < width, F.lit(0)).otherwise(let(hashes, of)).cast("bigint")
 
 
-def rate(docs: DataFrame, labels: DataFrame, least_ratio: float = LEAST_RATIO, n: int = BUCKETS, trusted: int = TRUSTED) -> DataFrame:
+def rate(docs: DataFrame, labels: DataFrame, least_ratio: float = LEAST_RATIO, n: int = BUCKETS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio.
 
     base_failed: under 20 words, or over 30 % of the words in repeated windows of 8. kept: not base_failed, and
     a mean log-likelihood ratio of ``least_ratio`` or more. Null and empty texts have no words, a ratio of 0
     and fail. Repeated rows are rated alike; no rows give no rows; other columns are ignored.
     """
-    table = F.from_json(F.lit(json.dumps(log_ratios(docs, labels, n, trusted))), "array<double>")
+    table = F.from_json(F.lit(json.dumps(log_ratios(docs, labels, n))), "array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
     no_space = F.translate(text, " \t\n\x0b\x0c\r", "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))

@@ -333,6 +333,13 @@ def test_quality(spark, docs, doc_rows, no_docs):
     assert quality.rate(docs, labels.where("false")).where("ratio <> 0").count() == 0
 
 
+def test_all_trusted_documents_are_counted(spark):
+    rows = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.col("id")).alias("text"))
+    labels = rows.select("doc_id", F.lit(1).alias("quality"))
+    # trusted are all: the two multinomials are one
+    assert quality.log_ratios(rows, labels, n=64) == pytest.approx([0.0] * 64, abs=1e-9)
+
+
 # toxicity
 
 
