@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, chat, common, exact, packing, quality, secret_scan, simhash, substring, toxicity, warc
+from clausewright.llm import bpe, chat, common, exact, near, packing, quality, secret_scan, simhash, substring, toxicity, warc
 from clausewright.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,6 +124,43 @@ def test_simhash_links_lose_nothing(spark, dense):
     assert got == expected
 
 
+@pytest.mark.parametrize("dense", [2, 32])
+def test_edited_copies_are_dropped(spark, dense, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(near.candidates, "__defaults__", (dense,))
+    monkeypatch.setattr(near.links, "__defaults__", (dense,))
+    vocabulary = [f"w{i}" for i in range(2000)]
+    texts = []
+    for _ in range(12):
+        base = list(rng.choice(vocabulary, 200))
+        texts.append(base)
+        for _ in range(4):
+            # sentences of another wording: up to three runs of words
+            copy = list(base)
+            for at in rng.integers(0, 190, rng.integers(1, 4)).tolist():
+                copy[at : at + 5] = list(rng.choice(vocabulary, 5))
+            texts.append(copy)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    edges = [(a, b) for a in range(len(sets)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    edges += [(a, b) for a in range(len(rows)) for b in range(a) if (simhash.fingerprint(rows[a][1]) ^ simhash.fingerprint(rows[b][1])).bit_count() <= 2]
+    least = list(range(len(rows)))
+    for _ in rows:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    out = near.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == [i for i in range(len(rows)) if least[i] == i]
+    assert sum(least[i] == i for i in range(len(rows))) < 40
+
+
+def test_near_copies_go_by_doc_id_and_text(spark, no_docs):
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(3, base + " tail"), (5, base), (5, "quite another text that has nothing in common")]
+    out = near.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+    assert near.drop_near_copies(no_docs).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (1, 0)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
