@@ -3,8 +3,9 @@
 A candidate is a long run of characters whose encoding can be inferred. Chi-squared uniformity of its
 alphabet, a runs test and lag-one serial correlation give p-values under "drawn at random from this
 encoding", combined by Fisher's method. Random strings spread evenly over 0 to 1, others gather near 0;
-in each class of encoding and length, the share of random strings is estimated from the upper half, and the
-threshold is the lowest at which the estimated share of false discoveries stays within ``fdr``.
+in each class of encoding and length, the number of random strings is estimated from the upper half, and the
+threshold goes down as long as there are no more strings above it than these and a share ``fdr`` explain. Few
+strings in the upper half say little, so two standard deviations are added to them.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ ENCODINGS = [
 ]
 #: Lengths from which a new length class begins, and the steps of the p-value histogram.
 LENGTHS, STEPS = (20, 28, 40, 64, 128), 100
+#: Distinct strings from which a class stands for itself.
+THIN = 20
 KINDS = [*BASE, "random"]
 
 
@@ -124,14 +127,14 @@ def length_class(n: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Structs (s, e, group, step): runs with an inferred encoding, their class and the histogram step of their p-value."""
+    """Structs (s, e, group, hash, step): runs with an inferred encoding, their class and the histogram step of their p-value."""
     spans = found(text, CANDIDATE, 0, 20, "random")
 
     def tested(span: Column) -> Column:
         def of(v: Column) -> Column:
             step = F.least(F.floor(p_value(v["t"], v["c"]["alphabet"]) * STEPS), F.lit(STEPS - 1)).cast("int")
             group = F.concat_ws("-", v["c"]["name"], length_class(F.length(v["t"])).cast("string"))
-            return F.struct(span["s"].alias("s"), span["e"].alias("e"), group.alias("group"), F.when(v["c"].isNotNull(), step).alias("step"))
+            return F.struct(span["s"].alias("s"), span["e"].alias("e"), group.alias("group"), F.xxhash64(v["t"]).alias("hash"), F.when(v["c"].isNotNull(), step).alias("step"))
 
         token = F.substring(text, span["s"] + 1, span["e"] - span["s"])
         return let(let(token, lambda t: F.struct(t.alias("t"), encoding(t).alias("c"))), of)
@@ -139,25 +142,39 @@ def candidates(text: Column) -> Column:
     return F.filter(F.transform(spans, tested), lambda x: x["step"].isNotNull())
 
 
+def lowest_step(n: list[int], fdr: float) -> int:
+    """The lowest step of a histogram of distinct strings that is still a discovery; 0 only where the whole class is random without any allowance."""
+    upper = sum(n[STEPS // 2 :])
+    likely, most = upper / 0.5, (upper + 2 * (upper + 1) ** 0.5) / 0.5
+    out = STEPS // 2
+    for step in range(STEPS // 2, 0, -1):
+        above = sum(n[step:])
+        if above - most * (1 - step / STEPS) > fdr * above:
+            break
+        out = step
+    for step in range(out, -1, -1):
+        above = sum(n[step:])
+        if above and above - likely * (1 - step / STEPS) <= fdr * above:
+            out = step
+    return out
+
+
 def thresholds(docs: DataFrame, fdr: float = 0.05, text: str = "text") -> dict[str, int]:
     """For each class of encoding and length, the lowest histogram step that is still a discovery.
 
-    The histogram has 100 rows a class and 35 classes at most, and counts the candidates of all documents.
+    The histogram has 100 rows a class and 35 classes at most, and counts the distinct candidates of all documents. A
+    class of fewer than ``THIN`` goes no lower than all lengths of its encoding together.
     """
-    each = docs.select(F.explode(candidates(F.coalesce(F.col(text), F.lit("")))).alias("c"))
-    table = each.groupBy("c.group", "c.step").agg(F.count("*").alias("n")).collect()
+    each = docs.select(F.explode(candidates(F.coalesce(F.col(text), F.lit("")))).alias("c")).select("c.group", "c.step", "c.hash").distinct()
+    table = each.groupBy("group", "step").agg(F.count("*").alias("n")).collect()
+    counts = {(r["group"], r["step"]): r["n"] for r in table}
     out = {}
-    for group in sorted({r["group"] for r in table}):
-        n = [0] * STEPS
-        for r in table:
-            if r["group"] == group:
-                n[r["step"]] = r["n"]
-        random = sum(n[STEPS // 2 :]) / 0.5  # as many, were all steps like the upper half
-        out[group] = STEPS // 2
-        for step in range(STEPS // 2, -1, -1):
-            above = sum(n[step:])
-            if above and 1 - min(1.0, random * (1 - step / STEPS) / above) <= fdr:
-                out[group] = step
+    for name, _, _ in ENCODINGS:
+        groups = {f"{name}-{i}": [counts.get((f"{name}-{i}", step), 0) for step in range(STEPS)] for i in range(len(LENGTHS))}
+        pooled = lowest_step([sum(x) for x in zip(*groups.values())], fdr)
+        for group, n in groups.items():
+            own = lowest_step(n, fdr)
+            out[group] = own if sum(n) >= THIN else max(own, pooled)
     return out
 
 

@@ -291,6 +291,17 @@ def test_random_strings_are_found_and_others_left(spark):
     assert sum("random" in got[i] for i in range(300, 380)) <= 0.1 * hit
 
 
+@pytest.mark.parametrize("each", [1, 10])
+def test_few_random_strings_are_found(spark, each):
+    rng = np.random.default_rng(11)
+    secret = ["".join(rng.choice(list(alphabet), n)) for _, alphabet, _ in secret_scan.ENCODINGS for n in (24, 30, 44, 64) for _ in range(each)]
+    plain = [f"Docs/Section{i}/HandbookOfRules/Page{i + 7}" for i in range(300)]
+    rows = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(secret + plain)], "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan_documents(rows).collect()}
+    assert sum(f":4:{4 + len(t)}" in got[i] for i, t in enumerate(secret)) >= 0.9 * len(secret)
+    assert sum("random" in got[i] for i in range(len(secret), len(got))) <= 0.02 * len(plain)
+
+
 def test_redaction(docs, doc_rows):
     out = {r.doc_id: r.text for r in secret_scan.redact_documents(docs).where("doc_id is not null").collect()}
     assert secret_scan.redact_documents(docs).columns == docs.columns
