@@ -315,7 +315,9 @@ def test_redaction(docs, doc_rows):
 
 
 def repeats_expected(rows, width):
-    docs = sorted(((i is None, i or 0, t or "", n) for n, (i, t) in enumerate(rows)))
+    text_hash = lambda t: (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64_intdigest(t.encode(), 42)) if t is not None else 42
+    docs = sorted(((i is None, i or 0, text_hash(t), n, t or "") for n, (i, t) in enumerate(rows)))
+    docs = [(a, b, t, n) for a, b, _, n, t in docs]
     seen, out = set(), {}
     marks = []
     for _, _, t, n in docs:
@@ -332,8 +334,9 @@ def repeats_expected(rows, width):
     return list(out.values())
 
 
-def test_substring_dedup(docs, doc_rows, no_docs):
-    got = substring.remove_repeats(docs)
+@pytest.mark.parametrize(("inner", "slice_bytes"), [(0, 500), (3, 1), (8, 500), (8, substring.SLICE_BYTES)])
+def test_substring_dedup(docs, doc_rows, no_docs, inner, slice_bytes):
+    got = substring.remove_repeats(docs, inner=inner, slice_bytes=slice_bytes)
     rows = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()]
     assert ordered(rows) == ordered(repeats_expected(doc_rows, 20))
     for r in got.where("size(removed) > 0").collect():
