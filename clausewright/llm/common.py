@@ -14,10 +14,12 @@ SPACE = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a folder of its own, any other an error."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="clausewright-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
@@ -56,6 +58,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each element, ``zero`` merged with all elements before it; ``merge`` is associative.
+
+    An array that grows by one element a step is copied at each; here blocks of about the root of the size
+    are worked out apart, so that n elements cost n ** 1.5 at most.
+    """
+    def steps(start: Column, some: Column) -> Column:
+        grown = F.aggregate(some, F.struct(start.alias("now"), F.slice(F.array(start), 1, 0).alias("all")), lambda state, x: F.struct(merge(state["now"], x).alias("now"), F.array_append(state["all"], state["now"]).alias("all")))
+        return grown["all"]
+
+    def in_blocks(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1), lambda i: F.slice(v, i * size + 1, size))
+
+        def joined(blocks: Column) -> Column:
+            starts = steps(zero, F.transform(blocks, lambda b: F.aggregate(b, zero, lambda x, y: merge(x, y))))
+            return F.flatten(F.zip_with(blocks, starts, lambda b, start: steps(start, b)))
+
+        return let(cut, joined)
+
+    return F.when(F.size(values) == 0, values).otherwise(let(values, in_blocks))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; texts of one byte a character take the faster built-in."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

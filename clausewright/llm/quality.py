@@ -43,7 +43,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, n: int = BUCKETS) -> list[flo
     # rows without doc_id find no label and are dealt out by their text; a shuffle whatever the size, since labels grow with the documents
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).alias("part"), "text")
     marked = rows.join(good.hint("merge"), (rows["id"] == good["trusted_id"]) & (rows["part"] == good["trusted_part"]), "left")
-    each = marked.select(F.col("trusted_id").isNotNull().cast("bigint").alias("good"), F.explode(let(word_hashes(F.col("text")), lambda h: buckets(h, n))).alias("bucket"))
+    each = marked.select(good["trusted_id"].isNotNull().cast("bigint").alias("good"), F.explode(let(word_hashes(F.col("text")), lambda h: buckets(h, n))).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()  # one row for each bucket
     raw, target = [SMOOTHING] * n, [SMOOTHING] * n
     for r in counts:
@@ -80,6 +80,7 @@ def rate(docs: DataFrame, labels: DataFrame, least_ratio: float = LEAST_RATIO, n
     a mean log-likelihood ratio of ``least_ratio`` or more. Null and empty texts have no words, a ratio of 0
     and fail. Repeated rows are rated alike; no rows give no rows; other columns are ignored.
     """
+    docs = docs.select("doc_id", "text")
     table = F.from_json(F.lit(json.dumps(log_ratios(docs, labels, n))), "array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
     no_space = F.translate(text, " \t\n\x0b\x0c\r", "")

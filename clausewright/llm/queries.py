@@ -34,13 +34,13 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
-v AS (SELECT DISTINCT conv_id, speaker AS view FROM t),
-s AS (SELECT t.conv_id, v.view, t.turn, t.speaker, t.text, t.speaker = v.view AS loss,
+WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+v AS (SELECT DISTINCT conv_id, own, speaker AS view FROM t),
+s AS (SELECT t.conv_id, t.own, v.view, t.turn, t.speaker, t.text, t.speaker = v.view AS loss,
   CASE WHEN t.speaker = v.view THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || t.speaker || chr(10) END || t.text || '<|im_end|>' || chr(10) AS segment
-  FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id),
+  FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id AND t.own IS NOT DISTINCT FROM v.own),
 p AS (SELECT *, row_number() OVER w - 1 AS position, CAST(sum(length(segment)) OVER w - length(segment) AS BIGINT) AS char_start FROM s
-  WINDOW w AS (PARTITION BY conv_id, view ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING))
+  WINDOW w AS (PARTITION BY conv_id, own, view ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, view, turn, position, speaker, segment, loss, char_start, char_start + length(segment) AS char_end,
   CASE WHEN loss THEN char_start + 22 ELSE char_start END AS mask_start, CASE WHEN loss THEN char_start + length(segment) - 1 ELSE char_start END AS mask_end FROM p
 """

@@ -2,7 +2,7 @@
 
 A candidate is a long run of characters whose encoding can be inferred. Chi-squared uniformity of its
 alphabet, a runs test and lag-one serial correlation give p-values under "drawn at random from this
-encoding", combined by Fisher's method. Random strings spread evenly over 0 to 1, others gather near 0;
+encoding", combined by Fisher's method as if they were independent, which they nearly are. Random strings spread evenly over 0 to 1, others gather near 0;
 in each class of encoding and length, the number of random strings is estimated from the upper half, and the
 threshold goes down as long as there are no more strings above it than these and a share ``fdr`` explain. Few
 strings in the upper half say little, so two standard deviations are added to them.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, running
 
 #: Fixed values of the base patterns: pattern, the group whose length counts, its least length.
 BASE = {
@@ -41,24 +41,22 @@ KINDS = [*BASE, "random"]
 
 
 def found(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
-    """Leftmost non-overlapping matches as structs (s, e, rank, kind): code points, end exclusive; those whose group is shorter than ``least`` are dropped."""
-    none = F.lit(None).cast("array<struct<s:int,e:int,rank:int,kind:string>>")
-    gaps = F.split(text, pattern, -1)
+    """Leftmost non-overlapping matches as structs (s, e, rank, kind, token): code points, end exclusive; those whose group is shorter than ``least`` are dropped."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    zipped = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        span = F.struct(start.alias("s"), (start + F.length(x["whole"])).alias("e"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"))
-        more = F.when(F.length(x["value"]) >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct((start + F.length(x["whole"])).alias("at"), more.alias("spans"))
+    def placed(v: Column) -> Column:
+        whole, gaps, value = v["whole"], v["gaps"], v["value"]
+        # from one match's start to the next: the match before, and the gap after it
+        steps = F.transform(whole, lambda x, i: F.length(x) + F.get(gaps, i + 1))
+        span = lambda x, i, start: F.struct(start.alias("s"), (start + F.length(x)).alias("e"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), x.alias("token"), F.length(F.get(value, i)).alias("size"))
+        starts = running(steps, F.get(gaps, 0), lambda a, b: a + b)
+        all_ = let(starts, lambda at: F.transform(whole, lambda x, i: span(x, i, F.get(at, i))))
+        return F.transform(F.filter(all_, lambda x: x["size"] >= least), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["token"].alias("token")))
 
-    empty = F.array().cast("array<struct<s:int,e:int,rank:int,kind:string>>")
-    # the last gap has no match after it
-    matches = F.filter(zipped, lambda x: x["whole"].isNotNull())
-    spans = F.aggregate(matches, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda state: state["spans"])
-    return F.coalesce(F.when(text.rlike(pattern), spans).otherwise(none), empty)
+    spans = let(F.struct(whole.alias("whole"), gaps.alias("gaps"), value.alias("value")), placed)
+    return F.coalesce(F.when(text.rlike(pattern), spans), F.array().cast("array<struct<s:int,e:int,rank:int,kind:string,token:string>>"))
 
 
 def upper_tail(z: Column) -> Column:
@@ -136,8 +134,7 @@ def candidates(text: Column) -> Column:
             group = F.concat_ws("-", v["c"]["name"], length_class(F.length(v["t"])).cast("string"))
             return F.struct(span["s"].alias("s"), span["e"].alias("e"), group.alias("group"), F.xxhash64(v["t"]).alias("hash"), F.when(v["c"].isNotNull(), step).alias("step"))
 
-        token = F.substring(text, span["s"] + 1, span["e"] - span["s"])
-        return let(let(token, lambda t: F.struct(t.alias("t"), encoding(t).alias("c"))), of)
+        return let(F.struct(span["token"].alias("t"), encoding(span["token"]).alias("c")), of)
 
     return F.filter(F.transform(spans, tested), lambda x: x["step"].isNotNull())
 
@@ -183,14 +180,22 @@ def scan(text: Column, least: dict[str, int]) -> Column:
     text = F.coalesce(text, F.lit(""))
     base = F.concat(*[found(text, *rule, kind) for kind, rule in BASE.items()])
     known = F.create_map(*[F.lit(x) for pair in sorted(least.items()) for x in pair]) if least else F.create_map().cast("map<string,int>")
-    as_span = lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.lit(KINDS.index("random")).alias("rank"), F.lit("random").alias("kind"))
+    random = KINDS.index("random")
+    item = lambda x, rank, kind: F.struct(x["s"].alias("s"), rank.alias("rank"), x["e"].alias("e"), kind.alias("kind"))
+    span = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["rank"].alias("rank"), x["kind"].alias("kind"))
+    discoveries = F.filter(candidates(text), lambda c: c["step"] >= F.coalesce(F.try_element_at(known, c["group"]), F.lit(STEPS)))
+    all_ = F.array_sort(F.concat(F.transform(base, lambda x: item(x, x["rank"], x["kind"])), F.transform(discoveries, lambda c: item(c, F.lit(random), F.lit("random")))))
 
-    def merged(found_base: Column) -> Column:
-        free = F.filter(candidates(text), lambda c: (c["step"] >= F.coalesce(F.try_element_at(known, c["group"]), F.lit(STEPS))) & ~F.exists(found_base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-        order = lambda x: F.struct(x["s"].alias("s"), x["rank"].alias("rank"), x["e"].alias("e"), x["kind"].alias("kind"))
-        return F.transform(F.array_sort(F.transform(F.concat(found_base, F.transform(free, as_span)), order)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["rank"].alias("rank"), x["kind"].alias("kind")))
+    def free(v: Column) -> Column:
+        # a discovery overlaps a base span where one before it ends after its start, or the next one starts before its end
+        is_base, most = lambda x: x["rank"] < random, F.lit(2**31 - 1)
+        ends = running(F.transform(v, lambda x: F.when(is_base(x), x["e"]).otherwise(0)), F.lit(0), F.greatest)
+        begins = running(F.reverse(F.transform(v, lambda x: F.when(is_base(x), x["s"]).otherwise(most))), most, F.least)
+        beside = F.struct(ends.alias("ends"), F.reverse(begins).alias("begins"))
+        return let(beside, lambda b: F.filter(v, lambda x, i: is_base(x) | ((F.get(b["ends"], i) <= x["s"]) & (F.get(b["begins"], i) >= x["e"]))))
 
-    return let(base, merged)
+    left = let(all_, lambda v: F.when(F.exists(v, lambda x: x["rank"] == random), free(v)).otherwise(v))
+    return F.transform(left, span)
 
 
 def _digest(spans: Column) -> Column:
@@ -212,13 +217,15 @@ def scan_documents(docs: DataFrame, fdr: float = 0.05, text: str = "text", doc_i
 def redact(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
     """The text with each span, or run of overlapping spans, replaced."""
 
-    def step(state: Column, x: Column) -> Column:
-        new = x["s"] >= state["at"]
-        piece = F.when(new, F.concat(F.substring(text, state["at"] + 1, x["s"] - state["at"]), F.lit(by))).otherwise("")
-        return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.concat(state["out"], piece).alias("out"))
+    def cut(v: Column) -> Column:
+        # code points of four bytes each, so that a piece is found without reading what is before it
+        piece = lambda a, b: F.decode(F.substring(v["wide"], 4 * a + 1, 4 * (b - a)), "UTF-32")
+        new = lambda x, i: F.when(x["s"] >= F.get(v["done"], i), F.concat(piece(F.get(v["done"], i), x["s"]), F.lit(by))).otherwise("")
+        end = F.array_max(F.transform(v["spans"], lambda x: x["e"]))
+        return F.array_join(F.concat(F.transform(v["spans"], new), F.array(piece(end, F.octet_length(v["wide"]) / 4))), "")
 
-    rest = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest))
+    done = running(F.transform(spans, lambda x: x["e"]), F.lit(0), F.greatest)
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.struct(F.encode(text, "UTF-32").alias("wide"), spans.alias("spans"), done.alias("done")), cut))
 
 
 def redact_documents(docs: DataFrame, fdr: float = 0.05, text: str = "text") -> DataFrame:

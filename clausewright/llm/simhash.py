@@ -21,6 +21,8 @@ from .common import components, let, small_batches, written
 
 #: Distinct fingerprints of one variant that are compared with each other; more of them take the two-wildcard index.
 DENSE = 32
+#: Shingles whose bits are counted at once.
+BLOCK = 1 << 16
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -35,22 +37,23 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
     ends = ends.tolist()
-    hashes = [xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[min(width, len(words)) - 1 :])]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[min(width, len(words)) - 1 :])], "<u8")
+    # a bit takes a byte here, so long texts are counted block by block
+    bits = sum(np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0) for at in range(0, len(hashes), BLOCK))
     return sum(1 << i for i in np.flatnonzero(2 * bits > len(hashes)).tolist())
 
 
 def fingerprints(docs: DataFrame, width: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Rows (doc_id, fp long) for each row of ``docs``, the fingerprint's bits as a signed long."""
+    """Rows (doc_id, text_hash, fp long) for each row of ``docs``, the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _without(fp: Column, *bits: Column) -> Column:
@@ -96,14 +99,8 @@ def links(fps: DataFrame, distance: int = 2, dense: int = DENSE) -> DataFrame:
     return few.union(pairs.select("p.a", "p.b")).distinct()
 
 
-def near_groups(docs: DataFrame, width: int = 3, distance: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
-
-    Documents link when their fingerprints differ in ``distance`` bits or fewer; component_id is the smallest
-    doc_id reachable over links, itself included. Null and empty texts have fingerprint zero and link like any
-    other; a null doc_id is passed over for component_id unless its component has no other. No rows give no
-    rows; repeated rows are repeated; other columns are ignored.
-    """
+def grouped(docs: DataFrame, width: int = 3, distance: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``fingerprints`` with component_id."""
     table = written(fingerprints(docs, width, text, doc_id), "fingerprints")
     # copies are combined before the shuffle
     owner = written(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-owners")
@@ -113,12 +110,26 @@ def near_groups(docs: DataFrame, width: int = 3, distance: int = 2, text: str =
     least = written(member.groupBy("component").agg(F.min("least").alias("component_least")), "component-least")
     merged = member.join(least, "component").select(F.col("fp").alias("linked_fp"), "component_least")
     final = written(owner.join(merged, owner["fp"] == merged["linked_fp"], "left").select("fp", F.coalesce("component_least", "least").alias("component_id")), "fingerprint-components")
-    out = table.join(final, "fp", "left")
+    return table.join(final, "fp", "left")
+
+
+def near_groups(docs: DataFrame, width: int = 3, distance: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
+
+    Documents link when their fingerprints differ in ``distance`` bits or fewer; component_id is the smallest
+    doc_id reachable over links, itself included. Null and empty texts have fingerprint zero and link like any
+    other; a null doc_id is passed over for component_id unless its component has no other. No rows give no
+    rows; repeated rows are repeated; other columns are ignored.
+    """
+    out = grouped(docs, width, distance, text, doc_id)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 3, distance: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each component only, columns as they were."""
-    groups = near_groups(docs, width, distance, text, doc_id)
-    gone = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["__gone_id"]), "left_anti")
+    """``docs`` with the document of the smallest doc_id of each component only, columns as they were.
+
+    Rows are told apart by doc_id and text: rows that share a doc_id go each by its own component.
+    """
+    groups = grouped(docs, width, distance, text, doc_id)
+    gone = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_text")).distinct()
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(docs[text]) == gone["__gone_text"]), "left_anti")

@@ -124,6 +124,14 @@ def records(file: pa.NativeFile, start: int, end: int) -> Iterator[bytes]:
             at += 1
 
 
+def storage(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path within it for a Hadoop URI: local, HDFS, S3 (s3a and s3n too), GCS and those that pyarrow knows else; others raise."""
+    try:
+        return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1) if path.startswith(("s3a://", "s3n://")) else path)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"WARC archives can't be kept under {path}: set spark.checkpoint.dir to a folder that pyarrow can reach ({e})") from e
+
+
 @dataclass
 class Written(WriterCommitMessage):
     file: str | None
@@ -132,9 +140,10 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str) -> None:
         self.path = path
+        storage(path)  # on the driver, before any work
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = storage(self.path)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
         out = None
         for batch in iterator:
@@ -149,13 +158,13 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(name)
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = storage(self.path)
         store.create_dir(root, recursive=True)
         with store.open_output_stream(f"{root}/{MANIFEST}") as out:
             out.write(json.dumps(sorted(m.file for m in messages if m and m.file)).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = storage(self.path)
         for m in messages:
             if m and m.file:
                 store.delete_file(f"{root}/{m.file}")
@@ -173,7 +182,7 @@ class WarcReader(DataSourceReader):
         self.path, self.split = path, split
 
     def partitions(self) -> list[Range]:
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = storage(self.path)
         with store.open_input_stream(f"{root}/{MANIFEST}") as f:
             files = [f"{root}/{x}" for x in json.loads(f.read())]
         sizes = [(x.path, x.size) for x in store.get_file_info(files)]
@@ -182,7 +191,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.end:
             return
-        store, _ = fs.FileSystem.from_uri(self.path)
+        store, _ = storage(self.path)
         kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -52,11 +52,29 @@ def test_exact_groups_with_clashing_hashes(docs, doc_rows):
     assert exact.recipes(docs, key=weak).count() == len(doc_rows)
 
 
-def test_chunks_rebuild_the_text_and_follow_content(spark):
-    text = "".join(f"Sentence number {i} of the text. " for i in range(400))
-    row = spark.createDataFrame([(text,), ("New start. " + text,)], "t string").select(exact.chunks(F.col("t")).alias("c")).collect()
-    assert "".join(row[0].c) == text and len(row[0].c) > 5
-    assert len(set(row[0].c) & set(row[1].c)) >= 1 or len(row[1].c) > 5
+@pytest.mark.parametrize("kind", ["sentences", "no marks", "no spaces", "ideographs", "one letter"])
+def test_chunks_rebuild_the_text_and_follow_content(spark, kind):
+    rng = np.random.default_rng(6)
+    letters = list("etaoinshrdlucmfwypvbgkqjxz")
+    share = 1 / np.arange(1, 27)
+    word = lambda: "".join(rng.choice(letters, rng.integers(2, 9), p=share / share.sum()))
+    vocabulary = [word() for _ in range(3000)]
+    text = {
+        "sentences": lambda: "".join(" ".join(rng.choice(vocabulary, 12)) + ". " for _ in range(500)),
+        "no marks": lambda: " ".join(rng.choice(vocabulary, 6000)),
+        "no spaces": lambda: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 40000)),
+        "ideographs": lambda: "".join(rng.choice([*map(chr, range(0x4E00, 0x4F00)), *"的是、。"], 40000)),
+        "one letter": lambda: "a" * 40000,
+    }[kind]()
+    at = len(text) // 2
+    edited = [text, "New start " + text, text[:at] + "some words " + text[at:], text[7:]]
+    row = spark.createDataFrame([(i, t) for i, t in enumerate(edited)], "i int, t string").select("i", exact.chunks(F.col("t")).alias("c")).orderBy("i").collect()
+    assert ["".join(r.c) for r in row] == edited
+    if kind != "one letter":
+        assert 20 < len(row[0].c) < 400
+        # an edit changes the chunks around it alone
+        for r in row[1:]:
+            assert sum(len(c) for c in set(row[0].c) & set(r.c)) > 0.85 * len(text), kind
 
 
 def test_drop_copies_keeps_columns(docs, doc_rows):
@@ -107,6 +125,13 @@ def test_simhash(docs, doc_rows, no_docs):
     assert simhash.drop_near_copies(docs).columns == docs.columns
 
 
+def test_simhash_drops_by_row(spark):
+    rows = [(7, "a text of its own that is like no other"), (7, ""), (None, "another text that stands alone among them"), (1, None), (9, "A text of its own that is like no other")]
+    out = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert ordered(map(tuple, out.collect())) == ordered([rows[0], rows[2], rows[3]])
+    assert ordered(map(tuple, near.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())) == ordered([rows[0], rows[2], rows[3]])
+
+
 @pytest.mark.parametrize("dense", [0, 2, 32])
 def test_simhash_links_lose_nothing(spark, dense):
     rng = np.random.default_rng(3)
@@ -381,6 +406,8 @@ def test_quality(spark, docs, doc_rows, no_docs):
             assert by_id[i].ratio == pytest.approx(ratio(t), abs=1e-9)
             assert by_id[i].kept == (not by_id[i].base_failed and by_id[i].ratio >= quality.LEAST_RATIO)
     assert quality.rate(no_docs, labels).count() == 0
+    clash = docs.withColumns({"trusted_id": F.lit(1), "id": F.lit(2), "part": F.lit(3), "good": F.lit(4), "trusted_part": F.lit(5), "r": F.lit(6), "ratio": F.lit(7)})
+    assert ordered(map(tuple, quality.rate(clash, labels, n=256).collect())) == ordered(map(tuple, got.collect()))
     assert quality.rate(docs, labels.where("false")).where("ratio <> 0").count() == 0
 
 
@@ -453,6 +480,12 @@ def test_warc(spark, split):
     assert warc.archive(pages, least_bytes=1000).where("record_type = 'revisit'").count() == 0
 
 
+def test_warc_storage():
+    assert warc.storage("file:///tmp/x")[1] == "/tmp/x"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        warc.storage("unknown://x/y")
+
+
 def test_warc_rejects_false_magic(tmp_path):
     import pyarrow as pa
 
@@ -475,8 +508,10 @@ def test_chat(spark):
     got = chat.rotate(table).collect()
     plain = [(c, n, r or "unknown", t or "") for c, n, r, t in turns]
     expected = []
-    for conv in {c for c, *_ in plain}:
-        own = sorted((n if n is not None else -1, r, t, n) for c, n, r, t in plain if c == conv)
+    dialogues = [[x for x in plain if x[0] == conv] for conv in {c for c, *_ in plain if c is not None}] + [[x] for x in plain if x[0] is None]
+    for turns_ in dialogues:
+        conv = turns_[0][0]
+        own = sorted((n if n is not None else -1, r, t, n) for _, n, r, t in turns_)
         for view in {r for _, r, _, _ in own}:
             done = ""
             for k, (_, r, t, n) in enumerate(own):
