@@ -10,13 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, written
+from .common import ascii_lower, written
 
-#: A piece ends where its last characters say so: at a word that ends in one of these marks or letters, a line
-#: end, or one of some characters that are rare in prose and common in texts without spaces; or after 256 characters.
-PIECE = r"(?s).{0,254}?(?:[aeo.,;:!?\p{Lo}]\s|[\nqxzjQXZJ79\u3001\u3002\uff0c\u7684\u4e00\u662f])|.{1,256}"
-#: One piece in so many ends a chunk, by the hash of its content; the least and greatest pieces of a chunk.
-ONE_IN, LEAST, GREATEST = 32, 4, 128
+#: Where a chunk may end, by up to four characters around: between some word ends and word beginnings of several
+#: scripts, behind some pairs in texts without spaces (ideographs, kana, encoded bytes).
+ENDS = [
+    r"(?<=[a-i][dnrt])\s(?=[a-f][l-z])",
+    r"(?<=[\u03b1-\u03b5\u0430-\u0435\u05d0-\u05d5\u0627-\u062f\u0905-\u0915])\s(?=[\u03b9-\u03be\u043a-\u043f\u05d9-\u05de\u0631-\u0639\u0924-\u0932])",
+    r"(?<=[\u4e00-\u56ff\u3042-\u304f])[\u3001\u3002\uff0c\u7684\u4e00\u662f\u3066\u306e]",
+    r"(?<=[a-h][qz9])[a-d]",
+]
+#: A chunk has 128 characters at least and ends at the next such place, at 4,096 at the latest.
+CHUNK = r"(?s).{128,4095}?(?:" + "|".join(ENDS) + r")|.{1,4096}"
 
 
 def normalised(text: Column) -> Column:
@@ -25,27 +30,8 @@ def normalised(text: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """The text cut into chunks, after pieces whose own hash says so, unless one of the ``LEAST`` - 1 pieces before has said it too.
-
-    Where a piece ends, and whether it ends a chunk, follows from the characters around: behind an edit, texts
-    are cut alike again. Of more than ``GREATEST`` pieces without such an end, each ``GREATEST`` are a chunk.
-    """
-
-    def cut(pieces: Column) -> Column:
-        says = F.transform(pieces, lambda p: F.pmod(F.xxhash64(p), F.lit(ONE_IN)) == 0)
-        before = lambda v, i: F.exists(F.slice(v, F.greatest(i - (LEAST - 2), F.lit(1)), F.least(i, F.lit(LEAST - 1))), lambda x: x)
-        own = let(says, lambda v: F.filter(F.transform(v, lambda x, i: F.when(x & ~F.coalesce(before(v, i), F.lit(False)), i + 1)), lambda x: x.isNotNull()))
-
-        def filled(ends: Column) -> Column:
-            # from each end to the one before, in steps of GREATEST
-            steps = F.transform(ends, lambda x, i: let(F.coalesce(F.get(ends, i - 1), F.lit(0)), lambda y: F.when(x - y <= GREATEST, F.array(x)).otherwise(F.array_append(F.sequence(y + GREATEST, x - 1, F.lit(GREATEST)), x))))
-            return F.flatten(steps)
-
-        last = F.size(pieces)
-        ends = let(own, lambda v: filled(F.when(F.coalesce(F.get(v, F.size(v) - 1), F.lit(0)) == last, v).otherwise(F.array_append(v, last))))
-        return let(ends, lambda v: F.transform(v, lambda x, i: let(F.coalesce(F.get(v, i - 1), F.lit(0)), lambda y: F.array_join(F.slice(pieces, y + 1, x - y), ""))))
-
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(let(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), cut))
+    """The text cut into chunks. Where one may end follows from the characters around, so that texts are cut alike again soon behind an edit."""
+    return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
 def chunk_hash(chunk: Column) -> Column:
