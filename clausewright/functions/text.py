@@ -17,8 +17,8 @@ SCALES = {"hundred": 100, "thousand": 1_000, "lakh": 100_000, "lakhs": 100_000,
 #: Duty and permission words.
 DUTY = r"(?i)\b(shall|must|should|is required to|are required to|has to|have to)\b"
 MAY = r"(?i)\bmay\b"
-#: A list marker at the start of a sentence.
-MARKER = r"(?i)^\s*(\(?[0-9ivxlc]{1,5}\)|[0-9]{1,3}\.|[a-z]{1,2}\)|[ivxlc]{1,5}\.|[a-z]\.)\s*"
+#: Fixed value: a list marker at the start of a sentence.
+MARKER = r"(?i)^\s*(?:\(?[0-9ivxlc]{1,5}\)|[0-9]{1,3}\.|[a-z]{1,2}\)|[ivxlc]{1,5}\.|[a-z]\.)\s*"
 #: A sentence: up to a full stop, a semicolon or a line's end.
 SENTENCE = r"[^\n.;]+[.;]?"
 
@@ -125,3 +125,18 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: total(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")))
     size = F.sqrt(dot(a, a) * dot(b, b))
     return F.when(size > 0, dot(a, b) / size)
+
+
+def places(text: Column, pattern: str) -> Column:
+    """Matches of a pattern as structs (s, e, m): code points, end exclusive, and the match."""
+    gaps, all_ = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sized = F.transform(all_, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("m")))
+    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + x["gap"]
+        end = start + F.length(x["m"])
+        return F.struct(end.alias("at"), F.array_append(state["all"], F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"))).alias("all"))
+
+    found = F.aggregate(sized, F.struct(F.lit(0).alias("at"), empty.alias("all")), step, lambda state: state["all"])
+    return F.when(text.rlike(pattern), found).otherwise(empty)

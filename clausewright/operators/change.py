@@ -12,9 +12,10 @@ from ..functions.text import defined_term, is_positional, under, uses_term
 
 #: Least similarity of a renumbered clause and of an edited one in its place; the blast limit.
 RENUMBERED, IN_PLACE, BLAST_LIMIT = 0.9, 0.6, 0.2
+#: Words of duty and of permission, numbers.
 DUTY = r"(?i)\b(shall|must|required to|is to|are to|not permitted|prohibited)\b"
 MAY = r"(?i)\bmay\b(?!\s+not\b)"
-NUMBER = r"(?i)\b\d[\d,.]*%?|\b(one|two|three|four|five|six|seven|eight|nine|ten|fifteen|twenty|thirty|fifty|hundred|thousand|lakh|crore)\b"
+NUMBER = r"(?i)\b\d[\d,.]*%?|\b(?:one|two|three|four|five|six|seven|eight|nine|ten|fifteen|twenty|thirty|fifty|hundred|thousand|lakh|crore)\b"
 
 
 def same_place(old: DataFrame, new: DataFrame, key: Column | None = None) -> DataFrame:
