@@ -452,6 +452,52 @@ def test_toxicity(spark, docs, doc_rows, no_docs):
     assert toxicity.drop_toxic(docs, known.where("false")).columns == docs.columns
 
 
+def risk(z, n, prior):
+    """The non-negative risk, term by term."""
+    loss = lambda x: np.log1p(np.exp(-x))
+    own = sum(loss(x) for x in z[:n]) / n
+    rest = sum(loss(-x) for x in z[n:]) / (len(z) - n) - prior * sum(loss(-x) for x in z[:n]) / n
+    return prior * own + max(0.0, rest), rest
+
+
+def test_toxicity_slopes_are_those_of_the_risk():
+    rng = np.random.default_rng(8)
+    seen = set()
+    for shift in (-4.0, -2.0, 0.0, 2.0):
+        z, n, prior = np.concatenate([rng.normal(2, 1, 7), rng.normal(shift, 1, 12)]), 7, 0.4
+        rest = risk(z, n, prior)[1]
+        seen.add(rest >= 0)
+        step = 1e-6
+        for i in range(len(z)):
+            up, down = z.copy(), z.copy()
+            up[i] += step
+            down[i] -= step
+            # below zero, the step goes up the negative part
+            of = (lambda x: risk(x, n, prior)[0]) if rest >= 0 else (lambda x: -risk(x, n, prior)[1])
+            assert toxicity.slopes(z, n, prior)[i] == pytest.approx((of(up) - of(down)) / (2 * step), abs=1e-6)
+    assert seen == {True, False}
+
+
+def test_toxicity_sample_and_prior(spark):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(60)] + [(3, "text 3")] * 50 + [(None, None)] * 40, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)] + [(None, 1), (50, None)], "doc_id bigint, toxic int")
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    got = toxicity.sampled(rows, labels, 1000, 1000).collect()
+    assert sorted(r.doc_id for r in got if r.is_p) == [i for i in range(0, 30, 3) if not out(i)]
+    assert {r.doc_id for r in got if not r.is_p} == {i for i in range(60) if i >= 30 or out(i)} | {None} and len(got) == len({(r.doc_id, r.text) for r in got})
+    assert len(toxicity.sampled(rows, labels, 2, 5).collect()) == 7
+    # all documents have a label: they are the unlabelled text, and no label of theirs is read
+    full = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60) if not out(i)], "doc_id bigint, toxic int")
+    assert len([r for r in toxicity.sampled(rows.where("doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0), full, 9, 1000).collect() if not r.is_p]) == sum(not out(i) for i in range(60))
+    kept = [i for i in range(30) if not out(i)]
+    assert toxicity.label_share(labels) == pytest.approx(sum(i % 3 == 0 for i in kept) / len(kept)) and toxicity.label_share(labels.where("toxic = 1")) is None
+    rng = np.random.default_rng(3)
+    hits = np.concatenate([np.ones(400), rng.random(4000) < 0.2]).astype(bool)
+    row = np.flatnonzero(hits)
+    sample = toxicity.Sample(row, np.full(len(row), 77), 400, 4000)
+    assert toxicity.estimated_prior(sample) == pytest.approx(0.2, abs=0.02)
+
+
 # WARC
 
 PAGES = [(1, "http://a", "<p>one</p>"), (2, None, None), (3, "http://c\nd%", ""), (4, "http://d", "<p>one</p>"), (5, "e", "é" * 70000), (6, "f", "<p>one</p>"), (None, "g", "<p>one</p>"), (7, "h", "\r\n\r\nWARC/1.1\r\n\x1f\x8b\x08"), (8, "i", "tail")]
