@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..functions.text import body, force, light_stem, sentences, unordered_pairs
+from ..functions.text import SENTENCE, body, content_words, force, light_stem, places, sentences, unordered_pairs
 from .retrieve import windows, wording_matches
+from .spans import deepest_at
 
 #: Shares of word pairs that count as near verbatim, close and absent.
 NEAR, CLOSE, ABSENT = 0.6, 0.5, 0.35
@@ -45,6 +46,23 @@ def compare(obligations: DataFrame, policies: DataFrame, key: str, stop: list[st
     return close.unionByName(rest)
 
 
+def swept(regulations: DataFrame, clauses: DataFrame, policies: DataFrame, key: str, stop: list[str] | None = None) -> DataFrame:
+    """Rows (doc, s, e, ref, share, window, missing): every sentence of ``regulations`` (doc, text) that states a number which the closest policy window doesn't.
+
+    Sentences of 40 characters, 6 content words and a number or more; ref is the deepest clause (``clauses``:
+    doc, ref, s, e, depth) that holds the sentence's start.
+    """
+    each = regulations.select("doc", F.explode(places(F.coalesce("text", F.lit("")), SENTENCE)).alias("m")).select("doc", F.col("m.s").cast("bigint").alias("s"), F.col("m.e").cast("bigint").alias("e"), F.trim("m.m").alias("quote"))
+    words = F.filter(content_words(F.col("quote"), stop), lambda w: w != "#")
+    long = each.where((F.length("quote") >= 40) & (F.size(words) >= 6))
+    stated = long.withColumn("n", F.size(N.numbers_of("quote"))).where("n > 0").drop("n")
+    asked = stated.withColumns({"id": F.concat_ws(":", F.col("doc").cast("string"), F.col("s").cast("string")), "modality": F.lit("must")})
+    differs = compare(asked.select("id", "quote", "modality"), policies, key, stop).where("kind = 'number_differs'")
+    found = asked.select("id", "doc", "s", "e").join(differs, "id").select("doc", "s", "e", "share", "window", "missing")
+    at = deepest_at(found.select("doc", F.col("s").alias("at")), clauses.select("doc", "ref", "s", "e", "depth"), ["doc"], "at", "at")
+    return found.join(at.select("doc", F.col("at").alias("s"), "ref"), ["doc", "s"], "left")
+
+
 def stated_quantities(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, ordinal, sentence, lead, dimension, value, grade, entity): periods and percentages, with the sentence before."""
     each = documents.select(key, F.posexplode(sentences(F.col(text))).alias("ordinal", "sentence"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import places
@@ -27,7 +27,11 @@ def scan(documents: DataFrame, key: list[str], text: str, rules: dict[str, str]
     """
     table = RULES if rules is None else rules
     content = F.coalesce(F.col(text), F.lit(""))
-    hits = F.flatten(F.array(*[F.transform(places(content, p), lambda m, name=name: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.lit(name).alias("rule"))) for name, p in table.items()]))
+
+    def hits_of(name: str, pattern: str) -> Column:
+        return F.transform(places(content, pattern), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.lit(name).alias("rule")))
+
+    hits = F.flatten(F.array(*[hits_of(*rule) for rule in table.items()]))
     each = documents.where(content.rlike("|".join(f"(?:{p})" for p in table.values()))).select(*key, content.alias("__text"), F.explode(hits).alias("m"))
     before = F.substring("__text", F.lit(1), F.col("m.s"))
     a = F.col("m.s") - F.length(F.regexp_extract(before, r"[^.\n]*\z", 0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import small
 from ..functions.text import action_key, located
 
 #: From a place in a text to its sentence's end: a full stop or semicolon before white space or the end, else the line's end.
@@ -90,3 +91,41 @@ def number_gaps(rows: DataFrame, by: str, number: str) -> DataFrame:
     grouped = rows.groupBy(by).agg(F.count("*").alias("paragraphs"), F.collect_set(number).alias("have"))
     missing = F.array_sort(F.array_except(F.sequence(F.lit(1), F.array_max("have")), F.col("have")))
     return grouped.select(by, "paragraphs", missing.alias("missing"), (F.col("paragraphs") - F.size("have")).alias("repeated"))
+
+
+# quotes
+
+
+def located_in(documents: DataFrame, quotes: DataFrame, document: str, text: str, quote_id: str, quote: str, words: int = 4) -> DataFrame:
+    """Rows (quote_id, document, s, e): the first place of each quote in each text that holds it.
+
+    A text that holds a quote holds ``words`` neighbouring words from within it, behind its first word, so that
+    both meet in an equality join; shorter quotes, counted first to be few, are looked for in every text.
+    """
+    cut = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
+    q = quotes.select(quote_id, quote, cut(F.col(quote)).alias("w"))
+    # the last word may be part of a longer one in the text, or lose a full stop
+    long = q.where(F.size("w") >= words + 2).select(quote_id, quote, F.array_join(F.slice("w", 2, words), " ").alias("key"))
+    runs = lambda w: F.when(F.size(w) >= words, F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.array_join(F.slice(w, i, words), " ")))
+    keys = long.select("key").distinct()
+    near = small(keys)
+    d = documents.select(document, F.explode(F.array_distinct(runs(cut(F.col(text))))).alias("key")).join(keys if near is None else near, "key", "left_semi" if near is None else "inner")
+    met = d.join(long, "key").select(document, quote_id, quote).join(documents.select(document, text), document)
+    short = small(q.where(F.size("w") < words + 2).select(quote_id, quote))
+    if short is None:
+        raise ValueError("too many quotes of a few words")
+    both = met.select(quote_id, quote, document, text).unionByName(documents.select(document, text).join(short).select(quote_id, quote, document, text))
+    at = both.select(quote_id, document, located(F.col(text), F.col(quote)).alias("x")).where("x IS NOT NULL")
+    return at.select(quote_id, document, F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+
+
+def list_item_for(text: Column, start: Column, end: Column, action: Column) -> Column:
+    """Struct (s, e) of the line behind a citation that ends in a colon which holds most of the action's words of four letters or more, half of them at least; the first of equal ones; null else."""
+    tail = F.substring(text, end + 1, F.length(text))
+    lines = F.split(tail, "\n")
+    wanted = F.array_distinct(F.filter(F.split(F.lower(action), r"\W+"), lambda w: F.length(w) > 3))
+    before = lambda i: F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    scored = F.transform(lines, lambda x, i: F.struct((-F.size(F.array_intersect(wanted, F.split(F.lower(x), r"\W+")))).alias("missing"), i.alias("i"), (end + before(i)).alias("s"), (end + before(i) + F.length(x)).alias("e")))
+    best = F.array_min(F.filter(scored, lambda x: -2 * x["missing"] >= F.size(wanted)))
+    opens = F.rtrim(F.substring(text, start + 1, end - start)).endswith(":") & (F.size(wanted) > 0)
+    return F.when(opens & best.isNotNull(), F.struct(best["s"].alias("s"), best["e"].alias("e")))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import body, content_words, cosine, sentences, word_pairs
+from ..session import small
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = 64) -> DataFrame:
@@ -15,10 +16,21 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = 64) -> Da
     Exact. Queries go in blocks of ``block`` vectors, so an item meets a block and not a query at a time; each
     task keeps its own best ``k`` of a query before the shuffle. Equal distances rank by id.
     """
-    blocks = queries.select(F.struct(F.col("id").alias("id"), F.col("vec").alias("vec")).alias("q"), F.floor(F.row_number().over(W.partitionBy(F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")) / block).alias("b"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("p"))
-    grouped = blocks.groupBy("p", "b").agg(F.collect_list("q").alias("qs"))  # at most ``block`` in a group
-    scored = items.join(grouped).select(F.col("id").alias("i_id"), F.explode(F.transform("qs", lambda q: F.struct(q["id"].alias("q_id"), F.round(1 - cosine(q["vec"], F.col("vec")), 6).alias("distance")))).alias("s"))
-    rows = scored.select("s.q_id", "i_id", "s.distance").where("distance IS NOT NULL AND q_id <> i_id")
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        """Groups of at most ``block`` vectors."""
+        part = F.pmod(F.xxhash64("id"), F.lit(64))
+        numbered = rows.select("id", "vec", part.alias("p"), F.floor((F.row_number().over(W.partitionBy(part).orderBy("id")) - 1) / block).alias("b"))
+        return numbered.groupBy("p", "b").agg(F.collect_list(F.struct("id", "vec")).alias(name)).select(name)
+
+    def best(q: Column) -> Column:
+        """The block's best ``k`` items of a query."""
+        far = F.transform("items", lambda i: F.struct(F.round(1 - cosine(q["vec"], i["vec"]), 6).alias("distance"), i["id"].alias("i_id")))
+        return F.transform(F.slice(F.array_sort(F.filter(far, lambda x: x["distance"].isNotNull() & (x["i_id"] != q["id"]))), 1, k), lambda x: F.struct(q["id"].alias("q_id"), x["i_id"].alias("i_id"), x["distance"].alias("distance")))
+
+    grouped = blocks(queries, "qs")
+    few = small(grouped, 1000)
+    scored = blocks(items, "items").join(grouped if few is None else few).select(F.explode(F.flatten(F.transform("qs", best))).alias("s"))
+    rows = scored.select("s.q_id", "s.i_id", "s.distance")
     rank = F.row_number().over(W.partitionBy("q_id").orderBy("distance", "i_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -39,27 +51,49 @@ def greedy_distinct(ranked: DataFrame, group: list[str], order: list[str], keep:
 
 def windows(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Sentence windows: every sentence, then every two neighbours; rows (key, ordinal, window)."""
-    listed = documents.select(key, sentences(F.col(text)).alias("s"))
-    singles = listed.select(key, F.posexplode("s").alias("ordinal", "window"), F.size("s").alias("n"))
-    both = F.concat(F.col("window"), F.lead("window").over(W.partitionBy(key).orderBy("ordinal")))
-    pairs = singles.select(key, (F.col("ordinal") + F.col("n")).alias("ordinal"), both.alias("window")).where("window IS NOT NULL")
-    return singles.select(key, "ordinal", "window").unionByName(pairs)
+    return documents.select(key, F.posexplode(with_neighbours(sentences(F.col(text)), lambda a, b: F.concat_ws(" ", a, b))).alias("ordinal", "window"))
+
+
+def with_neighbours(items: Column, joined) -> Column:
+    """The items, then every two neighbours ``joined``."""
+    def of(s: Column) -> Column:
+        last = F.greatest(F.size(s) - 1, F.lit(0))
+        return F.concat(s, F.zip_with(F.slice(s, 1, last), F.slice(s, 2, last), joined))
+
+    return F.element_at(F.transform(F.array(items), of), 1)
 
 
 def wording_matches(queries: DataFrame, documents: DataFrame, query_id: str, query_text: str, key: str, text: str, k: int, stop: list[str] | None = None, least: int = 3) -> DataFrame:
     """The ``k`` windows of ``documents`` that share most word pairs with each query: rows (query_id, key, ordinal, shared, share, rank).
 
     Pairs are joined by equality; a query of fewer than ``least`` pairs matches nothing. Ties go to the
-    earlier window.
+    earlier window. Where the queries have few pairs, counted first, these go to the documents, so that no pair
+    is shuffled; each sentence is cut into words once.
     """
     wanted = queries.select(query_id, word_pairs(content_words(body(F.col(query_text)), stop)).alias("pairs")).where(F.size("pairs") >= least)
     q = wanted.select(query_id, F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
-    w = windows(documents, key, text).select(key, "ordinal", F.explode(word_pairs(content_words(F.col("window"), stop))).alias("pair"))
-    shared = q.join(w, "pair").groupBy(query_id, "n", key, "ordinal").agg(F.count("*").alias("shared"))
+    each = with_neighbours(F.transform(sentences(F.col(text)), lambda s: content_words(s, stop)), lambda a, b: F.concat(a, b))
+    w = documents.select(key, F.posexplode(F.transform(each, word_pairs)).alias("ordinal", "pairs")).select(key, "ordinal", F.explode("pairs").alias("pair"))
+    few = small(q)
+    shared = (w.join(few, "pair") if few is not None else q.join(w, "pair")).groupBy(query_id, "n", key, "ordinal").agg(F.count("*").alias("shared"))
     rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("shared"), key, "ordinal"))
     return shared.withColumn("rank", rank).where(F.col("rank") <= k).select(query_id, key, "ordinal", "shared", (F.col("shared") / F.col("n")).alias("share"), "rank")
 
 
+def lexical_outside(queries: DataFrame, items: DataFrame, taken: DataFrame, k: int = 3, stop: list[str] | None = None) -> DataFrame:
+    """The ``k`` items that share most content words with each query and aren't ``taken`` (q_id, i_id): rows (q_id, i_id, shared, rank); both have id and text.
+
+    Numbers don't count; ties go to the smaller id.
+    """
+    own = lambda rows, name: rows.select(F.col("id").alias(name), F.explode(F.array_distinct(F.filter(content_words(F.col("text"), stop), lambda w: w != "#"))).alias("word"))
+    q, i = own(queries, "q_id"), own(items, "i_id")
+    few = small(q)
+    shared = (i.join(few, "word") if few is not None else q.join(i, "word")).groupBy("q_id", "i_id").agg(F.count("*").alias("shared"))
+    left = shared.join(taken.select("q_id", "i_id"), ["q_id", "i_id"], "left_anti")
+    rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("shared"), "i_id"))
+    return left.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def rank_of(chosen: Column, ranked: Column) -> Column:
     """Place of the chosen id in a ranked list, null where it is absent."""
     at = F.array_position(ranked, chosen)

@@ -66,6 +66,14 @@ def deepest_at(points: DataFrame, clauses: DataFrame, on: list[str], point_id: s
     return pairs.withColumn("__n", F.row_number().over(rank)).where("__n = 1").select(*on, point_id, F.col("r_ref").alias("ref"), F.col("r_depth").alias("depth"))
 
 
+def smallest_at(points: DataFrame, clauses: DataFrame, on: list[str], point_id: str, at: str) -> DataFrame:
+    """For each point, the shortest clause that holds it; of equal ones the first. ``clauses``: on, ref, s, e."""
+    spans = points.withColumns({"s": F.col(at), "e": F.col(at) + 1})
+    pairs = overlap_join(spans, clauses, on)
+    rank = W.partitionBy(*on, point_id).orderBy(F.col("r_e") - F.col("r_s"), "r_s", "r_ref")
+    return pairs.withColumn("__n", F.row_number().over(rank)).where("__n = 1").select(*on, point_id, F.col("r_ref").alias("ref"), (F.col("r_e") - F.col("r_s")).alias("size"))
+
+
 def best_overlap(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str) -> DataFrame:
     """For each left span, the right span that shares most with it; of equal ones the smaller id."""
     pairs = overlap_join(left, right, on).withColumn("shared", shared_length(F.col("s"), F.col("e"), F.col("r_s"), F.col("r_e")))
@@ -75,12 +83,9 @@ def best_overlap(left: DataFrame, right: DataFrame, on: list[str], left_id: str,
 
 def own_segments(clauses: DataFrame, on: list[str]) -> DataFrame:
     """What each clause holds outside the smaller clauses within it: rows (on..., ref, s, e). ``clauses``: on, ref, s, e."""
-    inner = clauses.select(*[F.col(k).alias(f"i_{k}") for k in on], F.col("s").alias("i_s"), F.col("e").alias("i_e"))
-    within = (F.col("s") <= F.col("i_s")) & (F.col("i_e") <= F.col("e")) & (F.col("i_e") - F.col("i_s") < F.col("e") - F.col("s"))
-    same = within
-    for k in on:
-        same = (F.col(k) == F.col(f"i_{k}")) & same
-    nested = clauses.join(inner, same).select(*on, "ref", "s", "e", "i_s", "i_e")
+    within = (F.col("s") <= F.col("r_s")) & (F.col("r_e") <= F.col("e")) & (F.col("r_e") - F.col("r_s") < F.col("e") - F.col("s"))
+    pairs = overlap_join(clauses.select(*on, "ref", "s", "e"), clauses.select(*on, "s", "e"), on)
+    nested = pairs.where(within).select(*on, "ref", "s", "e", F.col("r_s").alias("i_s"), F.col("r_e").alias("i_e"))
     # a mark at the clause's end closes the last segment
     marks = nested.unionByName(clauses.select(*on, "ref", "s", "e", F.col("e").alias("i_s"), F.col("e").alias("i_e")))
     order = W.partitionBy(*on, "ref", "s", "e").orderBy("i_s", "i_e").rowsBetween(W.unboundedPreceding, -1)

@@ -110,23 +110,28 @@ def clause_tree(blocks: DataFrame) -> DataFrame:
     kind = dict(placed.dtypes)["doc"]
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        rows = tree_of(part.sort_values("pos"))
-        names = ["ref", "label", "kind", "depth", "parent_ref", "chapter", "section", "s", "amended_by"]
+        part = part.sort_values("pos")
+        rows = tree_of(part)
+        # from the end: what is open at a place ends where the next clause of its depth or less begins, or the next heading
+        ahead: list[tuple[int, int]] = []
+        marks = sorted([(int(r["s"]), int(r["depth"]), r) for r in rows] + [(int(s), 0, None) for s in part.loc[part["is_heading"], "s"]], key=lambda x: x[0])
+        for s, depth, r in reversed(marks):
+            while ahead and ahead[-1][1] > depth:
+                ahead.pop()
+            if r is not None:
+                r["e"] = ahead[-1][0] - 1 if ahead else int(part["e"].max())
+            ahead.append((s, depth))
+        names = ["ref", "label", "kind", "depth", "parent_ref", "chapter", "section", "s", "e", "amended_by"]
         frame = pd.DataFrame([[r[k] for k in names] for r in rows], columns=names)
         frame.insert(0, "doc", part["doc"].iloc[0])
         return frame
 
     # settled, since spans, runs and limits below all start from it
-    opened = settled(placed.groupBy("doc").applyInPandas(build, f"doc {kind}, ref string, label string, kind string, depth int, parent_ref string, chapter string, section string, s bigint, amended_by array<string>"))
-    heads = placed.where("is_heading").select("doc", F.col("s").alias("at"), F.lit(0).alias("d"))
-    size = placed.groupBy("doc").agg(F.max("e").alias("length"))
-    limits = opened.select("doc", F.col("s").alias("at"), F.col("depth").alias("d")).unionByName(heads)
-    ends = opened.alias("a").join(limits.alias("b"), (F.col("a.doc") == F.col("b.doc")) & (F.col("b.at") > F.col("a.s")) & (F.col("b.d") <= F.col("a.depth"))).groupBy("a.doc", "a.ref").agg(F.min("b.at").alias("next"))
-    numbered = opened.join(ends, ["doc", "ref"], "left").join(size, "doc").withColumn("e", F.coalesce(F.col("next") - 1, F.col("length"))).drop("next", "length")
-    return numbered.unionByName(unnumbered(placed, numbered, opened), allowMissingColumns=True)
+    opened = settled(placed.groupBy("doc").applyInPandas(build, f"doc {kind}, ref string, label string, kind string, depth int, parent_ref string, chapter string, section string, s bigint, e bigint, amended_by array<string>"))
+    return opened.unionByName(unnumbered(placed, opened), allowMissingColumns=True)
 
 
-def unnumbered(placed: DataFrame, numbered: DataFrame, opened: DataFrame) -> DataFrame:
+def unnumbered(placed: DataFrame, numbered: DataFrame) -> DataFrame:
     """Runs of blocks outside the clauses of depth one."""
     top = numbered.where("depth = 1").select("doc", "s", "e")
     points = placed.where("NOT is_heading").select("doc", "pos", "s", "e")
@@ -161,29 +166,30 @@ def own_text(clauses: DataFrame, texts: DataFrame) -> DataFrame:
     return cut.select("doc", "ref", F.regexp_replace(own, r"^\s+|\s+$", "").alias("own"))
 
 
-def units(clauses: DataFrame, texts: DataFrame, levels: int = 8) -> DataFrame:
-    """Extraction units: rows (doc, ref, kind, start, text, context), whole clauses of 2,500 characters at most, else lead-ins and children.
+def units(clauses: DataFrame, texts: DataFrame) -> DataFrame:
+    """Extraction units: rows (doc, ref, kind, start, text, cut, context), whole clauses of 2,500 characters at most, else lead-ins and children.
 
-    A definition is split down to its leaves. Goes down the tree a level at a time, ``levels`` at most.
+    A definition is split down to its leaves. Goes down the tree a level at a time, until a level is empty. A
+    clause without children that is longer than 2,500 characters is cut there; cut says how many it lost.
     """
     q = quoted(clauses, texts).join(own_text(clauses, texts), ["doc", "ref"])
     parents = clauses.where("parent_ref IS NOT NULL").select("doc", F.col("parent_ref").alias("ref")).distinct().withColumn("has_child", F.lit(True))
     nodes = q.join(parents, ["doc", "ref"], "left").withColumn("unit_kind", F.when(F.coalesce("section", F.lit("")).rlike(r"(?i)\bdefinitions?\b"), "definition").otherwise("provision"))
     whole = ((F.length("quote") <= UNIT_CHARS) & (F.col("unit_kind") == "provision")) | F.col("has_child").isNull()
     nodes = settled(nodes)
-    level = nodes.where("depth = 1").withColumn("context", F.lit(""))
+    level = nodes.where("parent_ref IS NULL").withColumn("context", F.lit(""))
     out = None
-    for _ in range(levels):
-        leaf = level.where(whole).select("doc", "ref", "unit_kind", "s", F.substring("quote", 1, UNIT_CHARS).alias("text"), "context")
-        lead = level.where(~whole & (F.col("own") != "")).select("doc", F.concat("ref", F.lit("#lead")).alias("ref"), "unit_kind", "s", F.col("own").alias("text"), "context")
+    while out is None or not level.isEmpty():
+        leaf = level.where(whole).select("doc", "ref", "unit_kind", "s", F.substring("quote", 1, UNIT_CHARS).alias("text"), F.greatest(F.length("quote") - UNIT_CHARS, F.lit(0)).alias("cut"), "context")
+        lead = level.where(~whole & (F.col("own") != "")).select("doc", F.concat("ref", F.lit("#lead")).alias("ref"), "unit_kind", "s", F.col("own").alias("text"), F.lit(0).alias("cut"), "context")
         part = leaf.unionByName(lead)
         out = part if out is None else out.unionByName(part)
         context = F.trim(F.concat_ws(" ", "context", "own"))
         tail = F.substring(context, F.greatest(F.length(context) - CONTEXT_CHARS + 1, F.lit(1)), F.lit(CONTEXT_CHARS))
         down = level.where(~whole).select("doc", F.col("ref").alias("parent_ref"), tail.alias("context"))
-        level = nodes.join(down, ["doc", "parent_ref"])
+        level = settled(nodes.join(down, ["doc", "parent_ref"]))
     asks = F.col("text").rlike(NORMATIVE) | ((F.col("unit_kind") == "definition") & (F.length("text") >= 50) & F.col("text").rlike(DEFINES))
-    return out.where(asks).select("doc", "ref", F.col("unit_kind").alias("kind"), F.col("s").alias("start"), "text", "context")
+    return out.where(asks).select("doc", "ref", F.col("unit_kind").alias("kind"), F.col("s").alias("start"), "text", "cut", "context")
 
 
 def packed_sentences(text: Column, limit: int = PASSAGE_CHARS) -> Column:
@@ -218,11 +224,9 @@ def passages(clauses: DataFrame, texts: DataFrame, covered: DataFrame) -> DataFr
 
 def ancestors(clauses: DataFrame) -> DataFrame:
     """Rows (doc, ref, ancestor, steps) for every clause and what it lies under, by a recursive query."""
-    spark = clauses.sparkSession
-    clauses.select("doc", "ref", "parent_ref").createOrReplaceTempView("__clauses")
-    return spark.sql("""
+    return clauses.sparkSession.sql("""
         WITH RECURSIVE up AS (
-          SELECT doc, ref, parent_ref AS ancestor, 1 AS steps FROM __clauses WHERE parent_ref IS NOT NULL
+          SELECT doc, ref, parent_ref AS ancestor, 1 AS steps FROM {clauses} WHERE parent_ref IS NOT NULL
           UNION ALL
-          SELECT up.doc, up.ref, c.parent_ref, up.steps + 1 FROM up JOIN __clauses c ON c.doc = up.doc AND c.ref = up.ancestor WHERE c.parent_ref IS NOT NULL
-        ) SELECT doc, ref, ancestor, steps FROM up""")
+          SELECT up.doc, up.ref, c.parent_ref, up.steps + 1 FROM up JOIN {clauses} c ON c.doc = up.doc AND c.ref = up.ancestor WHERE c.parent_ref IS NOT NULL
+        ) SELECT doc, ref, ancestor, steps FROM up""", clauses=clauses.select("doc", "ref", "parent_ref"))

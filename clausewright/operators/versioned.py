@@ -74,25 +74,55 @@ class VersionStore:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
 
     def events(self) -> DataFrame:
-        return self._read("events", "event_id string, recorded_at timestamp, note string")
+        return self._read("events", "event_id string, attempt string, recorded_at timestamp, note string")
 
     def view(self) -> DataFrame:
         """All versions with effective_to and superseded_at from their closures."""
-        done = self.events().select("event_id", "recorded_at")
-        rows = self._read("versions", f"{self.schema}, effective_from timestamp, event_id string").join(F.broadcast(done), "event_id")
-        closed = self._read("closures", "id string, effective_to timestamp, event_id string").join(F.broadcast(done.withColumnRenamed("recorded_at", "superseded_at")), "event_id").drop("event_id")
-        return rows.join(closed, "id", "left")
+        done = self.events().select("attempt", "event_id", "recorded_at")
+        rows = self._read("versions", f"{self.schema}, effective_from timestamp, attempt string").join(done, "attempt").drop("attempt")
+        return rows.join(self._closed(done), "id", "left")
+
+    def _closed(self, done: DataFrame) -> DataFrame:
+        rows = self._read("closures", "id string, effective_to timestamp, attempt string")
+        return rows.join(done.select("attempt", F.col("recorded_at").alias("superseded_at")), "attempt").drop("attempt")
+
+    def simulated(self, event_id: str, recorded_at: Column, rows: DataFrame | None = None, closures: DataFrame | None = None) -> DataFrame:
+        """What ``view`` would give after this commit; nothing is written."""
+        now = self.view()
+        at = recorded_at.cast("timestamp")
+        if closures is not None:
+            new = closures.select("id", F.col("effective_to").alias("__to"), at.alias("__at"))
+            now = now.join(new, "id", "left").withColumns({"effective_to": F.coalesce("effective_to", "__to"), "superseded_at": F.coalesce("superseded_at", "__at")}).drop("__to", "__at")
+        if rows is not None:
+            now = now.unionByName(rows.withColumns({"event_id": F.lit(event_id), "recorded_at": at}), allowMissingColumns=True)
+        return now
+
+    def before_and_after(self, event_id: str, key: str) -> DataFrame:
+        """Rows (key, before, after): the ids that were believed of each key just before an event was recorded and from it on, where they differ."""
+        view = self.view()
+        at = self.events().where(F.col("event_id") == event_id).select(F.col("recorded_at").alias("__at"))  # one row
+        both = view.join(F.broadcast(at))
+        open_at = lambda started, ended: started & (F.col("superseded_at").isNull() | ended)
+        was = open_at(F.col("recorded_at") < F.col("__at"), F.col("superseded_at") >= F.col("__at"))
+        now = open_at(F.col("recorded_at") <= F.col("__at"), F.col("superseded_at") > F.col("__at"))
+        ids = lambda which: F.array_sort(F.collect_set(F.when(which, F.col("id"))))
+        return both.groupBy(key).agg(ids(was).alias("before"), ids(now).alias("after")).where("before <> after")
 
     def commit(self, event_id: str, recorded_at: Column, rows: DataFrame | None = None, closures: DataFrame | None = None, note: str = "") -> None:
-        """Appends ``rows`` (schema, effective_from) and ``closures`` (id, effective_to); an event is committed once."""
+        """Appends ``rows`` (schema, effective_from) and ``closures`` (id, effective_to); an event is committed once.
+
+        Rows carry the id of the attempt that wrote them, and the event names its attempt: what an attempt that
+        failed halfway has left is never read, even when the event is tried again.
+        """
         if self.read_only:
             raise PermissionError("the store is open for reading only")
         if not self.events().where(F.col("event_id") == event_id).isEmpty():
             raise ValueError(f"event {event_id} is already committed")
+        attempt = uuid.uuid4().hex
         for name, part in (("versions", rows), ("closures", closures)):
             if part is not None:
-                part.withColumn("event_id", F.lit(event_id)).write.mode("append").parquet(f"{self.path}/{name}")
-        event = self.spark.range(1).select(F.lit(event_id).alias("event_id"), recorded_at.cast("timestamp").alias("recorded_at"), F.lit(note).alias("note"))
+                part.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{self.path}/{name}")
+        event = self.spark.range(1).select(F.lit(event_id).alias("event_id"), F.lit(attempt).alias("attempt"), recorded_at.cast("timestamp").alias("recorded_at"), F.lit(note).alias("note"))
         event.write.mode("append").parquet(f"{self.path}/events")
 
 

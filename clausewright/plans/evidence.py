@@ -158,12 +158,12 @@ def insert_new_only(spark, sf):
     return V.insert_new(before, after, ["o_orderkey"]).select("o_orderkey", "o_orderstatus")
 
 
-@query("""WITH a AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey % 3 = 0), b AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey % 3 = 1),
+@query("""WITH a AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 1),
 d AS (SELECT *, 'removed' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'added' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
 SELECT l_returnflag, l_linestatus, l_linenumber, side, count(*) AS n FROM d GROUP BY ALL""")
 def snapshot_diff(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber")
-    part = lambda k: lines.where(f"l_orderkey % 3 = {k}").drop("l_orderkey")
+    part = lambda k: lines.where(f"l_orderkey % 2 = {k}").drop("l_orderkey")
     return V.multiset_difference(part(0), part(1)).groupBy("l_returnflag", "l_linestatus", "l_linenumber", "side").agg(F.count("*").alias("n"))
 
 

@@ -24,13 +24,13 @@ def query(sql: str):
     return put
 
 
-@query(r"""WITH q AS (SELECT doc_id, text, lang, item, regexp_replace(trim(substr(text, item, 40)), '\.+$', '') AS quote FROM documents, (VALUES (1), (41), (101)) v(item)),
+@query(r"""WITH q AS (SELECT doc_id, text, lang, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS item, regexp_replace(trim(unnest(string_split(text, chr(10)))), '\.+$', '') AS quote FROM documents),
 a AS (SELECT *, CASE WHEN length(quote) >= 12 AND strpos(text, quote) > 0 THEN strpos(text, quote) - 1 END AS s FROM q),
 b AS (SELECT *, s + length(regexp_extract(substr(text, s + 1), '^[^.;\n]*(?:[.;]+[^ \t\n\r\f.;][^.;\n]*)*[.;]*')) AS e FROM a)
 SELECT doc_id, item, s, e, CASE WHEN s IS NULL THEN 'rejected' WHEN row_number() OVER (PARTITION BY doc_id, s, e, lang ORDER BY item) > 1 THEN 'duplicate' ELSE 'kept' END AS outcome FROM b""")
 def citation_gate(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", F.explode(F.array(F.lit(1), F.lit(41), F.lit(101))).alias("item"))
-    items = docs.withColumn("quote", F.substring(F.col("text"), F.col("item"), F.lit(40)))
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", F.posexplode(F.split("text", "\n")).alias("at", "quote"))
+    items = docs.withColumn("item", F.col("at").cast("bigint") + 1)
     return R.gated(items, "doc_id", "item", "text", "quote", "lang").select("doc_id", "item", "s", "e", "outcome")
 
 
@@ -64,14 +64,14 @@ def metadata_backfill(spark, sf):
     return R.backfilled(c.select("c_custkey", "c_mktsegment", "c_acctbal"), updates, "c_custkey", ["c_mktsegment", "c_acctbal"])
 
 
-@query("""WITH k AS (SELECT l_orderkey * 10 + l_linenumber AS key_id, l_quantity AS s, l_suppkey AS e, l_returnflag AS action, l_partkey AS ref FROM lineitem WHERE l_orderkey % 2 = 0), r AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, l_quantity AS s, l_suppkey AS e, l_returnflag AS action, l_partkey AS ref FROM lineitem WHERE l_orderkey % 3 = 0),
+@query("""WITH k AS (SELECT l_orderkey * 10 + l_linenumber AS key_id, l_quantity AS s, l_suppkey AS e, l_returnflag AS action, l_partkey AS ref FROM lineitem WHERE l_orderkey % 2 = 0), r AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, l_quantity AS s, l_suppkey AS e, l_returnflag AS action, l_partkey AS ref FROM lineitem WHERE l_orderkey % 2 = 1),
 x AS (SELECT s, e, action, min(row_id) AS i FROM r GROUP BY s, e, action), y AS (SELECT s, e, min(row_id) AS i FROM r GROUP BY s, e HAVING count(*) = 1), z AS (SELECT action, ref, min(row_id) AS i FROM r GROUP BY action, ref HAVING count(*) = 1)
 SELECT key_id, coalesce(x.i, y.i, z.i) AS row_id, CASE WHEN x.i IS NOT NULL THEN 'exact' WHEN y.i IS NOT NULL THEN 'span' WHEN z.i IS NOT NULL THEN 'action_ref' ELSE 'none' END AS level
 FROM k LEFT JOIN x ON k.s = x.s AND k.e = x.e AND k.action = x.action LEFT JOIN y ON k.s = y.s AND k.e = y.e LEFT JOIN z ON k.action = z.action AND k.ref = z.ref""")
 def three_level_match(spark, sf):
     lines = table(spark, sf, "lineitem")
     rows = lambda name: lines.select("l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias(name), F.col("l_quantity").alias("s"), F.col("l_suppkey").alias("e"), F.col("l_returnflag").alias("action"), F.col("l_partkey").alias("ref"))
-    return R.linked(rows("key_id").where("l_orderkey % 2 = 0"), rows("row_id").where("l_orderkey % 3 = 0"), "key_id", "row_id", ["s", "e"], "action", "ref")
+    return R.linked(rows("key_id").where("l_orderkey % 2 = 0"), rows("row_id").where("l_orderkey % 2 = 1"), "key_id", "row_id", ["s", "e"], "action", "ref")
 
 
 PRECEDENCE = {"2-HIGH": 1, "1-URGENT": 2, "5-LOW": 3}
@@ -89,25 +89,25 @@ def judge_agreement(spark, sf):
     return R.agreement(both, ["source"], F.col("quality") == 1, F.col("toxic") == 1)
 
 
-@query("""WITH b AS (SELECT o_orderpriority AS p, o_custkey AS v, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2), a AS (SELECT o_orderpriority AS p, o_custkey AS v, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2)
+@query("""WITH b AS (SELECT o_orderpriority AS p, o_custkey AS v, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2), a AS (SELECT o_orderpriority AS p, o_custkey AS v, count(*) AS n FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1, 2)
 SELECT coalesce(b.p, a.p) AS o_orderpriority, sum(greatest(0, coalesce(b.n, 0) - coalesce(a.n, 0)))::BIGINT AS removed, sum(greatest(0, coalesce(a.n, 0) - coalesce(b.n, 0)))::BIGINT AS added FROM b FULL JOIN a ON b.p = a.p AND b.v = a.v GROUP BY 1""")
 def snapshot_sections(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
-    return R.section_differences(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), "o_orderpriority", "o_custkey")
+    return R.section_differences(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_orderpriority", "o_custkey")
 
 
-@query("""WITH g AS (SELECT l_orderkey, count(*) AS paragraphs, list(DISTINCT l_linenumber) AS have FROM lineitem WHERE l_quantity > 10 GROUP BY 1)
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS paragraphs, list(DISTINCT l_linenumber) AS have FROM lineitem GROUP BY 1)
 SELECT l_orderkey, paragraphs, array_to_string(list_filter(range(1, list_max(have) + 1), lambda x: NOT list_contains(have, x::INT)), ',') AS missing, paragraphs - len(have) AS repeated FROM g""")
 def paragraph_sequence(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_quantity > 10").select("l_orderkey", "l_linenumber")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
     return R.number_gaps(lines, "l_orderkey", "l_linenumber").withColumn("missing", F.array_join("missing", ","))
 
 
-@query("""WITH b AS (SELECT CASE WHEN c >= 1.0 THEN '1.00' WHEN c >= 0.95 THEN '0.95 to 0.99' WHEN c >= 0.8 THEN '0.80 to 0.94' ELSE 'below 0.80' END AS band, quality FROM (SELECT (d.doc_id % 51 + 50) / 100.0 AS c, quality FROM documents d JOIN labels USING (doc_id) WHERE lang = 'en')),
+@query("""WITH b AS (SELECT CASE WHEN c >= 1.0 THEN '1.00' WHEN c >= 0.95 THEN '0.95 to 0.99' WHEN c >= 0.8 THEN '0.80 to 0.94' ELSE 'below 0.80' END AS band, quality FROM (SELECT (d.doc_id % 51 + 50) / 100.0 AS c, quality FROM documents d JOIN labels USING (doc_id))),
 g AS (SELECT band, count(*) FILTER (WHERE quality = 1) AS r, count(*) AS k FROM b GROUP BY 1)
 SELECT band, CASE WHEN k >= 30 THEN round(100 * r / k)::BIGINT || ' % of ' || k || ' checked findings in this band were right' ELSE r || ' of ' || k || ' checked findings in this band were right; too few for a percentage' END AS note FROM g""")
 def confidence_notes(spark, sf):
-    both = table(spark, sf, "documents").where("lang = 'en'").select("doc_id").join(table(spark, sf, "labels"), "doc_id")
+    both = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id")
     bands = evaluate.reliability(both, (F.col("doc_id") % 51 + 50) / 100, F.col("quality") == 1)
     return bands.select("band", display.confidence_note(F.col("right"), F.col("known")).alias("note"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import calls, evaluate, guard, retrieve
+from ..operators import calls, evaluate, guard, judge, retrieve
 from ..operators import rules as R
 from ..operators import versioned as V
 from ..session import table
@@ -252,9 +252,9 @@ def latest_profile(spark, sf):
     return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"))
 
 
-@query("SELECT l_suppkey, l_linestatus, array_to_string(list_sort(list_distinct(list(l_linenumber))), ',') AS values FROM lineitem WHERE l_quantity > 48 GROUP BY 1, 2 HAVING count(DISTINCT l_linenumber) >= 2")
+@query("SELECT l_suppkey, l_linestatus, array_to_string(list_sort(list_distinct(list(l_linenumber))), ',') AS values FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_linenumber) >= 2")
 def distinct_having(spark, sf):
-    grouped = table(spark, sf, "lineitem").where("l_quantity > 48").groupBy("l_suppkey", "l_linestatus").agg(F.array_sort(F.collect_set("l_linenumber")).alias("values"))
+    grouped = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linestatus").agg(F.array_sort(F.collect_set("l_linenumber")).alias("values"))
     return grouped.where(F.size("values") >= 2).withColumn("values", F.array_join("values", ","))
 
 
@@ -320,9 +320,10 @@ def cache_hit_miss(spark, sf):
 GUARD = {"that_with": r"(?i)\bthat\b[^.\n]{0,40}\bwith\b", "for_this": r"(?i)\bfor\b[^.\n]{0,30}\bthis\b"}
 
 
-@query("""WITH s AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[.\\n]')) AS sentence, generate_subscripts(regexp_split_to_array(text, '[.\\n]'), 1) - 1 AS position FROM conversations),
-m AS (SELECT *, array_to_string(list_filter([CASE WHEN regexp_matches(sentence, '(?i)\\bfor\\b[^.\\n]{0,30}\\bthis\\b') THEN 'for_this' END, CASE WHEN regexp_matches(sentence, '(?i)\\bthat\\b[^.\\n]{0,40}\\bwith\\b') THEN 'that_with' END], lambda x: x IS NOT NULL), '+') AS rules FROM s)
-SELECT conv_id, turn, position, trim(sentence) AS sentence, rules FROM m WHERE rules <> ''""")
+@query("""WITH s AS (SELECT conv_id, turn, text, unnest(regexp_split_to_array(text, '[.\\n]')) AS sentence, generate_subscripts(regexp_split_to_array(text, '[.\\n]'), 1) AS position FROM conversations),
+o AS (SELECT *, coalesce(sum(length(sentence) + 1) OVER (PARTITION BY conv_id, turn ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s),
+m AS (SELECT *, array_to_string(list_filter([CASE WHEN regexp_matches(sentence, '(?i)\\bfor\\b[^.\\n]{0,30}\\bthis\\b') THEN 'for_this' END, CASE WHEN regexp_matches(sentence, '(?i)\\bthat\\b[^.\\n]{0,40}\\bwith\\b') THEN 'that_with' END], lambda x: x IS NOT NULL), '+') AS rules, substr(text, off::INT + 1, length(sentence) + 1) AS raw FROM o)
+SELECT conv_id, turn, (off + length(raw) - length(ltrim(raw, ' ' || chr(9) || chr(10))))::BIGINT AS char_start, trim(raw, ' ' || chr(9) || chr(10)) AS sentence, rules FROM m WHERE rules <> ''""")
 def guard_scan(spark, sf):
     return guard.scan(table(spark, sf, "conversations"), ["conv_id", "turn"], "text", GUARD)
 
@@ -333,8 +334,49 @@ def score_by_operator(spark, sf):
     return evaluate.rates(both, ["source", "quality"], F.col("toxic") == 0)
 
 
-@query("""WITH t AS (SELECT DISTINCT o_custkey, o_orderpriority AS ref FROM orders WHERE o_orderkey % 2 = 0), f AS (SELECT DISTINCT o_custkey, o_orderpriority AS ref FROM orders WHERE o_orderkey % 3 = 0)
+@query("""WITH t AS (SELECT DISTINCT o_custkey, o_orderpriority AS ref FROM orders WHERE o_orderkey % 2 = 0), f AS (SELECT DISTINCT o_custkey, o_orderpriority AS ref FROM orders WHERE o_orderkey % 2 = 1)
 SELECT coalesce(t.o_custkey, f.o_custkey) AS o_custkey, count(*) FILTER (WHERE t.ref IS NOT NULL AND f.ref IS NOT NULL) AS found, count(*) FILTER (WHERE f.ref IS NULL) AS missed, count(*) FILTER (WHERE t.ref IS NULL) AS extra FROM t FULL JOIN f ON t.o_custkey = f.o_custkey AND t.ref = f.ref GROUP BY 1""")
 def change_found_missed(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("ref"))
-    return evaluate.found_missed_extra(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), "o_custkey", "ref")
+    return evaluate.found_missed_extra(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_custkey", "ref")
+
+
+# judge
+
+ANSWERS_SQL = """SELECT o_orderkey AS obligation, CASE o_orderkey % 5 WHEN 0 THEN 'covered' WHEN 1 THEN 'partial' WHEN 2 THEN 'missing' WHEN 3 THEN 'odd' END AS verdict, CASE WHEN o_orderkey % 5 < 4 THEN CASE o_custkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'no_owner_or_evidence' ELSE 'optional_not_mandatory' END END AS issue,
+  CASE WHEN o_orderkey % 7 < 5 THEN 'k' || (o_custkey % 50) END AS control, (o_orderkey % 11) / 10.0 AS confidence, CASE WHEN o_orderkey % 2 = 0 THEN 'must' ELSE 'may' END AS modality, CASE WHEN o_orderkey % 13 > 0 THEN 'k' || (o_orderkey % 40) END AS top FROM orders"""
+GATE_SQL = f"""WITH a AS ({ANSWERS_SQL}), b AS (SELECT *, CASE WHEN verdict IS NULL THEN 'no answer' WHEN verdict = 'odd' THEN 'verdict odd, issue ' || issue END AS unclear, control IS NOT NULL AND substr(control, 2)::INT < 40 AS known FROM a),
+c AS (SELECT *, CASE WHEN unclear IS NOT NULL THEN top WHEN verdict = 'missing' THEN NULL WHEN known THEN control ELSE top END AS named FROM b), d AS (SELECT *, unclear IS NULL AND verdict <> 'missing' AND named IS NULL AS nothing FROM c),
+e AS (SELECT obligation, modality, CASE WHEN unclear IS NOT NULL THEN 'partial' WHEN nothing THEN 'missing' ELSE verdict END AS verdict, CASE WHEN unclear IS NOT NULL THEN 'unclear' ELSE issue END AS issue, named AS control, CASE WHEN unclear IS NOT NULL THEN 0.0 ELSE least(1.0, confidence) END::DOUBLE AS confidence,
+ CASE WHEN unclear IS NOT NULL OR nothing THEN false WHEN verdict = 'missing' THEN true ELSE known END AS citation_ok, unclear FROM d),
+g AS (SELECT obligation, verdict, issue, control, confidence, citation_ok, CASE WHEN unclear IS NOT NULL THEN 'unspecified' WHEN verdict = 'missing' THEN 'missing_control' WHEN issue = 'optional_not_mandatory' THEN CASE WHEN modality <> 'may' THEN 'weak_modality' END WHEN verdict = 'partial' THEN CASE issue WHEN 'no_owner_or_evidence' THEN 'design_deficiency' ELSE 'unspecified' END WHEN issue = 'no_owner_or_evidence' THEN 'design_deficiency' END AS gap_type, unclear FROM e)"""
+
+
+def gate(spark, sf):
+    """A judge's answers on orders: some of other names, some left out, some naming controls that don't exist."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    verdict = F.when(key % 5 == 0, "covered").when(key % 5 == 1, "partial").when(key % 5 == 2, "missing").when(key % 5 == 3, "odd")
+    issue = F.when(key % 5 < 4, F.when(cust % 3 == 0, "none").when(cust % 3 == 1, "no_owner_or_evidence").otherwise("optional_not_mandatory"))
+    name = lambda n: F.concat(F.lit("k"), n.cast("string"))
+    answers = o.select(key.alias("obligation"), verdict.alias("verdict"), issue.alias("issue"), F.when(key % 7 < 5, name(cust % 50)).alias("control"), F.lit("The bank keeps").alias("control_quote_start"), (key % 11 / 10.0).alias("confidence"))
+    tops = F.when(key % 13 > 0, F.array(name(key % 40))).otherwise(F.array().cast("array<string>"))
+    obligations = o.select(key.alias("id"), F.when(key % 2 == 0, "must").otherwise("may").alias("modality"), tops.alias("candidates"))
+    controls = spark.range(40).select(name(F.col("id")).alias("control"), F.concat(F.lit("The bank keeps record "), F.col("id").cast("string"), F.lit(".")).alias("quote"))
+    return judge.gated(answers.where("verdict IS NOT NULL"), obligations, controls)
+
+
+@query(GATE_SQL + " SELECT * FROM g")
+def judge_gate(spark, sf):
+    return gate(spark, sf)
+
+
+@query(GATE_SQL + """ SELECT obligation, control, gap_type, CASE WHEN unclear IS NOT NULL THEN 'medium' WHEN verdict = 'missing' THEN 'high' WHEN verdict = 'partial' THEN 'medium' ELSE 'low' END AS inherent, CASE WHEN unclear IS NOT NULL THEN 0.5 WHEN verdict = 'missing' THEN 0.8 WHEN verdict = 'partial' THEN 0.5 ELSE 0.2 END::DOUBLE AS priority, CASE WHEN unclear IS NOT NULL THEN 'review' END AS tier, CASE WHEN unclear IS NOT NULL THEN 'judge_unclear' END AS "check" FROM g WHERE gap_type IS NOT NULL AND obligation % 4 <> 1""")
+def gap_emission(spark, sf):
+    levels = table(spark, sf, "orders").select(F.col("o_orderkey").alias("obligation"), F.when(F.col("o_orderkey") % 4 == 1, "board").when(F.col("o_orderkey") % 4 == 2, "policy").alias("level"))
+    return judge.emitted_gaps(gate(spark, sf), levels)
+
+
+@query(GATE_SQL + " SELECT obligation, control, verdict, confidence, CASE WHEN citation_ok AND confidence >= 0.7 THEN 'auto' ELSE 'escalated' END AS status FROM g")
+def judged_mappings(spark, sf):
+    return judge.mappings(gate(spark, sf))

@@ -1,4 +1,4 @@
-"""Queries on text, spans, structure and change. Lexicons are words that the tables hold."""
+"""Queries on text, spans, structure and change, each over whole tables. Lexicons are words that the tables hold."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import change as C
-from ..operators import compare, evaluate, retrieve, spans
+from ..operators import compare, evaluate, records, retrieve, spans
 from ..operators import structure as S
 from ..session import table
 from ..sources import readers
@@ -29,9 +29,12 @@ def documents(spark, sf, *columns):
     return table(spark, sf, "documents").select("doc_id", "text", *columns)
 
 
-@query(r"""WITH b AS (SELECT page_id, regexp_extract_all(html, '(?s)<(p|li|h1|h2|h3)>(.*?)</(p|li|h1|h2|h3)>', 1) AS tags, regexp_extract_all(html, '(?s)<(p|li|h1|h2|h3)>(.*?)</(p|li|h1|h2|h3)>', 2) AS bodies FROM pages),
-e AS (SELECT page_id, unnest(range(0, len(tags))) AS pos, unnest(tags) AS tag, unnest(bodies) AS body FROM b), c AS (SELECT page_id, pos, tag, trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS text FROM e)
-SELECT * FROM c WHERE text <> ''""")
+TAGS = ["p", "li", "h1", "h2", "h3", "h4", "h5", "h6"]
+BLOCK_PATTERN = "(?s)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in TAGS)
+
+
+@query(rf"""WITH b AS (SELECT page_id, regexp_extract_all(html, '{BLOCK_PATTERN}') AS blocks FROM pages), e AS (SELECT page_id, unnest(range(0, len(blocks))) AS pos, unnest(blocks) AS block FROM b),
+c AS (SELECT page_id, pos, regexp_extract(block, '^<([a-z0-9]+)', 1) AS tag, trim(regexp_replace(regexp_replace(regexp_replace(block, '(?s)<sup\b[^>]*>.*?</sup>', '', 'g'), '<[^>]*>', ' ', 'g'), '[\s\x{{00A0}}]+', ' ', 'g')) AS text FROM e) SELECT * FROM c WHERE text <> ''""")
 def page_blocks(spark, sf):
     return readers.page_blocks(table(spark, sf, "pages"), "page_id", "html")
 
@@ -50,7 +53,7 @@ def repeated_lines(spark, sf):
 
 SENTENCES_SQL = r"list_filter(regexp_extract_all({}, '[^\n.;]+[.;]?'), lambda s: length(trim(s)) >= 26)"
 SENTENCE_ROWS = f"""s AS (SELECT doc_id, {SENTENCES_SQL.format('text')} AS l FROM documents), e AS (SELECT doc_id, unnest(range(0, len(l))) AS ordinal, unnest(l) AS sentence, len(l) AS n FROM s),
-w AS (SELECT doc_id, ordinal, sentence AS "window" FROM e UNION ALL SELECT doc_id, ordinal + n, w FROM (SELECT doc_id, ordinal, n, sentence || lead(sentence) OVER (PARTITION BY doc_id ORDER BY ordinal) AS w FROM e) WHERE w IS NOT NULL)"""
+w AS (SELECT doc_id, ordinal, sentence AS "window" FROM e UNION ALL SELECT doc_id, ordinal + n, w FROM (SELECT doc_id, ordinal, n, sentence || ' ' || lead(sentence) OVER (PARTITION BY doc_id ORDER BY ordinal) AS w FROM e) WHERE w IS NOT NULL)"""
 
 
 @query(f"WITH {SENTENCE_ROWS} SELECT doc_id, ordinal, sha256(\"window\") AS window_sha256 FROM w")
@@ -96,12 +99,10 @@ def action_keys(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.action_key(F.col("p_name")).alias("action_key"))
 
 
-WORDS = ["organisations", "utilised", "advise", "class", "banks", "its", "gas", "boxes"]
-
-
-@query("WITH w(word) AS (VALUES " + ", ".join(f"('{w}')" for w in WORDS) + "), z AS (SELECT word, replace(replace(replace(word, 'isation', 'ization'), 'ised', 'ized'), 'ise', 'ize') AS s FROM w) SELECT word, CASE WHEN length(s) > 3 AND regexp_matches(s, '[^s]s$') THEN s[:-2] ELSE s END AS stem FROM z")
+@query("WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), z AS (SELECT word, replace(replace(replace(word, 'isation', 'ization'), 'ised', 'ized'), 'ise', 'ize') AS s FROM w) SELECT word, CASE WHEN length(s) > 3 AND regexp_matches(s, '[^s]s$') THEN s[:-2] ELSE s END AS stem FROM z")
 def light_stems(spark, sf):
-    return spark.createDataFrame([(w,) for w in WORDS], "word string").select("word", T.light_stem(F.col("word")).alias("stem"))
+    words = documents(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", T.light_stem(F.col("word")).alias("stem"))
 
 
 @query("SELECT o_orderkey, CASE WHEN d % 365 = 0 THEN (d // 365) || CASE WHEN d = 365 THEN ' year' ELSE ' years' END WHEN d % 30 = 0 THEN (d // 30) || CASE WHEN d = 30 THEN ' month' ELSE ' months' END ELSE d || CASE WHEN d = 1 THEN ' day' ELSE ' days' END END AS period FROM (SELECT o_orderkey, o_orderkey % 1500 + 1 AS d FROM orders)")
@@ -109,20 +110,19 @@ def period_words(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", T.days_in_words(F.col("o_orderkey") % 1500 + 1).alias("period"))
 
 
-NOTES = [(1, "Inserted with effect from June 12, 2025 by order"), (2, "with effect from Foo 3, 2025"), (3, "no date"), (4, "‘beneficial owner’ means a person"), (5, "(a) “account” includes a line"), (6, "the 'x' is late")]
-
-
-@query("SELECT * FROM (VALUES (1, DATE '2025-06-12', NULL), (2, NULL, NULL), (3, NULL, NULL), (4, NULL, 'beneficial owner'), (5, NULL, 'account'), (6, NULL, NULL)) t(id, since, term)")
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderdate::DATE END AS since, CASE o_orderkey % 3 WHEN 2 THEN lower(o_orderpriority) END AS term FROM orders")
 def markers_and_terms(spark, sf):
-    return spark.createDataFrame(NOTES, "id int, text string").select("id", T.marker_date(F.col("text")).alias("since"), T.defined_term(F.col("text")).alias("term"))
+    o = table(spark, sf, "orders")
+    key = F.col("o_orderkey") % 3
+    since = F.concat(F.lit("Inserted with effect from "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" by order"))
+    text = F.when(key == 0, since).when(key == 1, F.lit("with effect from Foo 3, 2025")).otherwise(F.concat(F.lit("(a) “"), F.lower("o_orderpriority"), F.lit("” includes a line")))
+    return o.select("o_orderkey", T.marker_date(text).alias("since"), T.defined_term(text).alias("term"))
 
 
-@query("""WITH q AS (SELECT item_id, regexp_replace(trim(substr(text, 1, 60)), '\\.+$', '') AS quote FROM benchmark) SELECT item_id, doc_id, strpos(text, quote) - 1 AS s, strpos(text, quote) - 1 + length(quote) AS e FROM q JOIN documents ON contains(text, quote) WHERE length(quote) >= 12""")
+@query("""WITH q AS (SELECT item_id, regexp_replace(trim(text), '\\.+$', '') AS quote FROM benchmark) SELECT item_id, doc_id, strpos(text, quote) - 1 AS s, strpos(text, quote) - 1 + length(quote) AS e FROM q JOIN documents ON contains(text, quote) WHERE length(quote) >= 12""")
 def locate_quotes(spark, sf):
-    quotes = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 60).alias("quote"))
-    # a rule-table-sized set of quotes against all texts
-    at = documents(spark, sf).join(F.broadcast(quotes)).select("item_id", "doc_id", T.located(F.col("text"), F.col("quote")).alias("x")).where("x IS NOT NULL")
-    return at.select("item_id", "doc_id", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+    quotes = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return records.located_in(documents(spark, sf), quotes, "doc_id", "text", "item_id", "quote")
 
 
 # spans: lines of documents as clauses, every 97th position as a point
@@ -139,25 +139,25 @@ def line_spans(spark, sf):
     return placed.where("n > 0").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "s", (F.col("s") + F.col("n")).alias("e"))
 
 
-@query(f"WITH {LINE_SPANS_SQL}, w AS (SELECT doc_id, pos, greatest(0, s - 20) AS s, e + 15 * (pos % 3) AS e FROM c), m AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM w WHERE pos % 2 = 0) SELECT doc_id, sum(greatest(0, e - greatest(s, coalesce(r, 0))))::BIGINT AS covered FROM m GROUP BY 1")
+@query(f"WITH {LINE_SPANS_SQL}, w AS (SELECT doc_id, pos, greatest(0, s - 20) AS s, e + 15 * (pos % 3) AS e FROM c), m AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM w) SELECT doc_id, sum(greatest(0, e - greatest(s, coalesce(r, 0))))::BIGINT AS covered FROM m GROUP BY 1")
 def coverage_islands(spark, sf):
-    wide = line_spans(spark, sf).where("pos % 2 = 0").select("doc_id", F.greatest(F.lit(0), F.col("s") - 20).alias("s"), (F.col("e") + 15 * (F.col("pos") % 3)).alias("e"))
+    wide = line_spans(spark, sf).select("doc_id", F.greatest(F.lit(0), F.col("s") - 20).alias("s"), (F.col("e") + 15 * (F.col("pos") % 3)).alias("e"))
     return spans.coverage(wide, ["doc_id"])
 
 
-@query(f"WITH {LINE_SPANS_SQL}, k AS (SELECT doc_id, pos, s, e, pos % 3 AS depth FROM c UNION ALL SELECT doc_id, pos + 100000, s, e + 200, 1 FROM c WHERE pos % 4 = 0), x AS (SELECT doc_id, pos, s + 3 AS at FROM c WHERE pos % 5 = 0), r AS (SELECT x.doc_id, x.pos, k.pos AS ref, depth, row_number() OVER (PARTITION BY x.doc_id, x.pos ORDER BY depth DESC, k.s, k.pos) AS n FROM x JOIN k ON x.doc_id = k.doc_id AND k.s <= x.at AND x.at < k.e) SELECT doc_id, pos, ref, depth FROM r WHERE n = 1")
+@query(f"WITH {LINE_SPANS_SQL}, k AS (SELECT doc_id, pos, s, e, pos % 3 AS depth FROM c UNION ALL SELECT doc_id, pos + 100000, s, e + 200, 1 FROM c WHERE pos % 4 = 0), x AS (SELECT doc_id, pos, s + 3 AS at FROM c), r AS (SELECT x.doc_id, x.pos, k.pos AS ref, depth, row_number() OVER (PARTITION BY x.doc_id, x.pos ORDER BY depth DESC, k.s, k.pos) AS n FROM x JOIN k ON x.doc_id = k.doc_id AND k.s <= x.at AND x.at < k.e) SELECT doc_id, pos, ref, depth FROM r WHERE n = 1")
 def deepest_clause(spark, sf):
     c = line_spans(spark, sf)
     clauses = c.select("doc_id", F.col("pos").alias("ref"), "s", "e", (F.col("pos") % 3).alias("depth")).unionByName(c.where("pos % 4 = 0").select("doc_id", (F.col("pos") + 100000).alias("ref"), "s", (F.col("e") + 200).alias("e"), F.lit(1).cast("bigint").alias("depth")))
-    points = c.where("pos % 5 = 0").select("doc_id", "pos", (F.col("s") + 3).alias("at"))
+    points = c.select("doc_id", "pos", (F.col("s") + 3).alias("at"))
     return spans.deepest_at(points, clauses, ["doc_id"], "pos", "at")
 
 
-@query(f"WITH {LINE_SPANS_SQL}, a AS (SELECT * FROM c WHERE pos % 3 = 0), b AS (SELECT doc_id, pos AS other, greatest(0, s - 50) AS s, e + 30 AS e FROM c WHERE pos % 2 = 1), r AS (SELECT a.doc_id, a.pos, other, least(a.e, b.e) - greatest(a.s, b.s) AS shared, row_number() OVER (PARTITION BY a.doc_id, a.pos ORDER BY least(a.e, b.e) - greatest(a.s, b.s) DESC, other) AS n FROM a JOIN b ON a.doc_id = b.doc_id AND a.s < b.e AND b.s < a.e) SELECT doc_id, pos, other, shared FROM r WHERE n = 1")
+@query(f"WITH {LINE_SPANS_SQL}, a AS (SELECT * FROM c), b AS (SELECT doc_id, pos AS other, greatest(0, s - 50 - 30 * (pos % 2)) AS s, e - (e - s) // 2 + 30 * (pos % 3) AS e FROM c), r AS (SELECT a.doc_id, a.pos, other, least(a.e, b.e) - greatest(a.s, b.s) AS shared, row_number() OVER (PARTITION BY a.doc_id, a.pos ORDER BY least(a.e, b.e) - greatest(a.s, b.s) DESC, other) AS n FROM a JOIN b ON a.doc_id = b.doc_id AND a.s < b.e AND b.s < a.e) SELECT doc_id, pos, other, shared FROM r WHERE n = 1")
 def max_overlap(spark, sf):
     c = line_spans(spark, sf)
-    other = c.where("pos % 2 = 1").select("doc_id", F.col("pos").alias("other"), F.greatest(F.lit(0), F.col("s") - 50).alias("s"), (F.col("e") + 30).alias("e"))
-    return spans.best_overlap(c.where("pos % 3 = 0"), other, ["doc_id"], "pos", "other")
+    other = c.select("doc_id", F.col("pos").alias("other"), F.greatest(F.lit(0), F.col("s") - 50 - 30 * (F.col("pos") % 2)).alias("s"), (F.col("e") - F.expr("(e - s) div 2") + 30 * (F.col("pos") % 3)).alias("e"))
+    return spans.best_overlap(c, other, ["doc_id"], "pos", "other")
 
 
 @query(f"WITH {LINE_SPANS_SQL}, t AS (SELECT doc_id, max(e) AS whole FROM c GROUP BY 1), m AS (SELECT doc_id, s, e FROM c JOIN t USING (doc_id) WHERE e - s < whole UNION ALL SELECT doc_id, whole, whole FROM t), g AS (SELECT doc_id, s, coalesce(max(e) OVER w, 0) AS f FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT doc_id, count(*) AS gaps, sum(s - f)::BIGINT AS chars FROM g WHERE s > f GROUP BY 1")
@@ -175,15 +175,24 @@ def span_integrity(spark, sf):
     return both.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.length(piece) != F.col("e") - F.col("s")).alias("broken"))
 
 
-@query(f"""WITH {LINE_SPANS_SQL}, k AS (SELECT doc_id AS key_id, 'r' || (doc_id % 50) AS ref, s, e FROM c WHERE pos = 0), f AS (SELECT doc_id AS id, 'r' || (doc_id % 50) AS ref, s + 10 AS s, e AS e, CASE WHEN doc_id % 3 = 0 THEN 'weak' ELSE 'none' END AS gap_type, CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'review' END AS tier FROM c WHERE pos = 0 AND doc_id % 7 < 3)
+@query(f"""WITH {LINE_SPANS_SQL}, k AS (SELECT doc_id AS key_id, 'r' || (doc_id // 2) AS ref, s, e FROM c WHERE pos % 2 = 0), f AS (SELECT doc_id AS id, 'r' || (doc_id // 2) AS ref, s + 10 AS s, e AS e, CASE WHEN (doc_id + pos) % 3 = 0 THEN 'weak' ELSE 'none' END AS gap_type, CASE WHEN (doc_id + pos) % 2 = 0 THEN 'high' ELSE 'review' END AS tier FROM c WHERE pos % 2 = 1)
 SELECT key_id, coalesce(bool_or(k.s < f.e AND f.s < k.e AND gap_type = 'weak'), false) AS strict, bool_or(f.id IS NOT NULL) AS near, coalesce(bool_or(k.s < f.e AND f.s < k.e AND gap_type = 'weak' AND tier = 'high'), false) AS high FROM k LEFT JOIN f ON k.ref = f.ref GROUP BY 1""")
 def interval_score(spark, sf):
-    first = line_spans(spark, sf).where("pos = 0").withColumn("ref", F.concat(F.lit("r"), (F.col("doc_id") % 50).cast("string")))
-    keys = first.select(F.col("doc_id").alias("key_id"), F.array("ref").alias("refs"), F.array(F.struct("s", "e")).alias("spans"), F.array(F.lit("weak")).alias("gap_types"), F.array().cast("array<string>").alias("verdicts"))
-    findings = first.where("doc_id % 7 < 3").select(F.col("doc_id").alias("id"), "ref", F.when(F.col("doc_id") % 3 == 0, "weak").otherwise("none").alias("gap_type"), F.lit("x").alias("verdict"), (F.col("s") + 10).alias("s"), "e", F.when(F.col("doc_id") % 2 == 0, "high").otherwise("review").alias("tier"))
+    """Even lines of a document are its key's edits, odd lines of it and its neighbour the findings."""
+    lines = line_spans(spark, sf).withColumn("ref", F.concat(F.lit("r"), F.expr("doc_id div 2").cast("string")))
+    keys = lines.where("pos % 2 = 0").groupBy(F.col("doc_id").alias("key_id"), "ref").agg(F.collect_list(F.struct("s", "e")).alias("spans")).select("key_id", F.array("ref").alias("refs"), "spans", F.array(F.lit("weak")).alias("gap_types"), F.array().cast("array<string>").alias("verdicts"))
+    found, both = lines.where("pos % 2 = 1"), F.col("doc_id") + F.col("pos")
+    findings = found.select(F.col("doc_id").alias("id"), "ref", F.when(both % 3 == 0, "weak").otherwise("none").alias("gap_type"), F.lit("x").alias("verdict"), (F.col("s") + 10).alias("s"), "e", F.when(both % 2 == 0, "high").otherwise("review").alias("tier"))
     return evaluate.matches(keys, findings)
 
 
+@query(f"WITH {LINE_SPANS_SQL}, k AS (SELECT doc_id, pos, s, e FROM c UNION ALL SELECT doc_id, pos + 100000, s, e + 200 FROM c WHERE pos % 4 = 0), x AS (SELECT doc_id, pos, s + 3 AS at FROM c), r AS (SELECT x.doc_id, x.pos, k.pos AS ref, k.e - k.s AS size, row_number() OVER (PARTITION BY x.doc_id, x.pos ORDER BY k.e - k.s, k.s, k.pos) AS n FROM x JOIN k ON x.doc_id = k.doc_id AND k.s <= x.at AND x.at < k.e) SELECT doc_id, pos, ref, size FROM r WHERE n = 1")
+def smallest_clause(spark, sf):
+    c = line_spans(spark, sf)
+    clauses = c.select("doc_id", F.col("pos").alias("ref"), "s", "e").unionByName(c.where("pos % 4 = 0").select("doc_id", (F.col("pos") + 100000).alias("ref"), "s", (F.col("e") + 200).alias("e")))
+    return spans.smallest_at(c.select("doc_id", "pos", (F.col("s") + 3).alias("at")), clauses, ["doc_id"], "pos", "at")
+
+
 # change
 
 def version(spark, sf, k):
@@ -208,13 +217,18 @@ def clause_diff_phase12(spark, sf):
     return C.same_place(version(spark, sf, 0), version(spark, sf, 1), key).select("doc", "old_ref", "new_ref", "change")
 
 
-@query("""WITH a AS (SELECT o_custkey, min(o_orderpriority) AS gap_type FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey, nullif(min(o_orderpriority), '1-URGENT') AS gap_type, CASE min(o_orderstatus) WHEN 'F' THEN 'covered' WHEN 'O' THEN 'partial' END AS verdict FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+@query(f"SELECT doc, change, count(*) AS n FROM ({versions_sql()}) GROUP BY 1, 2")
+def change_class_counts(spark, sf):
+    return clause_diff_phase12(spark, sf).groupBy("doc", "change").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT o_custkey, min(o_orderpriority) AS gap_type FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey, nullif(min(o_orderpriority), '1-URGENT') AS gap_type, CASE min(o_orderstatus) WHEN 'F' THEN 'covered' WHEN 'O' THEN 'partial' END AS verdict FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
 SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN b.o_custkey IS NULL THEN 'retired' WHEN verdict IS NULL THEN 'review' WHEN b.gap_type IS NOT NULL AND a.gap_type IS NULL THEN 'opened' WHEN b.gap_type IS NULL AND a.gap_type IS NOT NULL THEN CASE WHEN verdict = 'covered' THEN 'closed' ELSE 'review' END WHEN a.gap_type <> b.gap_type THEN 'type_changed' ELSE 'same' END AS outcome FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""")
 def gap_delta(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     before = o.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("gap_type"))
     status = F.min("o_orderstatus")
-    after = o.where("o_orderkey % 3 = 0").groupBy("o_custkey").agg(F.nullif(F.min("o_orderpriority"), F.lit("1-URGENT")).alias("gap_type"), F.when(status == "F", "covered").when(status == "O", "partial").alias("verdict"))
+    after = o.where("o_orderkey % 2 = 1").groupBy("o_custkey").agg(F.nullif(F.min("o_orderpriority"), F.lit("1-URGENT")).alias("gap_type"), F.when(status == "F", "covered").when(status == "O", "partial").alias("verdict"))
     return C.gap_delta(before, after, ["o_custkey"])
 
 
@@ -241,44 +255,49 @@ def scope_blast_radius(spark, sf):
     return C.blast_radius(scoped(spark, sf), mappings)
 
 
-# inline fixtures: a short rule book
-
-BLOCKS = [
-    ("Chapter I – Preliminary", True), ("5. Banks shall:", False), ("(1) keep records for five years;", False), ("(i) of accounts,", False), ("(ii) of transactions:", False), ("(a) domestic and", False), ("still part of the letter", False), ("(b) foreign;", False), ("(iii) of mandates.", False),
-    ("6. High-risk customers are reviewed once in every two years, low risk customers every ten years.", False), ("Annex", True), ("Free text that stands outside every numbered paragraph and is long enough to be kept as a clause of its own.", False),
-]
+# a rule book for each customer: an order is a numbered clause with two lettered ones
 
+BOOK_SQL = """l AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey, o_orderpriority, o_orderstatus FROM orders),
+t AS (SELECT doc, n, 3 * n - 2 AS pos, n || '. The customer shall settle order ' || o_orderkey || ' as follows:' AS text, 0 AS k FROM l
+ UNION ALL SELECT doc, n, 3 * n - 1, '(a) with the priority ' || o_orderpriority || ' and without further delay;', 1 FROM l UNION ALL SELECT doc, n, 3 * n, '(b) in the state ' || o_orderstatus || '.', 2 FROM l),
+p AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM t),
+b AS (SELECT doc, n, k, s, text, n || CASE k WHEN 0 THEN '' WHEN 1 THEN '(a)' ELSE '(b)' END AS ref, CASE WHEN k > 0 THEN n::VARCHAR END AS parent_ref, s + length(text) + CASE WHEN k = 0 THEN lead(length(text), 1) OVER w + lead(length(text), 2) OVER w + 2 ELSE 0 END AS e FROM p WINDOW w AS (PARTITION BY doc ORDER BY pos))"""
 
-def rule_book(spark):
-    return spark.createDataFrame([("d", i, t, h, []) for i, (t, h) in enumerate(BLOCKS)], "doc string, pos int, text string, is_heading boolean, amended_by array<string>")
 
+def rule_books(spark, sf):
+    from pyspark.sql import Window as W
 
-TREE_SQL = "SELECT * FROM (VALUES " + ", ".join(
-    f"('{r}', '{k}', {d}, {repr(p) if p else 'NULL'})"
-    for r, k, d, p in [("5", "para", 1, None), ("5(1)", "num", 2, "5"), ("5(1)(i)", "roman", 3, "5(1)"), ("5(1)(ii)", "roman", 3, "5(1)"), ("5(1)(ii)(a)", "alpha", 4, "5(1)(ii)"), ("5(1)(ii)(b)", "alpha", 4, "5(1)(ii)"), ("5(1)(iii)", "roman", 3, "5(1)"), ("6", "para", 1, None), ("U1", "unnumbered", 1, None)]
-) + ") t(ref, kind, depth, parent_ref)"
+    n = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = table(spark, sf, "orders").withColumn("n", n)
+    lines = F.array(
+        F.concat(F.col("n").cast("string"), F.lit(". The customer shall settle order "), F.col("o_orderkey").cast("string"), F.lit(" as follows:")),
+        F.concat(F.lit("(a) with the priority "), "o_orderpriority", F.lit(" and without further delay;")),
+        F.concat(F.lit("(b) in the state "), "o_orderstatus", F.lit(".")),
+    )
+    each = o.select(F.col("o_custkey").alias("doc"), "n", F.posexplode(lines).alias("k", "text"))
+    return each.select("doc", (3 * F.col("n") + F.col("k")).alias("pos"), "text", F.lit(False).alias("is_heading"), F.array().cast("array<string>").alias("amended_by"))
 
 
-@query(TREE_SQL)
+@query(f"WITH {BOOK_SQL} SELECT doc, ref, CASE WHEN k = 0 THEN 'para' ELSE 'alpha' END AS kind, CASE WHEN k = 0 THEN 1 ELSE 2 END AS depth, parent_ref, s, e FROM b")
 def tree_build(spark, sf):
-    return S.clause_tree(rule_book(spark)).select("ref", "kind", "depth", "parent_ref")
+    return S.clause_tree(rule_books(spark, sf)).select("doc", "ref", "kind", "depth", "parent_ref", "s", "e")
 
 
-@query("SELECT * FROM (VALUES ('5(1)', '5', 1), ('5(1)(i)', '5(1)', 1), ('5(1)(i)', '5', 2), ('5(1)(ii)', '5(1)', 1), ('5(1)(ii)', '5', 2), ('5(1)(iii)', '5(1)', 1), ('5(1)(iii)', '5', 2), ('5(1)(ii)(a)', '5(1)(ii)', 1), ('5(1)(ii)(a)', '5(1)', 2), ('5(1)(ii)(a)', '5', 3), ('5(1)(ii)(b)', '5(1)(ii)', 1), ('5(1)(ii)(b)', '5(1)', 2), ('5(1)(ii)(b)', '5', 3)) t(ref, ancestor, steps)")
+@query(f"WITH {BOOK_SQL} SELECT doc, ref, parent_ref AS ancestor, 1 AS steps FROM b WHERE k > 0")
 def ref_ancestors(spark, sf):
-    return S.ancestors(S.clause_tree(rule_book(spark))).drop("doc")
+    return S.ancestors(S.clause_tree(rule_books(spark, sf)))
 
 
-@query()
+@query(f"WITH {BOOK_SQL}, w AS (SELECT doc, n, min(s) AS start, string_agg(text, chr(10) ORDER BY k) AS text FROM b GROUP BY 1, 2) SELECT doc, n::VARCHAR AS ref, 'provision' AS kind, start, text, 0 AS cut, '' AS context FROM w")
 def extraction_units(spark, sf):
-    book = rule_book(spark)
-    return S.units(S.clause_tree(book), S.document_text(book), 4)
+    book = rule_books(spark, sf)
+    return S.units(S.clause_tree(book), S.document_text(book))
 
 
-@query()
+@query(f"WITH {BOOK_SQL} SELECT doc, ref, s, s + length(text) AS e, text FROM b WHERE length(text) >= 40")
 def policy_passages(spark, sf):
-    book = rule_book(spark)
-    none = spark.createDataFrame([], "doc string, s bigint, e bigint")
+    book = rule_books(spark, sf)
+    none = spark.createDataFrame([], "doc bigint, s bigint, e bigint")
     return S.passages(S.clause_tree(book), S.document_text(book), none)
 
 
@@ -289,58 +308,63 @@ def page_trees(spark, sf):
     return S.clause_tree(blocks).select("doc", "ref", "kind", "depth", "s", "e")
 
 
-PAIRS = [
-    (1, "The bank shall report within 10 days of the end of the month.", "The bank shall report within 7 days of the end of the month.", "must"),
-    (2, "The bank shall report within two years of the opening of accounts.", "The bank shall report within eight years of the opening of accounts.", "must"),
-    (3, "Banks shall verify the identity of every new customer promptly.", "Banks may verify the identity of every new customer promptly.", "must"),
-    (4, "Banks shall verify the identity of every customer in person.", "Banks shall verify, only when identified as high risk clients, the identity of every customer in person.", "must"),
-    (5, "Records shall be kept for one year after closing the account.", "Records shall be kept for 12 months after closing the account.", "must"),
-    (6, "Anonymous deposits are forbidden in each branch of the group.", "Completely different wording about other matters altogether here.", "must"),
-]
-
+# comparison: a sentence for each order, with numbers in words and in digits
 
-def sentence_pairs(spark):
-    return spark.createDataFrame(PAIRS, "id int, quote string, text string, modality string")
+NUMBERS = ["ten", "two", "fifty", "twelve", "ninety", "two hundred", "five lakh"]
+VALUES = [10, 2, 50, 12, 90, 200, 500000]
+SAID_SQL = f"""SELECT o_orderkey, o_orderkey % 89 + 2 AS a, o_custkey % 83 + 2 AS b, [{', '.join(map(str, VALUES))}][(o_orderkey % 7 + 1)::INT] AS c FROM orders"""
 
 
-@query("SELECT * FROM (VALUES (1, 'number_differs'), (2, 'number_differs'), (3, 'optional'), (4, 'adds_words'), (5, 'same'), (6, 'no_similar_text')) t(id, kind)")
-def compare_sentences(spark, sf):
-    pairs = sentence_pairs(spark)
-    out = None
-    for i, *_ in PAIRS:
-        one = pairs.where(f"id = {i}")
-        part = compare.compare(one.select("id", "quote", "modality"), one.select(F.col("id").alias("policy"), "text"), "policy")
-        out = part if out is None else out.unionByName(part)
-    return out.select("id", "kind")
+def said(spark, sf):
+    o = table(spark, sf, "orders")
+    word = F.element_at(F.array(*map(F.lit, NUMBERS)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    text = lambda n: F.concat(F.lit("The bank shall report at most "), word, F.lit(" items under paragraph 5 within "), n.cast("string"), F.lit(" days of receipt"))
+    return o.select("o_orderkey", text(F.col("o_orderkey") % 89 + 2).alias("quote"), text(F.col("o_custkey") % 83 + 2).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1, '10', '7', 'stricter'), (2, '2', '8', 'weaker'), (3, '', '', NULL), (4, '', '', NULL), (5, '1', '12', NULL), (6, '', '', NULL)) t(id, required, stated, direction)")
+@query(f"WITH n AS ({SAID_SQL}) SELECT o_orderkey, CASE WHEN a = c THEN a::VARCHAR ELSE least(a, c) || ',' || greatest(a, c) END AS required, CASE WHEN b = c THEN b::VARCHAR ELSE least(b, c) || ',' || greatest(b, c) END AS stated, CASE WHEN b > a THEN 'weaker' WHEN b < a THEN 'stricter' END AS direction FROM n")
 def number_sets(spark, sf):
-    p = sentence_pairs(spark)
-    return p.select("id", F.array_join(N.numbers_of("quote"), ",").alias("required"), F.array_join(N.numbers_of("text"), ",").alias("stated"), N.direction_between("quote", "text").alias("direction"))
+    p = said(spark, sf)
+    return p.select("o_orderkey", F.array_join(N.numbers_of("quote"), ",").alias("required"), F.array_join(N.numbers_of("text"), ",").alias("stated"), N.direction_between("quote", "text").alias("direction"))
 
 
-POLICY = "High-risk customers: periodic updation of KYC shall be carried out once in every two years. Annex: periodic updation of KYC for high-risk customers is done once in every five years. Periodic updation of KYC for low risk customers is done every ten years."
+@query()
+def compare_sentences(spark, sf):
+    """Every benchmark text against the closest of all windows of all documents."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("quote"), F.lit("must").alias("modality"))
+    return compare.compare(asked, documents(spark, sf), "doc_id").select("id", "kind", "share", "missing", "added")
 
 
-@query("SELECT * FROM (VALUES (1, 'p', 'days', 'high', '', '730.0,1825.0')) t(rule_id, doc, dimension, grade, entity, \"values\")")
+@query("SELECT 1 AS rule_id, c_custkey AS doc, 'days' AS dimension, 'high' AS grade, '' AS entity, (365.0 * least(a, b)) || ',' || (365.0 * greatest(a, b)) AS \"values\" FROM (SELECT c_custkey, c_custkey % 7 + 2 AS a, c_nationkey % 5 + 2 AS b FROM customer) WHERE a <> b")
 def quantity_conflicts(spark, sf):
+    """A policy for each customer that states an interval twice."""
     rules = spark.createDataFrame([(1, "Periodic updation of KYC shall be carried out at least once in every two years for high risk customers.")], "rule_id int, text string")
-    policies = spark.createDataFrame([("p", POLICY)], "doc string, text string")
+    years = lambda n: F.concat(F.lit("High-risk customers: periodic updation of KYC shall be carried out once in every "), n.cast("string"), F.lit(" years."))
+    policies = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc"), F.concat(years(F.col("c_custkey") % 7 + 2), F.lit(" "), years(F.col("c_nationkey") % 5 + 2)).alias("text"))
     found = compare.conflicts(rules, policies, "doc", [*T.STOP, "risk", "high", "low", "customer", "year", "every", "once", "carried", "out", "done", "are"])
     return found.withColumn("values", F.array_join("values", ","))
 
 
 EDITS = [
-    (1, "modified", "Banks keep records.", "Banks may keep records."), (2, "modified", "Banks keep records.", "Banks shall keep records."), (3, "modified", "Banks shall report within ten days.", "Banks shall report within seven days."),
-    (4, "modified", "Banks shall keep records.", "Banks keep records."), (5, "repealed", "Banks shall keep records.", None), (6, "new", None, "Banks must file reports."), (7, "modified", "Forms are blue.", "Forms are green."),
+    ("modified", "Banks keep records.", "Banks may keep records.", "advisory", "may", "", "advise"), ("modified", "Banks keep records.", "Banks shall keep records.", "new_duty", "shall", "", "re_extract"), ("modified", "Banks shall report within ten days.", "Banks shall report within seven days.", "threshold", "seven", "ten", "re_extract"),
+    ("modified", "Banks shall keep records.", "Banks keep records.", "relaxed", "", "shall", "re_extract"), ("repealed", "Banks shall keep records.", None, "repealed", "", "Banks shall keep records.", "retire"), ("new", None, "Banks must file reports.", "new_duty", "Banks must file reports.", "", "re_extract"), ("modified", "Forms are blue.", "Forms are green.", "wording", "green", "blue", "re_extract"),
 ]
 
 
-@query("SELECT * FROM (VALUES (1, 'advisory', 'may', '', 'advise'), (2, 'new_duty', 'shall', '', 're_extract'), (3, 'threshold', 'seven', 'ten', 're_extract'), (4, 'relaxed', '', 'shall', 're_extract'), (5, 'repealed', '', 'Banks shall keep records.', 'retire'), (6, 'new_duty', 'Banks must file reports.', '', 're_extract'), (7, 'wording', 'green', 'blue', 're_extract')) t(id, effect, added, removed, step)")
+@query("WITH e(k, effect, added, removed, step) AS (VALUES " + ", ".join(f"({k}, '{x[3]}', '{x[4]}', '{x[5]}', '{x[6]}')" for k, x in enumerate(EDITS)) + ") SELECT o_orderkey, effect, added, removed, step FROM orders JOIN e ON o_orderkey % 7 = k")
 def effect_classify(spark, sf):
-    out = C.plan(C.classify(spark.createDataFrame(EDITS, "id int, change string, old_text string, new_text string")))
-    return out.select("id", "effect", "added", "removed", "step")
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]).cast("string") for x in EDITS]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    changes = table(spark, sf, "orders").select("o_orderkey", pick(0).alias("change"), pick(1).alias("old_text"), pick(2).alias("new_text"))
+    return C.plan(C.classify(changes)).select("o_orderkey", "effect", "added", "removed", "step")
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter({CONTENT_SQL.format('text')}, lambda w: w <> '#'))) AS word FROM documents), b AS (SELECT item_id, unnest(list_distinct(list_filter({CONTENT_SQL.format('text')}, lambda w: w <> '#'))) AS word FROM benchmark),
+m AS (SELECT item_id AS q_id, doc_id AS i_id, count(*) AS shared FROM b JOIN w USING (word) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY shared DESC, i_id) AS rank FROM m WHERE (q_id + i_id) % 3 <> 0) SELECT q_id, i_id, shared, rank FROM r WHERE rank <= 3""")
+def lexical_outside(spark, sf):
+    """Documents that share most words with each benchmark text, but for those whose ids add up to a multiple of 3."""
+    q, i = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    taken = q.select(F.col("id").alias("q_id"), F.pmod(-F.col("id"), F.lit(3)).alias("m")).join(i.select(F.col("id").alias("i_id"), F.pmod("id", F.lit(3)).alias("m")), "m").select("q_id", "i_id")
+    return retrieve.lexical_outside(q, i, taken)
 
 
 @query()

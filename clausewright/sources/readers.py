@@ -13,6 +13,16 @@ def csv_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Rows with a header in files of lines that end in a line feed."""
+    rows.write.option("header", True).option("lineSep", "\n").csv(path)
+
+
+def demoted_headings(blocks: DataFrame, text: str, is_heading: str, marker: str = r"^\s*(?:\(?[0-9a-z]{1,5}\)|[0-9]{1,3}[A-Z]?\.)\s") -> DataFrame:
+    """``blocks`` in which what carries a clause's marker is no heading."""
+    return blocks.withColumn(is_heading, F.col(is_heading) & ~F.coalesce(F.col(text).rlike(marker), F.lit(False)))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -36,12 +46,15 @@ def yaml_rules(spark: SparkSession, path: str, section: str, schema: str, column
     return rule_table(spark, [tuple(item.get(c) for c in columns) for item in yaml.safe_load(text)[section]], schema)
 
 
-def page_blocks(pages: DataFrame, key: str, html: str, tags: tuple[str, ...] = ("p", "li", "h1", "h2", "h3")) -> DataFrame:
-    """Rows (key, pos, tag, text): the blocks of each page in order, mark-up within them removed; empty ones are left out."""
-    pattern = "(?s)<(" + "|".join(tags) + r")>(.*?)</(" + "|".join(tags) + ")>"
+def page_blocks(pages: DataFrame, key: str, html: str, tags: tuple[str, ...] = ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")) -> DataFrame:
+    """Rows (key, pos, tag, text): the blocks of each page in order, mark-up within them removed; empty ones are left out.
+
+    A block reaches from a tag, attributes or not, to the next end of the same tag; footnote marks in <sup> go.
+    """
+    pattern = "(?s)<(" + "|".join(tags) + r")\b[^>]*>(.*?)</\1>"
     at = lambda i: F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(i))
     each = pages.select(key, F.posexplode(F.arrays_zip(at(1).alias("tag"), at(2).alias("body"))).alias("pos", "x"))
-    clean = canonical(F.regexp_replace(F.col("x.body"), "<[^>]*>", " "))
+    clean = canonical(F.regexp_replace(F.regexp_replace(F.col("x.body"), r"(?s)<sup\b[^>]*>.*?</sup>", ""), "<[^>]*>", " "))
     return each.select(key, "pos", F.col("x.tag").alias("tag"), clean.alias("text")).where("text <> ''")
 
 
