@@ -136,7 +136,7 @@ def places(text: Column, pattern: str) -> Column:
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
         end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(state["all"], F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m")))).alias("all"))
+        return F.struct(end.alias("at"), F.concat(state["all"], F.array(F.named_struct(F.lit("s"), start, F.lit("e"), end, F.lit("m"), x["m"]))).alias("all"))
 
     found = F.aggregate(sized, F.struct(F.lit(0).alias("at"), empty.alias("all")), step, lambda state: state["all"])
     return F.when(text.rlike(pattern), found).otherwise(empty)

@@ -67,7 +67,7 @@ def stated_quantities(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, ordinal, sentence, lead, dimension, value, grade, entity): periods and percentages, with the sentence before."""
     each = documents.select(key, F.posexplode(sentences(F.col(text))).alias("ordinal", "sentence"))
     led = each.withColumn("lead", F.coalesce(F.lag("sentence").over(W.partitionBy(key).orderBy("ordinal")), F.lit("")))
-    return led.where(F.col("sentence").rlike(r"(?i)[0-9]|day|week|month|year|annual|quarterly|per\s*cent")).select("*", F.explode(N.quantities_of("sentence")).alias("q")).select(key, "ordinal", "sentence", "lead", "q.*")
+    return led.where(F.col("sentence").rlike(r"(?i)[0-9]|day|week|month|year|annual|quarterly|per\s*cent")).withColumn("all", N.quantities_of("sentence")).withColumn("q", F.explode("all")).select(key, "ordinal", "sentence", "lead", "q.*")
 
 
 def conflicts(rules: DataFrame, policies: DataFrame, key: str, generic: list[str]) -> DataFrame:
@@ -78,7 +78,8 @@ def conflicts(rules: DataFrame, policies: DataFrame, key: str, generic: list[str
     """
     words = lambda t: F.transform(F.regexp_extract_all(F.lower(t), F.lit("[a-z]+"), F.lit(0)), light_stem)
     own = lambda t: F.filter(words(t), lambda w: ~w.isin(generic))
-    wanted = rules.select("rule_id", words(F.col("text")).alias("rule_words"), F.explode(unordered_pairs(own(F.col("text")))).alias("pair"), F.array_distinct(F.transform(N.quantities_of("text"), lambda q: q["dimension"])).alias("dims"))
+    measured = rules.select("rule_id", "text", N.quantities_of("text").alias("all"))
+    wanted = measured.select("rule_id", words(F.col("text")).alias("rule_words"), F.explode(unordered_pairs(own(F.col("text")))).alias("pair"), F.array_distinct("all.dimension").alias("dims"))
     said = stated_quantities(policies, key, "text")
     pairs = said.withColumns({"own": F.array_distinct(own(F.col("sentence"))), "pair": F.explode(unordered_pairs(own(F.concat_ws(" ", "lead", "sentence"))))})
     met = pairs.join(wanted, "pair").where(F.array_contains("dims", F.col("dimension")) & (F.size("own") >= 2) & (F.size(F.array_intersect("own", "rule_words")) >= 0.5 * F.size("own")))
