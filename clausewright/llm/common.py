@@ -73,7 +73,8 @@ def running(values: Column, zero: Column, merge: Callable[[Column, Column], Colu
         cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1), lambda i: F.slice(v, i * size + 1, size))
 
         def joined(blocks: Column) -> Column:
-            starts = steps(zero, F.transform(blocks, lambda b: F.aggregate(b, zero, lambda x, y: merge(x, y))))
+            totals = F.transform(blocks, lambda b: F.aggregate(F.slice(b, F.lit(2), F.size(b)), F.get(b, 0), lambda x, y: merge(x, y)))
+            starts = steps(zero, totals)
             return F.flatten(F.zip_with(blocks, starts, lambda b, start: steps(start, b)))
 
         return let(cut, joined)
