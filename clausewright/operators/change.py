@@ -106,13 +106,19 @@ def scope(changes: DataFrame, obligations: DataFrame) -> DataFrame:
     """Rows (id, reason, change_no): obligations that a change reaches, directly or by a defined term; the first change in order counts.
 
     ``changes``: change_no, ref, defined_term. ``obligations``: id, ref, text. References are joined by their
-    ancestors, not by comparing all pairs; the few changes that define a term are met by every text.
+    ancestors, and terms are met by texts that have their first word, in one of its forms: no pair is compared
+    without an equal key.
     """
     parts = F.transform(F.sequence(F.lit(1), F.size(F.split("ref", r"\("))), lambda i: F.array_join(F.slice(F.split("ref", r"\("), 1, i), "("))
     up = obligations.select("id", F.explode(parts).alias("ref"))
     direct = up.join(changes.select("change_no", "ref"), "ref").select("id", "change_no", F.lit("direct").alias("reason"))
     terms = changes.where("defined_term IS NOT NULL").select("change_no", "defined_term", F.col("ref").alias("c_ref"))
-    by_term = obligations.join(terms, uses_term(F.col("text"), F.col("defined_term")) & ~under(F.col("ref"), F.col("c_ref"))).select("id", "change_no", F.lit("by_definition").alias("reason"))
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    # a term's only word may stand in the plural
+    forms = F.array_distinct(F.flatten(F.transform(words(F.col("text")), lambda w: F.array(w, F.regexp_replace(w, "s$", ""), F.regexp_replace(w, "es$", "")))))
+    keyed = terms.withColumn("word", F.get(words(F.col("defined_term")), 0)).where("word IS NOT NULL")
+    met = obligations.select("id", "ref", "text", F.explode(forms).alias("word")).join(keyed, "word")
+    by_term = met.where(uses_term(F.col("text"), F.col("defined_term")) & ~under(F.col("ref"), F.col("c_ref"))).select("id", "change_no", F.lit("by_definition").alias("reason"))
     return direct.unionByName(by_term).groupBy("id").agg(F.min_by("reason", "change_no").alias("reason"), F.min("change_no").alias("change_no"))
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical
 
 
+#: Edits of one run.
+MOST = 1000
+
+
 def occurrences(text: Column, find: Column) -> Column:
     """How often ``find`` occurs in the text, without overlaps."""
     return ((F.length(text) - F.length(F.replace(text, find, F.lit("")))) / F.greatest(F.length(find), F.lit(1))).cast("int")
@@ -16,24 +20,24 @@ def occurrences(text: Column, find: Column) -> Column:
 def checked(documents: DataFrame, edits: DataFrame) -> DataFrame:
     """``edits`` (edit_id, find, replacement, every) with total, the times that ``find`` occurs over all documents, and whether it may be applied.
 
-    A phrase must occur exactly once, or once or more where ``every`` is set. Edits are a short table that
-    every document is searched for.
+    A phrase must occur exactly once, or once or more where ``every`` is set. Edits are a short table, ``MOST``
+    rows at most, that every document is searched for.
     """
+    if edits.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"more than {MOST} edits")
     wanted = edits.withColumns({"find": canonical(F.col("find")), "replacement": canonical(F.coalesce("replacement", F.lit("")))})
     counts = documents.select(canonical(F.col("text")).alias("text")).join(F.broadcast(wanted.select("edit_id", "find"))).groupBy("edit_id").agg(F.sum(occurrences(F.col("text"), F.col("find"))).alias("total"))
     both = wanted.join(counts, "edit_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
     return both.withColumn("applies", F.when(F.coalesce("every", F.lit(False)), F.col("total") >= 1).otherwise(F.col("total") == 1))
 
 
-def mutated(documents: DataFrame, edits: DataFrame, most_edits: int = 1000) -> DataFrame:
+def mutated(documents: DataFrame, edits: DataFrame) -> DataFrame:
     """Rows (doc_id, text, locations): documents (doc_id, text) in canonical form with the edits that apply made in order.
 
     locations lists (edit_id, start, length) of the new text, in the final text; a deletion has length 0 and
     takes the white space around it along. Edits do not overlap.
     """
-    rules = checked(documents, edits).where("applies").orderBy("edit_id").limit(most_edits + 1).collect()
-    if len(rules) > most_edits:
-        raise ValueError(f"more than {most_edits} edits")
+    rules = checked(documents, edits).where("applies").orderBy("edit_id").collect()  # ``MOST`` rows at most
     out = documents.select("doc_id", canonical(F.col("text")).alias("text"), F.array().cast("array<struct<edit_id:string,start:int,length:int>>").alias("locations"))
     for r in rules:
         out = _apply(out, str(r["edit_id"]), r["find"], r["replacement"])

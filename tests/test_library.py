@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clausewright.functions import numbers as N
 from clausewright.functions import text as T
-from clausewright.operators import calls, change, evaluate, evidence, guard, records, retrieve, rules, spans, structure, versioned
+from clausewright.operators import calls, change, compare, evaluate, evidence, guard, judge, records, retrieve, rules, spans, structure, versioned
 from clausewright.sources import readers
 from clausewright.streaming import evidence as stream
 
@@ -134,6 +134,24 @@ def test_as_of_and_store(spark, tmp_path):
     assert store.view().count() == 2
 
 
+def test_a_commit_tried_again(spark, tmp_path):
+    day = lambda n: dt.datetime(2026, 1, n)
+    store = versioned.VersionStore(spark, f"file://{tmp_path}/store", "id string, key string")
+    row = lambda *r: spark.createDataFrame([r], "id string, key string, effective_from timestamp")
+    closing = spark.createDataFrame([("a1", day(2))], "id string, effective_to timestamp")
+    store.commit("e1", F.lit(day(1)), row("a1", "a", day(1)))
+    # the first attempt dies after its rows were written
+    broken = closing.select("id", F.raise_error(F.lit("lost")).cast("timestamp").alias("effective_to"))
+    with pytest.raises(Exception, match="lost"):
+        store.commit("e2", F.lit(day(2)), row("a2", "a", day(2)), broken)
+    assert store.view().count() == 1
+    seen = store.simulated("e2", F.lit(day(2)), row("a2", "a", day(2)), closing)
+    assert {(r.id, r.superseded_at) for r in seen.collect()} == {("a1", day(2)), ("a2", None)} and store.view().count() == 1
+    store.commit("e2", F.lit(day(2)), row("a2", "a", day(2)), closing)
+    assert sorted((r.id, r.superseded_at) for r in store.view().collect()) == [("a1", day(2)), ("a2", None)]
+    assert [(r.key, r.before, r.after) for r in store.before_and_after("e2", "key").collect()] == [("a", ["a1"], ["a2"])]
+
+
 def test_snapshots(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
     b = spark.createDataFrame([(1,), (2,), (3,)], "x int")
@@ -163,6 +181,28 @@ def test_tree(spark):
     assert own["5"] == "5. First" and own["5(1)(ii)"] == "(ii) roman"
 
 
+def test_units_go_down_to_the_last_level(spark):
+    deep = "1. Banks shall keep it " + "x" * 2500
+    marks = ["(1)", "(i)", "(a)", "(2)", "(b)"]
+    lines = [deep, *[f"{m} each must be kept {'y' * 2500}" for m in marks]]
+    book = blocks(spark, *lines)
+    tree = structure.clause_tree(book)
+    got = {r.ref: r.cut for r in structure.units(tree, structure.document_text(book)).collect()}
+    leaves = {r.ref for r in tree.collect()} - {r.parent_ref for r in tree.collect()}
+    assert {k for k in got if "#" not in k} == leaves and {k.removesuffix("#lead") for k in got if "#" in k} == {r.ref for r in tree.collect()} - leaves
+    assert all(got[k] > 0 for k in leaves)
+
+
+def test_smallest_clause_and_own_segments(spark):
+    clauses = spark.createDataFrame([("d", "1", 0, 100), ("d", "1(1)", 10, 50), ("d", "1(2)", 50, 90), ("d", "1(1)(a)", 20, 30)], "doc string, ref string, s bigint, e bigint")
+    points = spark.createDataFrame([("d", 1, 25), ("d", 2, 95), ("d", 3, 50), ("d", 4, 500)], "doc string, p int, at bigint")
+    assert {r.p: r.ref for r in spans.smallest_at(points, clauses, ["doc"], "p", "at").collect()} == {1: "1(1)(a)", 2: "1", 3: "1(2)"}
+    own = {}
+    for r in spans.own_segments(clauses, ["doc"]).orderBy("s").collect():
+        own.setdefault(r.ref, []).append((r.s, r.e))
+    assert own == {"1": [(0, 10), (90, 100)], "1(1)": [(10, 20), (30, 50)], "1(2)": [(50, 90)], "1(1)(a)": [(20, 30)]}
+
+
 def test_letters_and_romans(spark):
     tree = structure.clause_tree(blocks(spark, "1. x", "(g) a", "(h) b", "(i) c", "(j) d"))
     assert {r.kind for r in tree.where("depth > 1").collect()} == {"alpha"}
@@ -235,6 +275,70 @@ def test_calls(spark):
     assert got == {"k1": ("A", True), "k2": ("B", False), "k3": (None, False)}
 
 
+def test_judge(spark):
+    answers = [("o1", "covered", "none", "c1", "The bank keeps", 0.9), ("o2", "partial", "weaker_threshold", "c9", "x", 0.9), ("o3", "fine", "none", "c1", "", 1.0), ("o5", "covered", "none", "c9", "", 0.8), ("o6", "missing", "not_addressed", "c1", "", 2.0), ("o7", "covered", "none", "c1", "not in it at all", 0.9), ("zz", "covered", "none", "c1", "", 0.9)]
+    a = spark.createDataFrame(answers, "obligation string, verdict string, issue string, control string, control_quote_start string, confidence double")
+    o = spark.createDataFrame([(f"o{i}", "must", [] if i == 5 else ["c2", "c1"]) for i in range(1, 8)], "id string, modality string, candidates array<string>")
+    c = spark.createDataFrame([("c1", "The bank keeps records."), ("c2", "Others.")], "control string, quote string")
+    gate = judge.gated(a, o, c)
+    got = {r.obligation: (r.verdict, r.control, r.citation_ok, r.gap_type, r.confidence) for r in gate.collect()}
+    assert got == {
+        "o1": ("covered", "c1", True, None, 0.9), "o2": ("partial", "c2", False, "weak_threshold", 0.9), "o3": ("partial", "c2", False, "unspecified", 0.0), "o4": ("partial", "c2", False, "unspecified", 0.0),
+        "o5": ("missing", None, False, "missing_control", 0.8), "o6": ("missing", None, True, "missing_control", 1.0), "o7": ("covered", "c1", False, None, 0.9),
+    }
+    levels = spark.createDataFrame([("o2", "board"), ("o5", "policy")], "obligation string, level string")
+    gaps = judge.emitted_gaps(gate, levels)
+    assert {r.obligation: (r.inherent, r.priority, r.tier) for r in gaps.collect()} == {"o3": ("medium", 0.5, "review"), "o4": ("medium", 0.5, "review"), "o5": ("high", 0.8, None), "o6": ("high", 0.8, None)}
+    assert {r.obligation: r.status for r in judge.mappings(gate).collect()}["o1"] == "auto"
+    changes = spark.createDataFrame([("o5", "weak_threshold", None, "high", "text")], "obligation string, gap_type string, control string, tier string, check string")
+    after = {r.obligation: (r.gap_type, r.tier, r.judge_type) for r in judge.retiered(gaps, changes, "obligation").collect()}
+    assert after["o5"] == ("weak_threshold", "high", "missing_control") and after["o3"] == ("unspecified", "review", None)
+    r = one(spark, judge.candidate_text(F.lit("Keep"), F.lit("q")).alias("a"), judge.candidate_text(F.lit(" "), F.lit("q")).alias("b"))
+    assert (r.a, r.b) == ("Keep. q", "q")
+    rows = spark.createDataFrame([(0, 9, "keep"), (1, 9, "file")], "s int, e int, action string")
+    assert {r.action: r.level for r in judge.with_levels(rows, spark.createDataFrame([("0:9:keep", "board")], "key string, level string")).collect()} == {"keep": "board", "file": "policy"}
+
+
+def test_compare_and_sweep(spark):
+    policy = [("p", "Records shall be kept for eight years after closing the account of any client. Reports are sent within ten days to the branch office head.")]
+    policies = spark.createDataFrame(policy, "p string, text string")
+    rows = [(1, "Records shall be kept for eight years after closing the account of any client.", "same"), (2, "Records shall be kept for five years after closing the account of any client.", "number_differs"), (3, "Wholly other wording about anonymous deposits across several distant branches.", "no_similar_text")]
+    asked = spark.createDataFrame(rows, "id int, quote string, want string").withColumn("modality", F.lit("must"))
+    got = {r.id: r.kind for r in compare.compare(asked, policies, "p").collect()}
+    assert got == {i: k for i, _, k in rows}
+    text = "Heading\nRecords shall be kept for five years after closing the account of any client. Short 5."
+    clauses = spark.createDataFrame([("d", "1", 0, 200, 1), ("d", "1(a)", 8, 90, 2)], "doc string, ref string, s bigint, e bigint, depth int")
+    found = compare.swept(spark.createDataFrame([("d", text)], "doc string, text string"), clauses, policies, "p").collect()
+    assert [(r.ref, text[r.s : r.e], r.missing) for r in found] == [("1(a)", "Records shall be kept for five years after closing the account of any client.", ["5"])]
+
+
+def test_quotes_and_list_items(spark):
+    texts = spark.createDataFrame([(1, "It says that banks keep all their records for ten years, and more."), (2, "xbanks keep all their records for tenfold"), (3, None)], "d int, t string")
+    quotes = spark.createDataFrame([(1, "banks keep all their records for ten."), (2, "records for ten"), (3, "absent words in a long enough quote here"), (4, "ten")], "q int, quote string")
+    got = {(r.q, r.d): (r.s, r.e) for r in records.located_in(texts, quotes, "d", "t", "q", "quote").collect()}
+    first = "It says that banks keep all their records for ten years, and more."
+    assert got == {(1, 1): (13, 13 + 36), (1, 2): (1, 37), (2, 1): (first.index("records"), first.index("records") + 15), (2, 2): (22, 37)}
+    text = "Banks shall:\n(a) keep records of clients\n(b) file reports promptly\nend"
+    r = one(spark, records.list_item_for(F.lit(text), F.lit(0), F.lit(12), F.lit("file the reports")).alias("x"), records.list_item_for(F.lit(text), F.lit(0), F.lit(12), F.lit("nothing alike")).alias("y"), records.list_item_for(F.lit(text), F.lit(0), F.lit(5), F.lit("file the reports")).alias("z"))
+    assert text[r.x.s : r.x.e] == "(b) file reports promptly" and r.y is None and r.z is None
+
+
+def test_small_rules(spark):
+    r = one(
+        spark, rules.level_after(F.lit("sop_system"), F.lit(True)).alias("a"), rules.level_after(F.lit("odd"), F.lit(False)).alias("b"), T.no_condition(F.lit(" N/A ")).alias("c"), T.no_condition(F.lit("if late")).alias("d"),
+        retrieve.rank_of(F.lit("b"), F.array(F.lit("a"), F.lit("b"))).alias("e"), retrieve.rank_of(F.lit("z"), F.array(F.lit("a"))).alias("f"),
+    )
+    assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("policy", "policy", True, False, 2, None)
+
+
+def test_page_blocks(spark):
+    html = '<h4 class="a">Head</h4><p style="x">One <b>bold</b><sup>1</sup> text</p><pre>no</pre><li>item</li><p></p><p>Two\nlines</p>'
+    rows = readers.page_blocks(spark.createDataFrame([(1, html)], "k int, h string"), "k", "h").orderBy("pos").collect()
+    assert [(r.tag, r.text) for r in rows] == [("h4", "Head"), ("p", "One bold text"), ("li", "item"), ("p", "Two lines")]
+    marked = spark.createDataFrame([("5. Clause", True), ("Chapter I", True), ("(a) x", True), ("(b) y", False)], "t string, h boolean")
+    assert [r.h for r in readers.demoted_headings(marked, "t", "h").collect()] == [False, True, False, False]
+
+
 def test_second_pass(spark):
     items = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
     first = spark.createDataFrame([("a", "covered")], "key string, verdict string")
