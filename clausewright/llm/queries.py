@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, packing, quality, secret_scan, simhash, substring, toxicity, warc
+from . import bpe, chat, exact, fim, packing, phrases, quality, secret_scan, simhash, substring, token_counts, toxicity, warc
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -112,6 +112,47 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT A
 """
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transform(table(spark, sf_dir, "documents"), outputs=False).drop("pieces", "output")
+
+
+OP11_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w,
+  sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+d AS (SELECT doc_id, t, w, len(w) AS n, list_transform([1, 9, 17, 25], lambda i: list_reduce(list_transform(range(0, 8), lambda j: instr('0123456789abcdef', substr(h, i::INT + j::INT, 1)) - 1), lambda a, b: a * 16 + b)) AS x FROM t),
+c AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1))::INT AS p, greatest(x[1] % (n + 1), x[2] % (n + 1))::INT AS q,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 50 THEN 'plain' WHEN x[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+s AS (SELECT *, array_to_string(w[1:p], '') AS a, array_to_string(w[p + 1:q], '') AS b, array_to_string(w[q + 1:], '') AS z FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM s
+"""
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(t, '[^\\x20\\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m) GROUP BY ALL HAVING count(*) >= 100),
+k AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+s AS (SELECT k.lang, k.m, k.phrase, k.a, k.k, l.a AS l, r.a AS r, n, (1000::HUGEINT * k.a * n) // (l.a::HUGEINT * r.a) AS score FROM k JOIN t ON t.lang = k.lang
+  JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[j:j + m - 1], ' ') AS phrase, max(a) AS longer FROM
+  (SELECT f.lang, string_split(phrase, ' ') AS w, a, x.m, unnest(range(1, f.m - x.m + 2)) AS j FROM f, (SELECT unnest([2, 3, 4]) AS m) x WHERE x.m < f.m) GROUP BY ALL),
+o AS (SELECT c.*, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank FROM c LEFT JOIN i ON i.lang = c.lang AND i.phrase = c.phrase WHERE longer IS NULL OR longer < a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o WHERE rank <= 2000
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat_rotation": op2_chat_rotation,
@@ -123,5 +164,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_phrases": op12_phrases,
+    "op13_token_counts": op13_token_counts,
 }
-SQL: dict[str, str] = {"op2_chat_rotation": OP2_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op2_chat_rotation": OP2_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_phrases": OP12_SQL}
