@@ -20,13 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .bpe import KEPT_UNITS, UNIT, WHITE, Bpe
+from .bpe import UNIT, WHITE, Bpe
 from .common import small_batches
 
-#: Pairs of tokens whose verdict a Python worker keeps; beyond that it starts anew.
-KEPT_PAIRS = 2_000_000
-#: Counts that it keeps of distinct units, likewise.
-KEPT_COUNTS = 1 << 24
+#: Pairs of tokens whose verdict a Python worker keeps, and distinct strings, and their counts; beyond that it starts anew.
+KEPT_PAIRS, KEPT, KEPT_COUNTS = 2_000_000, 800_000, 1 << 24
 #: Characters of a block of stored counts.
 BLOCK = 1 << 16
 LEAD = re.compile(f"[{WHITE}]*")
@@ -54,8 +52,10 @@ class PrefixCounts:
                 for b in reversed(raw[int(coder.token_start[token]) : ends[token]]):
                     node = node.setdefault(b, {})
                 node[-1] = token
-        #: Lists of counts of distinct units, one number for each character, and the last of each.
-        self.units = words.Ragged()
+        #: Counts of distinct strings between the pattern's cuts, one for each character, and of whole units.
+        self.pieces: dict[str, array] = {}
+        self.units: dict[str, int] = {}
+        self.held = 0
 
     def _fits(self, x: int, y: int, limit: int = 1 << 62, right: bool = False) -> bool:
         """Whether tokens x, y stay apart: at no time does a merge of the two parts at their border come before what becomes of either.
@@ -116,16 +116,16 @@ class PrefixCounts:
                 break
         return count[1:]
 
-    def of_piece(self, piece: str) -> list[int] | array:
-        """Counts after each character."""
+    def _of_piece(self, piece: str) -> array:
         counts = self.of_bytes(raw := piece.encode())
-        if len(raw) == len(piece):
-            return counts
-        inner = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
-        last = np.append(inner[1:], True)  # the bytes that end a character
-        if isinstance(counts, list):
-            return [c for c, own in zip(counts, last.tolist()) if own]
-        return array("i", np.frombuffer(counts, np.int32)[last].tobytes())
+        if len(raw) > len(piece):
+            inner = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+            last = np.append(inner[1:], True)  # the bytes that end a character
+            counts = np.asarray(counts, np.int32)[last].tobytes()
+        counts = array("i", counts)
+        if len(piece) == 3 and CONTRACTION.match(piece):
+            counts[1] = 2  # one string only when whole; before, its letter is another
+        return counts
 
     def of_unit(self, unit: str) -> np.ndarray:
         """Counts after each character of white space with the word after it, each as if the text ended there."""
@@ -136,64 +136,64 @@ class PrefixCounts:
             counts = self.of_piece(piece)
             at += len(piece)
             if at > lead:
-                if len(piece) == 3 and CONTRACTION.match(piece):
-                    counts[1] = 2  # one string only when whole; before, its letter is another
                 out.extend(base + c for c in counts[max(0, len(piece) - (at - lead)) :])
             base += counts[-1]
         return np.frombuffer(out, np.int32)
 
-    def add(self, units: list[str]) -> None:
-        lists = [self.of_unit(u) for u in units]
-        self.units.store(units, np.concatenate(lists), np.array([len(x) for x in lists], np.int64))
-
-    def slots(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str, str]]]:
-        """Slots of all texts' units, how many each text has, and the special tokens: (unit's place, its text, the unit before)."""
-        units: list[str] = []
-        at, special = [0], []
-        for text in texts:
-            if text and self.coder.cut and any(s in text for s in self.coder.special):
-                for part in self.coder.cut.split(text):
-                    if part in self.coder.special:
-                        # an empty unit stands for a special token, whatever it is
-                        special.append((len(units), part, units[-1] if len(units) > at[-1] else ""))
-                        units.append("")
-                    else:
-                        units += UNIT.findall(part)
-            elif text:
-                units += UNIT.findall(text)
-            at.append(len(units))
-        distinct = set(units)
-        if len(self.units.slot) + len(distinct) > KEPT_UNITS or self.units.used > KEPT_COUNTS:
-            self.units.clear()
-        known = self.units.slot
-        new = [u for u in distinct if u not in known and u]
-        if "" not in known:
-            self.units.store([""], np.ones(1, np.int64), np.ones(1, np.int64))  # a special token's own count
-        if new:
-            self.add(new)
-        return self.units.slots(units), np.array(at, np.int64), special
+    def of_piece(self, piece: str) -> array:
+        """Counts after each character of one string between the pattern's cuts, kept for the next time."""
+        known = self.pieces.get(piece)
+        if known is None:
+            if len(self.pieces) >= KEPT or self.held > KEPT_COUNTS:
+                self.pieces.clear()
+                self.held = 0
+            known = self.pieces[piece] = self._of_piece(piece)
+            self.held += len(known)
+        return known
+
+    def total(self, unit: str) -> int:
+        """The count of a whole unit."""
+        return sum([self.of_piece(p)[-1] for p in self.coder.pre.findall(unit)])
 
     def totals(self, texts: list[str | None]) -> np.ndarray:
         """The count of each whole text."""
-        slots, at, _ = self.slots(texts)
-        table = self.units
-        last = table.flat[table.start[slots].astype(np.int64) + table.length[slots] - 1].astype(np.int64)
-        return np.diff(np.concatenate([[0], np.cumsum(last)])[at])
+        known, out = self.units, np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            parts = [text]
+            if self.coder.cut and any(s in text for s in self.coder.special):
+                parts = self.coder.cut.split(text)
+                out[i] = len(parts) // 2  # every second one is a special token
+                parts = parts[::2]
+            for part in parts:
+                units = UNIT.findall(part)
+                if len(known) > KEPT:
+                    known.clear()
+                try:
+                    out[i] += sum(map(known.__getitem__, units))
+                except KeyError:
+                    for u in set(units).difference(known):
+                        known[u] = self.total(u)
+                    out[i] += sum(map(known.__getitem__, units))
+        return out
 
     def prefixes(self, text: str) -> np.ndarray:
         """The count of each prefix of 1, 2, ... characters."""
-        slots, _, special = self.slots([text])
-        counts, ends = self.units.lists(slots)
-        counts = counts.astype(np.int64)
-        last = counts[ends[1:] - 1]
-        before = np.cumsum(last) - last
-        parts = [counts[a:b] + c for a, b, c in zip(ends, ends[1:], before.tolist())] if special else [counts + np.repeat(before, np.diff(ends))]
-        for place, token, unit in special:
-            # within a special token the text before it goes on as plain text
-            start = before[place] - (last[place - 1] if unit else 0)
-            plain = self._plain(unit + token[:-1])[len(unit) :]
-            parts[place] = np.append(plain + start, before[place] + 1)
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        parts = self.coder.cut.split(text) if self.coder.cut else [text]
+        out, base = [], 0
+        for i in range(0, len(parts), 2):
+            counts = self._plain(parts[i])
+            out.append(counts + base)
+            if i + 1 < len(parts):
+                # within a special token the text before it goes on as plain text
+                token = parts[i + 1]
+                unit = UNIT.findall(parts[i])[-1] if parts[i] else ""
+                start = base + (int(counts[-1]) - self.total(unit) if unit else 0)
+                base += int(counts[-1]) if len(counts) else 0
+                out.append(np.append(self._plain(unit + token[:-1])[len(unit) :] + start, base + 1))
+                base += 1
+        return np.concatenate(out)
 
     def _plain(self, text: str) -> np.ndarray:
         out, base = [], 0
@@ -201,7 +201,7 @@ class PrefixCounts:
             counts = self.of_unit(unit)
             out.append(counts + base)
             base += int(counts[-1])
-        return np.concatenate(out)
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 _workers: dict[str, PrefixCounts] = {}
