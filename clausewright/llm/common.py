@@ -42,6 +42,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the tables that ``df`` reads and ``written`` or ``components`` made, once nothing needs them any more."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/clausewright/"
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.replace("file:///", "file:/").startswith(root.replace("file:///", "file:/")):
+            target = jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -110,13 +121,17 @@ def components(edges: DataFrame) -> DataFrame:
             out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = linked.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        # what this round was made of can go, once it stands
+        table = written(out.where("a <> b").distinct(), "edges")
+        forget(least)
+        forget(pairs)
+        return table
 
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
         # large: u's larger neighbours point to u's least; small: each node's smaller neighbours point to the least of them
-        now = written(star(star(now, large=True), large=False), "edges")
+        now = star(star(now, large=True), large=False)
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if mark == before:
             break

@@ -5,6 +5,7 @@ where the two phrases without its last and its first word are, so phrases grow w
 slice packs the number of the frequent phrase at a place and the number of the word behind it into one key,
 and counts its keys in one filter for each share of the permuted keys. A share's filters are merged as they
 stream by in order; what reaches the least count gets a number and goes back to the slices that hold it.
+Words get theirs in the same way, by shares of their hashes.
 Numbers stand for words without loss; nothing is broadcast, and no dictionary leaves its slice whole.
 """
 
@@ -14,19 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import words
-from .common import small_batches, written
+from .common import forget, small_batches, written
 from .quotient_filter import Filter, merged, permuted, restored
 
 #: Bytes of text of a slice; a longer text is a slice of its own.
 SLICE_BYTES = 8 << 20
-#: Keys of a share, on average, before equal ones are merged.
-SHARE_KEYS = 1 << 20
+#: Keys of a share, on average, before equal ones are merged; words of a share, likewise.
+SHARE_KEYS, SHARE_WORDS = 1 << 20, 1 << 18
 #: Between phrases; no word's number.
 NONE = np.uint32(0xFFFFFFFF)
 #: Groups of a language whose best are ranked apart first.
@@ -53,7 +55,7 @@ def tokens(raw: bytes) -> tuple[np.ndarray, pa.Array]:
 
 
 def sliced(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rows (slice, lang, total, words, counts, tokens): texts of one language, their distinct words with counts, and all words as places in that list."""
+    """Rows (slice, lang, total, n_words, n_bytes, words, counts, n, tokens): texts of one language, their distinct words with counts, and all words as places in that list, NONE between pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -66,8 +68,9 @@ def sliced(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
             del size[name]
             if len(distinct):
                 counts = np.bincount(codes[codes >= 0], minlength=len(distinct))
-                columns = [pa.array([part << 32 | made], pa.int64()), pa.array([name]), pa.array([int(counts.sum())]), pa.array([distinct.cast(pa.string())], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([codes.tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["slice", "lang", "total", "words", "counts", "tokens"])
+                flat = b"\n".join(distinct.cast(pa.large_binary()).to_pylist())
+                values = [part << 32 | made, name, int(counts.sum()), len(distinct), len(flat), _squeezed(flat), _packed(counts), len(codes), _packed(codes.view(np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], [f.split()[0] for f in SLICE.split(", ")])
                 made += 1
 
         for batch in batches:
@@ -82,53 +85,126 @@ def sliced(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
 
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(text) != "").select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "slice bigint, lang string, total bigint, words array<string>, counts array<bigint>, tokens binary")
+    return rows.mapInArrow(run, SLICE)
 
 
-def _u32(x: np.ndarray) -> bytes:
-    return x.astype("<u4").tobytes()
+SLICE = "slice bigint, lang string, total bigint, n_words bigint, n_bytes bigint, words binary, counts binary, n bigint, tokens binary"
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _lines(raw: bytes, size: int) -> list[bytes]:
+    """The words of a slice; none holds a line end."""
+    return pa.Codec("zstd").decompress(raw, size, asbytes=True).split(b"\n")
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, compressed byte by byte of all of them: small and repeated ones take little."""
+    return pa.Codec("zstd").compress(np.frombuffer(numbers.astype("<u4").tobytes(), np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True) if len(numbers) else b""
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(pa.Codec("zstd").decompress(raw, 4 * n, asbytes=True), np.uint8).reshape(4, n).T.tobytes(), "<u4") if n else np.zeros(0, "<u4")
 
 
 def _bits(top: int | None) -> int:
     return max(1, int(top or 0).bit_length())
 
 
-def frequent_words(slices: DataFrame, least: int) -> tuple[DataFrame, int]:
-    """Rows (id, lang, phrase, a) of the words that a language has ``least`` times or more, numbered apart, and the bits of the largest number."""
+def word_parts(slices: DataFrame, share_bits: int) -> DataFrame:
+    """Rows (share, lang, slice, n, n_bytes, words, counts, local): each slice's words dealt out by their hash, with their places in the slice's list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, lang, n, size, raw, counts in zip(*(batch[k].to_pylist() for k in ("slice", "lang", "n_words", "n_bytes", "words", "counts"))):
+                own, number = _lines(raw, size), _numbers(counts, n)
+                share = np.array([xxhash.xxh64_intdigest(w) for w in own], np.uint64) >> np.uint64(64 - share_bits)
+                order = np.argsort(share, kind="stable")
+                cuts = np.searchsorted(share[order], np.arange((1 << share_bits) + 1, dtype=np.uint64))
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    at = order[cuts[k] : cuts[k + 1]]
+                    flat = b"\n".join([own[i] for i in at.tolist()])
+                    values = [k, lang, name, len(at), len(flat), _squeezed(flat), _packed(number[at]), _packed(at)]
+                    yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], [f.split()[0] for f in PART.split(", ")])
+
+    return slices.select("slice", "lang", "n_words", "n_bytes", "words", "counts").mapInArrow(run, PART)
+
+
+PART = "share bigint, lang string, slice bigint, n bigint, n_bytes bigint, words binary, counts binary, local binary"
+
+
+def frequent_words(parts: DataFrame, least: int) -> DataFrame:
+    """Rows (share, lang, start, words, counts): what a language has ``least`` times or more of each share's words, and how many of the share came before. Parts arrive share by share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, count, start = None, {}, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal start
+            kept = [(w, c) for w, c in count.items() if c >= least]
+            if kept:
+                values = [[now[0]], [now[1]], [start], [[w.decode() for w, _ in kept]], [[c for _, c in kept]]]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["share", "lang", "start", "words", "counts"])
+                start += len(kept)
+
+        for batch in batches:
+            for share, lang, n, size, raw, counts in zip(*(batch[k].to_pylist() for k in ("share", "lang", "n", "n_bytes", "words", "counts"))):
+                if (share, lang) != now:
+                    yield from out()
+                    start = start if now and now[0] == share else 0
+                    now, count = (share, lang), {}
+                get = count.get
+                for w, c in zip(_lines(raw, size), _numbers(counts, n).tolist()):
+                    count[w] = get(w, 0) + c
+        yield from out()
+
+    dealt = parts.repartition("share").sortWithinPartitions("share", "lang").select("share", "lang", "n", "n_bytes", "words", "counts")
+    return dealt.mapInArrow(run, "share bigint, lang string, start bigint, words array<string>, counts array<bigint>")
+
+
+def word_numbers(parts: DataFrame, frequent: DataFrame, place_bits: int) -> DataFrame:
+    """Rows (slice, n, local, ids): of each part's words the frequent ones, with their numbers. A share's frequent words come before its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId(), 0
+        now, number = None, {}
         for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part)), pa.array(np.arange(done, done + n))], [*batch.schema.names, "part", "place"])
-            done += n
+            for share, lang, name, n, size, raw, local, known, start in zip(*(batch[k].to_pylist() for k in ("share", "lang", "slice", "n", "n_bytes", "words", "local", "known", "start"))):
+                if name is None:
+                    now, number = (share, lang), {w.encode(): share << place_bits | start + i for i, w in enumerate(known)}
+                elif (share, lang) == now:
+                    get = number.get
+                    ids = np.array([get(w, -1) for w in _lines(raw, size)], np.int64)
+                    own = ids >= 0
+                    if own.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (name, int(own.sum()), _packed(_numbers(local, n)[own]), _packed(ids[own]))], ["slice", "n", "local", "ids"])
 
-    each = slices.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("c"))
-    found = each.groupBy("lang", "phrase").agg(F.sum("c").alias("a")).where(F.col("a") >= least)
-    table = written(found.mapInArrow(run, "lang string, phrase string, a bigint, part bigint, place bigint"), "phrase-words")
-    most = table.agg(F.max("part").alias("p"), F.max("place").alias("i")).first()
-    low = _bits(most["i"])
-    return table.select((F.col("part") * (1 << low) + F.col("place")).alias("id"), "lang", "phrase", "a"), low + _bits(most["p"])
+    none = lambda kind: F.lit(None).cast(kind)
+    first = frequent.select("share", "lang", none("bigint").alias("slice"), none("bigint").alias("n"), none("bigint").alias("n_bytes"), none("binary").alias("words"), none("binary").alias("local"), F.col("words").alias("known"), "start")
+    both = first.union(parts.select("share", "lang", "slice", "n", "n_bytes", "words", "local", none("array<string>").alias("known"), none("bigint").alias("start")))
+    # nulls come first
+    return both.repartition("share").sortWithinPartitions("share", "lang", "slice").mapInArrow(run, "slice bigint, n bigint, local binary, ids binary")
 
 
-def first_state(slices: DataFrame, frequent: DataFrame) -> DataFrame:
+def first_state(slices: DataFrame, numbers: DataFrame) -> DataFrame:
     """Rows (slice, n, gap, id, last): where the slice's frequent words stand, and their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                some = batch.slice(row, 1)
-                codes = np.frombuffer(some["tokens"][0].as_buffer(), np.int32)
-                known = some["known"].flatten()
-                number = np.full(int(codes.max(initial=-1)) + 2, NONE, np.uint32)  # the last stands for -1
-                number[np.asarray(known.field("local"))] = np.asarray(known.field("id")).astype(np.uint32)
-                ids = number[codes]
+            for name, n_words, n, raw, known in zip(*(batch[k].to_pylist() for k in ("slice", "n_words", "n", "tokens", "known"))):
+                number = np.full(n_words + 1, NONE, np.uint32)
+                for x in known:
+                    number[_numbers(x["local"], x["n"])] = _numbers(x["ids"], x["n"])
+                # between pieces stands NONE, which takes the last place
+                ids = number[np.minimum(_numbers(raw, n), np.uint32(n_words))]
                 at = np.flatnonzero(ids != NONE)
-                yield _state(some["slice"][0].as_py(), at, ids[at], None)
+                yield _state(name, at, ids[at], None)
 
-    each = slices.select("slice", "lang", F.posexplode("words").alias("local", "phrase"))
-    known = each.join(frequent.select("lang", "phrase", "id"), ["lang", "phrase"]).groupBy("slice").agg(F.collect_list(F.struct("local", "id")).alias("known"))
-    return slices.select("slice", "tokens").join(known, "slice").mapInArrow(run, STATE)
+    # a slice's answers are as many as its distinct words at most
+    known = numbers.groupBy("slice").agg(F.collect_list(F.struct("n", "local", "ids")).alias("known"))
+    return slices.select("slice", "n_words", "n", "tokens").join(known, "slice").mapInArrow(run, STATE)
 
 
 STATE = "slice bigint, n bigint, gap binary, id binary, last binary"
@@ -136,14 +212,15 @@ STATE = "slice bigint, n bigint, gap binary, id binary, last binary"
 
 def _state(name: int, at: np.ndarray, ids: np.ndarray, last: np.ndarray | None) -> pa.RecordBatch:
     gap = np.diff(at, prepend=0)
-    columns = [pa.array([name], pa.int64()), pa.array([len(at)], pa.int64()), *(pa.array([x], pa.binary()) for x in (_u32(gap), _u32(ids), b"" if last is None else _u32(last)))]
+    columns = [pa.array([name], pa.int64()), pa.array([len(at)], pa.int64()), *(pa.array([x], pa.binary()) for x in (_packed(gap), _packed(ids), b"" if last is None else _packed(last)))]
     return pa.RecordBatch.from_arrays(columns, ["slice", "n", "gap", "id", "last"])
 
 
 def _grown(row: pa.RecordBatch, word_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places whose phrase goes on with a frequent one at the next place, their keys, and the last word of the longer phrase."""
-    gap, ids, last = (np.frombuffer(row[k][0].as_buffer(), "<u4") for k in ("gap", "id", "last"))
-    last = last if len(last) else ids  # of one word
+    n = row["n"][0].as_py()
+    gap, ids, last = (_numbers(raw, n) if (raw := row[k][0].as_py()) or not n else None for k in ("gap", "id", "last"))
+    last = ids if last is None else last  # of one word
     go = np.flatnonzero(gap[1:] == 1)
     at = np.cumsum(gap, dtype=np.int64)[go]
     return at, ids[go].astype(np.uint64) << np.uint64(word_bits) | last[go + 1], last[go + 1]
@@ -213,7 +290,7 @@ def returned(parts: DataFrame, frequent: DataFrame, low: int, place_bits: int) -
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                     own = known[at] == keys
                     if own.any():
-                        rows.append((name, (keys[own] | np.uint64(share << low)).tobytes(), _u32(at[own] | share << place_bits)))
+                        rows.append((name, (keys[own] | np.uint64(share << low)).tobytes(), (at[own] | share << place_bits).astype("<u4").tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["slice", "keys", "ids"])
 
@@ -267,11 +344,20 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text:
     Numbers of words and phrases are of 32 bits, a key of 64 at most: more frequent phrases than that raise an error.
     """
     slices = written(sliced(docs, text, lang), "phrase-slices")
-    single, word_bits = frequent_words(slices, least)
-    found, shorter, id_bits = [single], single, word_bits
+    totals = written(slices.groupBy("lang").agg(F.sum("total").alias("n")), "phrase-totals")
+    share_bits = max(4, _bits((slices.agg(F.sum("n_words")).first()[0] or 0) // SHARE_WORDS))
+    parts = written(word_parts(slices, share_bits), "phrase-word-parts")
+    frequent = written(frequent_words(parts, least), "phrase-frequent-words")
+    place_bits = _bits(frequent.agg(F.max(F.col("start") + F.size("words"))).first()[0])
+    word_bits = share_bits + place_bits
     if word_bits > 31:
         raise ValueError("more frequent words than 31-bit numbers hold")
-    state = written(first_state(slices, single), "phrase-places")
+    each = frequent.select("share", "lang", "start", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "w"))
+    single = written(each.select((F.col("share") * (1 << place_bits) + F.col("start") + F.col("i")).alias("id"), "lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("a")), "phrase-words")
+    state = written(first_state(slices, word_numbers(parts, frequent, place_bits)), "phrase-places")
+    for done in (slices, parts, frequent):
+        forget(done)
+    found, shorter, id_bits = [single], single, word_bits
     for size in range(2, longest + 1):
         width, total = id_bits + word_bits, state.agg(F.sum("n")).first()[0]
         if not total:
@@ -289,13 +375,15 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text:
         shorter = written(named(frequent, shorter, single, width, word_bits, low, place_bits), "phrases")
         found.append(shorter)
         if size < longest:
-            state = written(next_state(state, returned(parts, frequent, low, place_bits), width, word_bits), "phrase-places")
+            before, state = state, written(next_state(state, returned(parts, frequent, low, place_bits), width, word_bits), "phrase-places")
             id_bits = share_bits + place_bits
+            for done in (before, parts, frequent):
+                forget(done)
     out = None
     for size, table in enumerate(found, 1):
         table = table.select("lang", F.lit(size).alias("size"), "phrase", "a")
         out = table if out is None else out.union(table)
-    return out, slices.groupBy("lang").agg(F.sum("total").alias("n"))
+    return out, totals
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
