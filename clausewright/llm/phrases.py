@@ -28,7 +28,7 @@ from .quotient_filter import Filter, merged, permuted, restored
 #: Bytes of text of a slice; a longer text is a slice of its own.
 SLICE_BYTES = 8 << 20
 #: Keys of a share, on average, before equal ones are merged; words of a share, likewise.
-SHARE_KEYS, SHARE_WORDS = 1 << 20, 1 << 18
+SHARE_KEYS, SHARE_WORDS = 1 << 19, 1 << 17
 #: Between phrases; no word's number.
 NONE = np.uint32(0xFFFFFFFF)
 #: Groups of a language whose best are ranked apart first.
