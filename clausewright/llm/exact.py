@@ -12,16 +12,24 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, written
 
-#: Where a chunk may end, by up to four characters around: between some word ends and word beginnings of several
-#: scripts, behind some pairs in texts without spaces (ideographs, kana, encoded bytes).
-ENDS = [
-    r"(?<=[a-i][dnrt])\s(?=[a-f][l-z])",
-    r"(?<=[\u03b1-\u03b5\u0430-\u0435\u05d0-\u05d5\u0627-\u062f\u0905-\u0915])\s(?=[\u03b9-\u03be\u043a-\u043f\u05d9-\u05de\u0631-\u0639\u0924-\u0932])",
-    r"(?<=[\u4e00-\u56ff\u3042-\u304f])[\u3001\u3002\uff0c\u7684\u4e00\u662f\u3066\u306e]",
-    r"(?<=[a-h][qz9])[a-d]",
-]
-#: A chunk has 128 characters at least and ends at the next such place, at 4,096 at the latest.
-CHUNK = r"(?s).{128,4095}?(?:" + "|".join(ENDS) + r")|.{1,4096}"
+#: A chunk may end behind three characters whose last byte in UTF-8 has these lower bits: (mask, values) of each.
+#: They are the same share of any script's letters and of digits, so that about one place in 128 qualifies.
+ENDS = ((7, {1}), (3, {2}), (3, {0}))
+LEAST, MOST = 128, 4096
+
+
+def _bytes(low: int, high: int, mask: int, values: set[int]) -> str:
+    """A pattern's class of the bytes from ``low`` to below ``high`` with these lower bits."""
+    return "[" + "".join(f"\\x{b:02x}" for b in range(low, high) if b & mask in values) + "]"
+
+
+def _pattern(wide: bool) -> str:
+    """Texts of one byte a character, or any text as its bytes: there a character ends where no continuation byte follows."""
+    part = r"(?:{0}|[\xc2-\xf4][\x80-\xbf]{{0,2}}{1})" if wide else "{0}"
+    first = _bytes(0, 0xC0 if wide else 0x80, *ENDS[0])
+    rest = "".join(part.format(_bytes(0, 0x80, *x), _bytes(0x80, 0xC0, *x)) for x in ENDS[1:])
+    end = r"(?![\x80-\xbf])" if wide else ""
+    return f"(?s).{{{LEAST - 3},{MOST - 12}}}?{first}{rest}{end}|.{{1,{MOST}}}{end}"
 
 
 def normalised(text: Column) -> Column:
@@ -30,8 +38,17 @@ def normalised(text: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """The text cut into chunks. Where one may end follows from the characters around, so that texts are cut alike again soon behind an edit."""
-    return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
+    """The text cut into chunks. Where one may end follows from three characters, so that texts are cut alike again soon behind an edit.
+
+    Chunks of a text with longer characters are its bytes, one character each; ``spelled`` turns one back.
+    """
+    wide = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.when(F.length(text) == F.octet_length(text), F.regexp_extract_all(text, F.lit(_pattern(False)), F.lit(0))).otherwise(F.regexp_extract_all(wide, F.lit(_pattern(True)), F.lit(0)))
+
+
+def spelled(chunk: Column) -> Column:
+    """The text of a chunk."""
+    return F.when(F.length(chunk) == F.octet_length(chunk), chunk).otherwise(F.decode(F.encode(chunk, "ISO-8859-1"), "UTF-8"))
 
 
 def chunk_hash(chunk: Column) -> Column:

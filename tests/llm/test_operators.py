@@ -52,29 +52,47 @@ def test_exact_groups_with_clashing_hashes(docs, doc_rows):
     assert exact.recipes(docs, key=weak).count() == len(doc_rows)
 
 
-@pytest.mark.parametrize("kind", ["sentences", "no marks", "no spaces", "ideographs", "one letter"])
+#: First and last letter of an alphabet, for random words.
+SCRIPTS = {
+    "Cyrillic": "ая", "Greek": "αω", "Arabic": "بي", "Hebrew": "את", "Devanagari": "कह", "Bengali": "কহ", "Tamil": "கஹ", "Thai": "กฮ", "Georgian": "აჰ", "Armenian": "աֆ",
+    "Hangul": "가힣", "katakana": "ァヴ", "ideographs": "一龥", "digits": "09", "emoji": "😀🙏", "hexadecimal": None,
+}
+
+
+@pytest.mark.parametrize("kind", ["sentences", "no marks", "no spaces", "mixed", "one letter", *SCRIPTS])
 def test_chunks_rebuild_the_text_and_follow_content(spark, kind):
     rng = np.random.default_rng(6)
     letters = list("etaoinshrdlucmfwypvbgkqjxz")
     share = 1 / np.arange(1, 27)
     word = lambda: "".join(rng.choice(letters, rng.integers(2, 9), p=share / share.sum()))
     vocabulary = [word() for _ in range(3000)]
-    text = {
-        "sentences": lambda: "".join(" ".join(rng.choice(vocabulary, 12)) + ". " for _ in range(500)),
-        "no marks": lambda: " ".join(rng.choice(vocabulary, 6000)),
-        "no spaces": lambda: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 40000)).lower(),
-        "ideographs": lambda: "".join(rng.choice([*map(chr, range(0x4E00, 0x4F00)), *"的是、。"], 40000)),
-        "one letter": lambda: "a" * 40000,
-    }[kind]()
+
+    def script(name):
+        own = list("0123456789abcdef") if name == "hexadecimal" else [chr(c) for c in range(ord(SCRIPTS[name][0]), ord(SCRIPTS[name][1]) + 1)]
+        letters, cuts = np.array(own)[rng.integers(0, len(own), 40000)], np.cumsum(rng.integers(2, 9, 7000))
+        return " ".join("".join(letters[a:b]) for a, b in zip(cuts, cuts[1:]))
+
+    if kind in SCRIPTS:
+        text = script(kind)
+    else:
+        text = {
+            "sentences": lambda: "".join(" ".join(rng.choice(vocabulary, 12)) + ". " for _ in range(500)),
+            "no marks": lambda: " ".join(rng.choice(vocabulary, 6000)),
+            "no spaces": lambda: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 40000)).lower(),
+            "mixed": lambda: " ".join(script(k)[:2500] for k in SCRIPTS),
+            "one letter": lambda: "a" * 40000,
+        }[kind]()
     at = len(text) // 2
-    edited = [text, "New start " + text, text[:at] + "some words " + text[at:], text[7:]]
-    row = spark.createDataFrame([(i, t) for i, t in enumerate(edited)], "i int, t string").select("i", exact.chunks(F.col("t")).alias("c")).orderBy("i").collect()
-    assert ["".join(r.c) for r in row] == edited
+    edited = [text, "New start " + text, text[:at] + "some words " + text[at:], text[7:], "é" + text, text + "é"]
+    c = F.col("c")
+    row = spark.createDataFrame([(i, t) for i, t in enumerate(edited)], "i int, t string").select("i", exact.chunks(F.col("t")).alias("c")).select("i", "c", F.transform(c, exact.spelled).alias("s")).orderBy("i").collect()
+    assert ["".join(r.s) for r in row] == edited
+    assert all(len(x) <= exact.MOST for r in row for x in r.c)
     if kind != "one letter":
-        assert 20 < len(row[0].c) < 400
-        # an edit changes the chunks around it alone
+        assert 20 < len(row[0].c) < 1000
+        # an edit changes the chunks around it alone; a text's only longer character changes none but its own
         for r in row[1:]:
-            assert sum(len(c) for c in set(row[0].c) & set(r.c)) > 0.85 * len(text), kind
+            assert sum(len(x) for x in set(row[0].s) & set(r.s)) > 0.9 * len(text), kind
 
 
 def test_drop_copies_keeps_columns(docs, doc_rows):
@@ -152,8 +170,7 @@ def test_simhash_links_lose_nothing(spark, dense):
 @pytest.mark.parametrize("dense", [2, 32])
 def test_edited_copies_are_dropped(spark, dense, monkeypatch):
     rng = np.random.default_rng(4)
-    monkeypatch.setattr(near.candidates, "__defaults__", (dense,))
-    monkeypatch.setattr(near.links, "__defaults__", (dense,))
+    monkeypatch.setattr(near, "DENSE", dense)
     vocabulary = [f"w{i}" for i in range(2000)]
     texts = []
     for _ in range(12):
