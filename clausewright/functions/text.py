@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ DUTY = r"(?i)\b(shall|must|should|is required to|are required to|has to|have to)
 MAY = r"(?i)\bmay\b"
 #: Fixed value: a list marker at the start of a sentence.
 MARKER = r"(?i)^\s*(?:\(?[0-9ivxlc]{1,5}\)|[0-9]{1,3}\.|[a-z]{1,2}\)|[ivxlc]{1,5}\.|[a-z]\.)\s*"
+#: Characters that count as another where quotes are compared.
+FOLDED = {"{": "(", "[": "(", "}": ")", "]": ")", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "‑": "-"}
+#: White space in texts and quotes.
+BLANK = r"[\s\u00A0]"
 #: A sentence: up to a full stop, a semicolon or a line's end.
 SENTENCE = r"[^\n.;]+[.;]?"
 
@@ -119,6 +125,44 @@ def located(text: Column, quote: Column, least: int = 12) -> Column:
     return F.when((F.length(wanted) >= least) & (at > 0), F.struct((at - 1).alias("s"), (at - 1 + F.length(wanted)).alias("e")))
 
 
+def folded(text: Column) -> Column:
+    """The text for comparison: small letters, one kind of bracket, quote and dash, runs of white space as one space.
+
+    Only white space changes the length (small letters of another length stay as they are), so that ``unfolded``
+    needs the runs' places alone.
+    """
+    small = F.lower(text)
+    cased = F.when(F.length(small) == F.length(text), small).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return F.regexp_replace(F.translate(cased, "".join(FOLDED), "".join(FOLDED.values())), BLANK + "+", " ")
+
+
+def unfolded(text: Column, at: Column) -> Column:
+    """The places in the text of characters of ``folded(text)``, an array; a run of white space counts at its start."""
+
+    def found(runs: Column) -> Column:
+        # where each run stands in the folded text, and what it takes from places behind it
+        return F.zip_with(runs, before_each(F.transform(runs, lambda r: r["e"] - r["s"] - 1)), lambda r, before: F.struct((r["s"] - before).alias("at"), (r["e"] - r["s"] - 1).alias("lost")))
+
+    def shifted(taken: Column) -> Column:
+        return F.transform(at, lambda k: (k + F.aggregate(taken, F.lit(0).cast("bigint"), lambda total, x: total + F.when(x["at"] < k, x["lost"]).otherwise(0))).cast("int"))
+
+    return once(once(places(text, BLANK + "{2,}"), found), shifted)
+
+
+def located_as(text: Column, quote: Column, least: int = 12) -> Column:
+    """Struct (s, e, kind) of the quote's first place: exact, or else normalised, where it is there after ``folded``; null else."""
+    wanted = F.regexp_replace(F.trim(quote), r"\.+\z", "")
+    exact = located(text, quote, least)
+
+    def near(found: Column) -> Column:
+        ends = unfolded(text, F.array(found["at"] - 1, found["at"] + found["n"] - 2))
+        place = once(ends, lambda x: F.struct(F.get(x, 0).alias("s"), (F.get(x, 1) + 1).alias("e"), F.lit("normalised").alias("kind")))
+        return F.when((found["at"] > 0) & (found["n"] > 0), place)
+
+    bare = once(F.trim(folded(wanted)), lambda x: F.struct(F.call_function("instr", folded(text), x).alias("at"), F.length(x).alias("n")))
+    return once(exact, lambda x: F.when(x.isNotNull(), F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("exact").alias("kind"))).when(F.length(wanted) >= least, once(bare, near)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays of numbers, null where one has no length."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
@@ -127,16 +171,41 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body, or a lambda in it, names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def before_each(sizes: Column) -> Column:
+    """For each number of an array, the sum of those before it.
+
+    An array that grows by one element a step is copied at each; here blocks of about the root of the size
+    are worked out apart, so that n elements cost n ** 1.5 at most.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def steps(start: Column, some: Column) -> Column:
+        grown = F.aggregate(some, F.struct(start.alias("now"), none.alias("all")), lambda st, x: F.struct((st["now"] + x).alias("now"), F.array_append(st["all"], st["now"]).alias("all")))
+        return grown["all"]
+
+    def blocks(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / width).cast("int") - 1), lambda i: F.slice(v, i * width + 1, width))
+        totals = F.transform(cut, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda x, y: x + y))
+        return F.flatten(F.zip_with(cut, steps(F.lit(0).cast("bigint"), totals), lambda b, start: steps(start, b)))
+
+    longs = sizes.cast("array<bigint>")
+    return F.when(F.size(longs) > 0, once(longs, blocks)).otherwise(none)
+
+
 def places(text: Column, pattern: str) -> Column:
     """Matches of a pattern as structs (s, e, m): code points, end exclusive, and the match."""
     gaps, all_ = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sized = F.transform(all_, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("m")))
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(state["all"], F.array(F.named_struct(F.lit("s"), start, F.lit("e"), end, F.lit("m"), x["m"]))).alias("all"))
+    def found(v: Column) -> Column:
+        starts = before_each(F.transform(v, lambda x: x["gap"] + F.length(x["m"])))
+        at = lambda x, start: (start + x["gap"]).cast("int")
+        return F.zip_with(v, starts, lambda x, start: F.struct(at(x, start).alias("s"), (at(x, start) + F.length(x["m"])).alias("e"), x["m"].alias("m")))
 
-    found = F.aggregate(sized, F.struct(F.lit(0).alias("at"), empty.alias("all")), step, lambda state: state["all"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    return F.when(text.rlike(pattern), once(sized, found)).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))

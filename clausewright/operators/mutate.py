@@ -2,69 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import re
 
-from ..functions.text import canonical
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 
+from ..functions.text import before_each, canonical
 
-#: Edits of one run.
+#: Edits of one run: a parameter, since one pattern of all of them is looked for in every document. More are refused.
 MOST = 1000
 
 
-def occurrences(text: Column, find: Column) -> Column:
-    """How often ``find`` occurs in the text, without overlaps."""
-    return ((F.length(text) - F.length(F.replace(text, find, F.lit("")))) / F.greatest(F.length(find), F.lit(1))).cast("int")
+def _any_of(phrases: list[str]) -> str:
+    """A pattern of any of the phrases, the longest first, grouped by their first character."""
+    by_first: dict[str, list[str]] = {}
+    for p in sorted(set(phrases), key=lambda p: (-len(p), p)):
+        by_first.setdefault(p[0], []).append(p)
+    return "(?:" + "|".join(re.escape(c) + "(?:" + "|".join(re.escape(p[1:]) for p in group) + ")" for c, group in by_first.items()) + ")"
+
+
+def _wanted(edits: DataFrame, most: int) -> list[Row]:
+    clean = edits.select("edit_id", canonical(F.col("find")).alias("find"), canonical(F.coalesce("replacement", F.lit(""))).alias("replacement"), F.coalesce("every", F.lit(False)).alias("every"))
+    rows = clean.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} edits")
+    return sorted(rows, key=lambda r: str(r["edit_id"]))
 
 
-def checked(documents: DataFrame, edits: DataFrame) -> DataFrame:
+def checked(documents: DataFrame, edits: DataFrame, most: int = MOST) -> DataFrame:
     """``edits`` (edit_id, find, replacement, every) with total, the times that ``find`` occurs over all documents, and whether it may be applied.
 
-    A phrase must occur exactly once, or once or more where ``every`` is set. Edits are a short table, ``MOST``
-    rows at most, that every document is searched for.
+    A phrase must occur exactly once, or once or more where ``every`` is set; occurrences that overlap count
+    each, and a phrase without characters occurs nowhere. Each document is gone through once, whatever the
+    number of edits, ``most`` at most.
     """
-    if edits.limit(MOST + 1).count() > MOST:
-        raise ValueError(f"more than {MOST} edits")
+    rules = _wanted(edits, most)
+    finds = [r["find"] for r in rules if r["find"]]
     wanted = edits.withColumns({"find": canonical(F.col("find")), "replacement": canonical(F.coalesce("replacement", F.lit("")))})
-    counts = documents.select(canonical(F.col("text")).alias("text")).join(F.broadcast(wanted.select("edit_id", "find"))).groupBy("edit_id").agg(F.sum(occurrences(F.col("text"), F.col("find"))).alias("total"))
-    both = wanted.join(counts, "edit_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    if finds:
+        # one match a place, the longest; shorter phrases that begin it are there too
+        starts = {f: [r["edit_id"] for r in rules if r["find"] and f.startswith(r["find"])] for f in set(finds)}
+        of = F.create_map(*[x for f, ids in starts.items() for x in (F.lit(f), F.array(*map(F.lit, ids)))])
+        each = documents.select(F.explode(F.regexp_extract_all(canonical(F.col("text")), F.lit(f"(?=({_any_of(finds)}))"), F.lit(1))).alias("m"))
+        counts = each.groupBy("m").agg(F.count("*").alias("n")).select(F.explode(of[F.col("m")]).alias("edit_id"), "n").groupBy("edit_id").agg(F.sum("n").alias("total"))
+        both = wanted.join(counts, "edit_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    else:
+        both = wanted.withColumn("total", F.lit(0).cast("bigint"))
     return both.withColumn("applies", F.when(F.coalesce("every", F.lit(False)), F.col("total") >= 1).otherwise(F.col("total") == 1))
 
 
-def mutated(documents: DataFrame, edits: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, locations): documents (doc_id, text) in canonical form with the edits that apply made in order.
+def mutated(documents: DataFrame, edits: DataFrame, most: int = MOST) -> DataFrame:
+    """Rows (doc_id, text, locations): documents (doc_id, text) in canonical form with the edits that apply.
 
-    locations lists (edit_id, start, length) of the new text, in the final text; a deletion has length 0 and
-    takes the white space around it along. Edits do not overlap.
+    All edits are made on the original text, in one pass; where two phrases overlap, the one that begins
+    first is replaced, the longer of two that begin together. locations lists (edit_id, start, length) of the
+    new text, in the final text; a deletion has length 0 and takes the white space around it along. Of edits
+    of one phrase the first by edit_id is made.
     """
-    rules = checked(documents, edits).where("applies").orderBy("edit_id").collect()  # ``MOST`` rows at most
-    out = documents.select("doc_id", canonical(F.col("text")).alias("text"), F.array().cast("array<struct<edit_id:string,start:int,length:int>>").alias("locations"))
-    for r in rules:
-        out = _apply(out, str(r["edit_id"]), r["find"], r["replacement"])
-    return out
-
-
-def _apply(rows: DataFrame, edit_id: str, find: str, new: str) -> DataFrame:
-    pattern = "\\Q" + find.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    parts = F.split("text", pattern if new else r"\s*" + pattern + r"\s*", -1)
-    glue = new or " "
-
-    def step(state: Column, x: Column) -> Column:
-        start = F.length(state["text"])
-        joined = F.when(state["first"], x).otherwise(F.concat(state["text"], F.lit(glue), x))
-        place = F.struct(F.lit(edit_id).alias("edit_id"), (start + (0 if new else 1)).alias("start"), F.lit(len(new)).alias("length"), (start + len(glue)).alias("end"))
-        return F.struct(joined.alias("text"), F.lit(False).alias("first"), F.when(state["first"], state["places"]).otherwise(F.array_append(state["places"], place)).alias("places"))
-
-    empty = F.array().cast("array<struct<edit_id:string,start:int,length:int,end:int>>")
-    built = F.aggregate(parts, F.struct(F.lit("").alias("text"), F.lit(True).alias("first"), empty.alias("places")), step)
-    held = rows.where(F.col("text").contains(find)).withColumn("b", built)
-    # places before are moved by what the edits in front of them added or took
-    size = F.length("text")
-    gained = (F.length("b.text") - size) / F.greatest(F.size("b.places"), F.lit(1))
-    moved = F.transform("locations", lambda x: F.struct(x["edit_id"].alias("edit_id"), (x["start"] + gained * F.size(F.filter(F.col("b.places"), lambda p: p["start"] <= x["start"]))).cast("int").alias("start"), x["length"].alias("length")))
-    here = F.transform("b.places", lambda p: F.struct(p["edit_id"].alias("edit_id"), p["start"].alias("start"), p["length"].alias("length")))
-    done = held.select("doc_id", F.trim("b.text").alias("text"), F.concat(moved, here).alias("locations"))
-    return done.unionByName(rows.where(~F.col("text").contains(find)))
+    rules = [r for r in _wanted(checked(documents, edits, most).where("applies"), most) if r["find"]]
+    rules = list({r["find"]: r for r in reversed(rules)}.values())
+    text = canonical(F.col("text"))
+    kind = "array<struct<edit_id:string,start:int,length:int>>"
+    if not rules:
+        return documents.select("doc_id", text.alias("text"), F.array().cast(kind).alias("locations"))
+    gone, new = [r["find"] for r in rules if not r["replacement"]], [r["find"] for r in rules if r["replacement"]]
+    pattern = "|".join([rf"\s*{_any_of(gone)}\s*"] * bool(gone) + [_any_of(new)] * bool(new))
+    rule = F.create_map(*[x for r in rules for x in (F.lit(r["find"]), F.struct(F.lit(str(r["edit_id"])).alias("id"), F.lit(r["replacement"]).alias("new")))])
+    rows = documents.select("doc_id", text.alias("text")).withColumns({"gaps": F.split("text", pattern, -1), "found": F.regexp_extract_all("text", F.lit(pattern), F.lit(0))})
+    named = F.transform("found", lambda m: rule[F.trim(m)])
+    # gap i stands before match i; what has no text before or behind it needs no space
+    filled = F.concat(F.transform("gaps", lambda g, i: F.when(g != "", i - 0.5)), F.transform("rule", lambda x, i: F.when(x["new"] != "", i.cast("double"))))
+
+    def glue(x: Column, i: Column) -> Column:
+        """What stands for a match: its replacement, or a space between what is left on both sides."""
+        again = (F.get("gaps", i) == "") & (i > 0) & (F.get("rule", i - 1)["new"] == "")
+        edge = ~F.coalesce((F.col("filled.s") < i) & (i < F.col("filled.e")), F.lit(False))
+        return F.when(x["new"] != "", x["new"]).when(again | edge, "").otherwise(" ")
+
+    put = rows.withColumn("rule", named).withColumn("filled", F.struct(F.array_min(filled).alias("s"), F.array_max(filled).alias("e"))).withColumn("put", F.transform("rule", glue))
+    starts = before_each(F.transform("put", lambda x, i: F.length(F.get("gaps", i)) + F.length(x)))
+
+    def place(x: Column, i: Column) -> Column:
+        own = F.get("rule", i)
+        start = x + F.length(F.get("gaps", i)) + F.when(own["new"] == "", F.length(F.get("put", i))).otherwise(0)
+        return F.struct(own["id"].alias("edit_id"), start.cast("int").alias("start"), F.length(own["new"]).alias("length"))
+
+    whole = F.concat(F.array_join(F.zip_with(F.slice("gaps", 1, F.size("put")), F.col("put"), lambda a, b: F.concat(a, b)), ""), F.element_at("gaps", -1))
+    return put.select("doc_id", whole.alias("text"), F.transform(starts, place).cast(kind).alias("locations"))
 
 
 def answer_key(changed: DataFrame, edits: DataFrame) -> DataFrame:

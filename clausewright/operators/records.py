@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import small
-from ..functions.text import action_key, located
+from ..functions.text import action_key, before_each, folded, located, located_as, once
 
 #: From a place in a text to its sentence's end: a full stop or semicolon before white space or the end, else the line's end.
 SENTENCE_FROM = r"^[^.;\n]*(?:[.;]+[^ \t\n\r\f.;][^.;\n]*)*[.;]*"
@@ -26,6 +26,22 @@ def gated(items: DataFrame, document: str, item: str, text: str, quote: str, act
     return spans.withColumn("outcome", F.when(F.col("s").isNull(), "rejected").when(n > 1, "duplicate").otherwise("kept")).drop("__at")
 
 
+def cited(items: DataFrame, document: str, item: str, text: str, quote: str, action: str) -> DataFrame:
+    """``items`` with s, e, kind, lead_in and outcome: the sentence that the quote begins, to the first end of a sentence behind the quote.
+
+    The quote is found as it is, or normalised (``located_as``). Where the sentence only leads in to a list,
+    the citation moves to the line that states the action, and lead_in keeps the sentence. Outcomes are those of ``gated``.
+    """
+    placed = items.withColumn("__at", located_as(F.col(text), F.col(quote)))
+    tail = F.substring(F.col(text), F.col("__at.e") + 1, F.length(F.col(text)))
+    whole = placed.withColumns({"__s": F.col("__at.s"), "__e": F.col("__at.e") + F.length(F.regexp_extract(tail, SENTENCE_FROM, 0))})
+    moved = whole.withColumn("__item", list_item_for(F.col(text), F.col("__s"), F.col("__e"), F.col(action)))
+    sentence = F.substring(F.col(text), F.col("__s") + 1, F.col("__e") - F.col("__s"))
+    spans = moved.withColumns({"s": F.coalesce("__item.s", "__s").cast("bigint"), "e": F.coalesce("__item.e", "__e").cast("bigint"), "kind": F.col("__at.kind"), "lead_in": F.when(F.col("__item").isNotNull(), sentence)})
+    n = F.row_number().over(W.partitionBy(document, "s", "e", action_key(F.col(action))).orderBy(item))
+    return spans.withColumn("outcome", F.when(F.col("s").isNull(), "rejected").when(n > 1, "duplicate").otherwise("kept")).drop("__at", "__s", "__e", "__item")
+
+
 # sources
 
 
@@ -96,27 +112,29 @@ def number_gaps(rows: DataFrame, by: str, number: str) -> DataFrame:
 # quotes
 
 
-def located_in(documents: DataFrame, quotes: DataFrame, document: str, text: str, quote_id: str, quote: str, words: int = 4) -> DataFrame:
-    """Rows (quote_id, document, s, e): the first place of each quote in each text that holds it.
+def located_in(documents: DataFrame, quotes: DataFrame, document: str, text: str, quote_id: str, quote: str, words: int = 4, fold: bool = False, most: int = 100_000) -> DataFrame:
+    """Rows (quote_id, document, s, e): the first place of each quote in each text that holds it; with ``fold`` also normalised, and the kind.
 
     A text that holds a quote holds ``words`` neighbouring words from within it, behind its first word, so that
-    both meet in an equality join; shorter quotes, counted first to be few, are looked for in every text.
+    both meet in an equality join; shorter quotes, ``most`` of them at most, are looked for in every text.
     """
-    cut = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
+    same = folded if fold else (lambda c: c)
+    cut = lambda c: F.filter(F.split(same(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
     q = quotes.select(quote_id, quote, cut(F.col(quote)).alias("w"))
     # the last word may be part of a longer one in the text, or lose a full stop
     long = q.where(F.size("w") >= words + 2).select(quote_id, quote, F.array_join(F.slice("w", 2, words), " ").alias("key"))
-    runs = lambda w: F.when(F.size(w) >= words, F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.array_join(F.slice(w, i, words), " ")))
+    runs = lambda c: once(c, lambda w: F.when(F.size(w) >= words, F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.array_join(F.slice(w, i, words), " "))))
     keys = long.select("key").distinct()
     near = small(keys)
     d = documents.select(document, F.explode(F.array_distinct(runs(cut(F.col(text))))).alias("key")).join(keys if near is None else near, "key", "left_semi" if near is None else "inner")
     met = d.join(long, "key").select(document, quote_id, quote).join(documents.select(document, text), document)
-    short = small(q.where(F.size("w") < words + 2).select(quote_id, quote))
+    short = small(q.where(F.size("w") < words + 2).select(quote_id, quote), most)
     if short is None:
-        raise ValueError("too many quotes of a few words")
+        raise ValueError(f"more than {most} quotes of a few words")
     both = met.select(quote_id, quote, document, text).unionByName(documents.select(document, text).join(short).select(quote_id, quote, document, text))
-    at = both.select(quote_id, document, located(F.col(text), F.col(quote)).alias("x")).where("x IS NOT NULL")
-    return at.select(quote_id, document, F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+    place = located_as if fold else located
+    at = both.select(quote_id, document, place(F.col(text), F.col(quote)).alias("x")).where("x IS NOT NULL")
+    return at.select(quote_id, document, F.col("x.s").alias("s"), F.col("x.e").alias("e"), *([F.col("x.kind").alias("kind")] if fold else []))
 
 
 def list_item_for(text: Column, start: Column, end: Column, action: Column) -> Column:
@@ -124,8 +142,10 @@ def list_item_for(text: Column, start: Column, end: Column, action: Column) -> C
     tail = F.substring(text, end + 1, F.length(text))
     lines = F.split(tail, "\n")
     wanted = F.array_distinct(F.filter(F.split(F.lower(action), r"\W+"), lambda w: F.length(w) > 3))
-    before = lambda i: F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    scored = F.transform(lines, lambda x, i: F.struct((-F.size(F.array_intersect(wanted, F.split(F.lower(x), r"\W+")))).alias("missing"), i.alias("i"), (end + before(i)).alias("s"), (end + before(i) + F.length(x)).alias("e")))
-    best = F.array_min(F.filter(scored, lambda x: -2 * x["missing"] >= F.size(wanted)))
+    at = before_each(F.transform(lines, lambda x: F.length(x) + 1))
+    bare = lambda x: F.regexp_replace(x, r"^\s+", "")
+    start_of = lambda x, before: (end + before + F.length(x) - F.length(bare(x))).cast("int")
+    scored = F.zip_with(lines, at, lambda x, before: F.struct((-F.size(F.array_intersect(wanted, F.split(F.lower(x), r"\W+")))).alias("missing"), start_of(x, before).alias("s"), (start_of(x, before) + F.length(F.regexp_replace(bare(x), r"\s+$", ""))).alias("e")))
+    best = F.array_min(F.filter(scored, lambda x: (-2 * x["missing"] >= F.size(wanted)) & (x["e"] > x["s"])))
     opens = F.rtrim(F.substring(text, start + 1, end - start)).endswith(":") & (F.size(wanted) > 0)
     return F.when(opens & best.isNotNull(), F.struct(best["s"].alias("s"), best["e"].alias("e")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import places
+
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return (a_start < b_end) & (b_start < a_end)
@@ -91,3 +93,31 @@ def own_segments(clauses: DataFrame, on: list[str]) -> DataFrame:
     order = W.partitionBy(*on, "ref", "s", "e").orderBy("i_s", "i_e").rowsBetween(W.unboundedPreceding, -1)
     after = F.coalesce(F.max("i_e").over(order), F.col("s"))
     return marks.withColumn("__from", after).where("i_s > __from").select(*on, "ref", F.col("__from").alias("s"), F.col("i_s").alias("e"))
+
+
+def bracket_ranges(texts: DataFrame, key: str, text: str, opening: str = "[", closing: str = "]") -> DataFrame:
+    """Rows (key, level, s, e) of matching brackets: s the opening one's place, e behind the closing one, level 1 the outermost.
+
+    As by a stack: a closing bracket without an open one is passed over, an opening one that is never closed
+    has no row. Brackets of a text are numbered in windows by their depth, so that no stack is held.
+    """
+    marks = places(F.coalesce(F.col(text), F.lit("")), f"[\\{opening}\\{closing}]")
+    each = texts.select(key, F.explode(marks).alias("x")).select(key, F.col("x.s").alias("s"), (F.col("x.m") == opening).alias("opens"))
+    order = W.partitionBy(key).orderBy("s").rowsBetween(W.unboundedPreceding, 0)
+    summed = each.withColumn("sum", F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(order))
+    # closing ones without a partner make a new low
+    low = F.least(F.lit(0), F.coalesce(F.min("sum").over(W.partitionBy(key).orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    deep = summed.withColumn("low", low).where(F.col("opens") | (F.col("sum") >= F.col("low")))
+    level = (F.col("sum") - F.col("low") + F.when(F.col("opens"), 0).otherwise(1)).cast("int")
+    # of one level, opening and closing ones take turns
+    pairs = deep.withColumn("level", level).withColumn("e", F.lead("s").over(W.partitionBy(key, "level").orderBy("s")))
+    return pairs.where("opens AND e IS NOT NULL").select(key, "level", F.col("s").cast("bigint").alias("s"), (F.col("e") + 1).cast("bigint").alias("e"))
+
+
+def claimed(ranges: DataFrame, clauses: DataFrame, marked: DataFrame, key: str, before: int = 300) -> DataFrame:
+    """Rows (key, ref): the clauses (key, ref, s, e) that begin inside a range which a marked one (key, ref) opens: in it, or up to ``before`` characters ahead of it."""
+    own = clauses.join(marked.select(key, "ref").distinct(), [key, "ref"], "left_semi").select(key, (F.col("s") - before).alias("s"), (F.col("e") + 1).alias("e"))
+    opened = ranges.select(key, F.col("s").alias("from"), F.col("e").alias("to"), "s", (F.col("s") + 1).alias("e"))
+    held = overlap_join(opened.withColumnsRenamed({"from": "a", "to": "b"}), own, [key]).select(key, "a", "b").distinct()
+    starts = clauses.select(key, "ref", "s", (F.col("s") + 1).alias("e"))
+    return overlap_join(starts, held.select(key, F.col("a").alias("s"), F.col("b").alias("e")), [key]).select(key, "ref").distinct()

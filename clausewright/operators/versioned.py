@@ -74,24 +74,27 @@ class VersionStore:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
 
     def events(self) -> DataFrame:
-        return self._read("events", "event_id string, attempt string, recorded_at timestamp, note string")
+        """The committed events, of several attempts at one the first."""
+        rows = self._read("events", "event_id string, attempt string, recorded_at timestamp, note string")
+        return rows.groupBy("event_id").agg(F.min(F.struct("recorded_at", "attempt", "note")).alias("x")).select("event_id", "x.attempt", "x.recorded_at", "x.note")
 
     def view(self) -> DataFrame:
-        """All versions with effective_to and superseded_at from their closures."""
+        """All versions with effective_to and superseded_at from their closures; of several closures of a version the first holds, since only open versions are closed."""
         done = self.events().select("attempt", "event_id", "recorded_at")
         rows = self._read("versions", f"{self.schema}, effective_from timestamp, attempt string").join(done, "attempt").drop("attempt")
         return rows.join(self._closed(done), "id", "left")
 
     def _closed(self, done: DataFrame) -> DataFrame:
         rows = self._read("closures", "id string, effective_to timestamp, attempt string")
-        return rows.join(done.select("attempt", F.col("recorded_at").alias("superseded_at")), "attempt").drop("attempt")
+        known = rows.join(done.select("attempt", F.col("recorded_at").alias("superseded_at")), "attempt")
+        return known.groupBy("id").agg(F.min(F.struct("superseded_at", "effective_to")).alias("x")).select("id", "x.effective_to", "x.superseded_at")
 
     def simulated(self, event_id: str, recorded_at: Column, rows: DataFrame | None = None, closures: DataFrame | None = None) -> DataFrame:
         """What ``view`` would give after this commit; nothing is written."""
         now = self.view()
         at = recorded_at.cast("timestamp")
         if closures is not None:
-            new = closures.select("id", F.col("effective_to").alias("__to"), at.alias("__at"))
+            new = closures.groupBy("id").agg(F.min("effective_to").alias("__to")).withColumn("__at", at)
             now = now.join(new, "id", "left").withColumns({"effective_to": F.coalesce("effective_to", "__to"), "superseded_at": F.coalesce("superseded_at", "__at")}).drop("__to", "__at")
         if rows is not None:
             now = now.unionByName(rows.withColumns({"event_id": F.lit(event_id), "recorded_at": at}), allowMissingColumns=True)
@@ -100,7 +103,7 @@ class VersionStore:
     def before_and_after(self, event_id: str, key: str) -> DataFrame:
         """Rows (key, before, after): the ids that were believed of each key just before an event was recorded and from it on, where they differ."""
         view = self.view()
-        at = self.events().where(F.col("event_id") == event_id).select(F.col("recorded_at").alias("__at"))  # one row
+        at = self.events().where(F.col("event_id") == event_id).agg(F.min("recorded_at").alias("__at"))  # one row
         both = view.join(F.broadcast(at))
         open_at = lambda started, ended: started & (F.col("superseded_at").isNull() | ended)
         was = open_at(F.col("recorded_at") < F.col("__at"), F.col("superseded_at") >= F.col("__at"))
