@@ -16,7 +16,7 @@ def operating_test(rows: DataFrame, by: list[str], exception: Column, tolerance:
     return with_result(counted, tolerance)
 
 
-def with_result(counted: DataFrame, tolerance: float = 0.05) -> DataFrame:
+def with_result(counted: DataFrame, tolerance: float | Column = 0.05) -> DataFrame:
     share = F.col("exceptions") / F.col("total")
     result = F.when(F.col("total") == 0, "cannot_assess").when(share <= tolerance, "effective").otherwise("ineffective")
     return counted.withColumns({"rate": F.when(F.col("total") > 0, F.round(share, 4)), "result": result})
@@ -46,7 +46,7 @@ def overdue(last: Column, risk: Column, as_of: Column, years: dict[str, int] | N
     return F.coalesce(last < F.date_sub(as_of, n), F.lit(False))
 
 
-def late(begun: Column, done: Column, days: int) -> Column:
+def late(begun: Column, done: Column, days: int | Column) -> Column:
     return F.coalesce(F.datediff(done, begun) > days, F.lit(False))
 
 

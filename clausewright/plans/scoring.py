@@ -1,10 +1,10 @@
-"""Queries on answer keys: every order is a key row, every line a finding, errors of the customer are flags."""
+"""Queries on answer keys: every order is a key row, every line a finding, errors of the customer are flags. And on evidence batches by a manifest."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate
+from ..operators import evaluate, monitor
 from ..session import table
 
 QUERIES, SQL = {}, {}
@@ -75,3 +75,16 @@ def evidence_key_scored(spark, sf):
     dear = F.avg(F.when(F.col("l_discount") > 0.05, 1.0).otherwise(0.0))
     results = table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 40).alias("ref")).agg(F.when(dear <= 0.45, "effective").otherwise("ineffective").alias("result"))
     return evaluate.evidence_scored(keys, results, results.where("result = 'ineffective'"))
+
+
+@query("""WITH m(file, control, rule, tolerance, deadline) AS (VALUES ('AF', 'c1', 'late', 0.3, 60), ('NO', 'c2', 'late', 0.6, 60), ('RF', 'c3', 'overdue', 0.05, 0), ('AO', 'c4', 'late', 0.5, 10), ('zz', 'c5', 'late', 0.5, 10)),
+l AS (SELECT l_returnflag || l_linestatus AS file, o_orderdate::DATE AS begun, l_shipdate::DATE AS done, o_orderdate::DATE AS last, CASE WHEN l_quantity > 25 THEN 'high' ELSE 'low' END AS risk FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+x AS (SELECT m.file, count(*) FILTER (WHERE CASE rule WHEN 'late' THEN done - begun > deadline ELSE last < DATE '2000-01-01' - CASE risk WHEN 'high' THEN 730 ELSE 3650 END END) AS exceptions, count(*) AS total, min(least(begun, done)) AS period_start, max(greatest(begun, done)) AS period_end FROM m JOIN l ON m.file = l.file GROUP BY 1)
+SELECT control, m.file, coalesce(exceptions, 0) AS exceptions, coalesce(total, 0) AS total, round(exceptions / total, 4) AS rate, CASE WHEN total IS NULL THEN 'cannot_assess' WHEN exceptions / total <= tolerance THEN 'effective' ELSE 'ineffective' END AS result, period_start, period_end FROM m LEFT JOIN x ON x.file = m.file""")
+def manifest_tests(spark, sf):
+    """Orders and their lines as logs, a file for each flag and status, tested by what a manifest asks of each."""
+    entries = [("AF", "c1", "late", 0.3, "2000-01-01", 60), ("NO", "c2", "late", 0.6, "2000-01-01", 60), ("RF", "c3", "overdue", 0.05, "2000-01-01", 0), ("AO", "c4", "late", 0.5, "2000-01-01", 10), ("zz", "c5", "late", 0.5, "2000-01-01", 10)]
+    manifest = spark.createDataFrame(entries, "file string, control string, rule string, tolerance double, as_of string, deadline int")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("begun"))
+    logs = table(spark, sf, "lineitem").join(o, "l_orderkey").select(F.concat("l_returnflag", "l_linestatus").alias("file"), F.when(F.col("l_quantity") > 25, "high").otherwise("low").alias("risk"), F.col("begun").alias("last"), "begun", F.col("l_shipdate").cast("date").alias("done"))
+    return monitor.tested(logs, manifest).drop("tolerance")
