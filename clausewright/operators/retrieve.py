@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import body, content_words, cosine, sentences, word_pairs
+from ..functions.text import body, content_words, cosine, once, sentences, word_pairs
 from ..session import small
 
 
@@ -67,15 +67,24 @@ def wording_matches(queries: DataFrame, documents: DataFrame, query_id: str, que
     """The ``k`` windows of ``documents`` that share most word pairs with each query: rows (query_id, key, ordinal, shared, share, rank).
 
     Pairs are joined by equality; a query of fewer than ``least`` pairs matches nothing. Ties go to the
-    earlier window. Where the queries have few pairs, counted first, these go to the documents, so that no pair
-    is shuffled; each sentence is cut into words once.
+    earlier window. A sentence's pairs, and the one where it meets the next, are held against the queries' once;
+    only those found are dealt to the windows that hold them. Where the queries have few pairs, counted first,
+    these go to the documents, so that no other pair is shuffled.
     """
     wanted = queries.select(query_id, word_pairs(content_words(body(F.col(query_text)), stop)).alias("pairs")).where(F.size("pairs") >= least)
     q = wanted.select(query_id, F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
-    each = with_neighbours(F.transform(sentences(F.col(text)), lambda s: content_words(s, stop)), lambda a, b: F.concat(a, b))
-    w = documents.select(key, F.posexplode(F.transform(each, word_pairs)).alias("ordinal", "pairs")).select(key, "ordinal", F.explode("pairs").alias("pair"))
+    cut = F.transform(sentences(F.col(text)), lambda s: content_words(s, stop))
+    # each sentence with the first word of the next
+    beside = once(cut, lambda all_: F.transform(all_, lambda w, i: F.struct(w.alias("w"), F.get(F.get(all_, i + 1), 0).alias("next"), F.size(all_).alias("of"))))
+    each = documents.select(key, F.posexplode(beside).alias("i", "x")).select(key, "i", "x.*")
+    last = F.get("w", F.size("w") - 1)
+    seam = F.when(last.isNotNull() & F.col("next").isNotNull(), F.array(F.struct(F.concat_ws(" ", last, "next").alias("pair"), F.lit(True).alias("seam")))).otherwise(F.array().cast("array<struct<pair:string,seam:boolean>>"))
+    pairs = each.select(key, "i", "of", F.explode(F.concat(F.transform(word_pairs(F.col("w")), lambda p: F.struct(p.alias("pair"), F.lit(False).alias("seam"))), seam)).alias("p")).select(key, "i", "of", "p.*")
     few = small(q)
-    shared = (w.join(few, "pair") if few is not None else q.join(w, "pair")).groupBy(query_id, "n", key, "ordinal").agg(F.count("*").alias("shared"))
+    hits = pairs.join(few, "pair") if few is not None else q.join(pairs, "pair")
+    # a sentence alone, with the one before it and with the one behind it
+    both = F.array_compact(F.array(F.when(~F.col("seam"), F.col("i")), F.when(~F.col("seam") & (F.col("i") > 0), F.col("of") + F.col("i") - 1), F.when(F.col("i") < F.col("of") - 1, F.col("of") + F.col("i"))))
+    shared = hits.select(query_id, "n", key, "pair", F.explode(both).alias("ordinal")).distinct().groupBy(query_id, "n", key, "ordinal").agg(F.count("*").alias("shared"))
     rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("shared"), key, "ordinal"))
     return shared.withColumn("rank", rank).where(F.col("rank") <= k).select(query_id, key, "ordinal", "shared", (F.col("shared") / F.col("n")).alias("share"), "rank")
 

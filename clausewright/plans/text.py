@@ -345,17 +345,25 @@ def quantity_conflicts(spark, sf):
     return found.withColumn("values", F.array_join("values", ","))
 
 
-EDITS = [
-    ("modified", "Banks keep records.", "Banks may keep records.", "advisory", "may", "", "advise"), ("modified", "Banks keep records.", "Banks shall keep records.", "new_duty", "shall", "", "re_extract"), ("modified", "Banks shall report within ten days.", "Banks shall report within seven days.", "threshold", "seven", "ten", "re_extract"),
-    ("modified", "Banks shall keep records.", "Banks keep records.", "relaxed", "", "shall", "re_extract"), ("repealed", "Banks shall keep records.", None, "repealed", "", "Banks shall keep records.", "retire"), ("new", None, "Banks must file reports.", "new_duty", "Banks must file reports.", "", "re_extract"), ("modified", "Forms are blue.", "Forms are green.", "wording", "green", "blue", "re_extract"),
-]
+# amounts and periods of orders: the status changes the verb, the day of the order the period
 
+CLASSIFIED_SQL = """WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, day(o_orderdate) AS a, CASE WHEN month(o_orderdate) % 3 = 0 THEN day(o_orderdate) + 1 ELSE day(o_orderdate) END AS b FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'repealed' WHEN o_orderpriority = '5-LOW' THEN CASE o_orderstatus WHEN 'O' THEN 'advisory' ELSE 'new_duty' END WHEN o_orderstatus = 'O' THEN 'advisory' WHEN a <> b THEN 'threshold' ELSE 'new_duty' END AS effect,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'retire' WHEN o_orderstatus = 'O' THEN 'advise' ELSE 're_extract' END AS step FROM o"""
 
-@query("WITH e(k, effect, added, removed, step) AS (VALUES " + ", ".join(f"({k}, '{x[3]}', '{x[4]}', '{x[5]}', '{x[6]}')" for k, x in enumerate(EDITS)) + ") SELECT o_orderkey, effect, added, removed, step FROM orders JOIN e ON o_orderkey % 7 = k")
+
+@query(CLASSIFIED_SQL)
 def effect_classify(spark, sf):
-    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]).cast("string") for x in EDITS]), (F.col("o_orderkey") % 7 + 1).cast("int"))
-    changes = table(spark, sf, "orders").select("o_orderkey", pick(0).alias("change"), pick(1).alias("old_text"), pick(2).alias("new_text"))
-    return C.plan(C.classify(changes)).select("o_orderkey", "effect", "added", "removed", "step")
+    """A clause for each order, before and after: urgent ones are repealed, low ones are new, of others the verb or the period changes."""
+    o = table(spark, sf, "orders")
+    a = F.dayofmonth("o_orderdate")
+    b = F.when(F.month("o_orderdate") % 3 == 0, a + 1).otherwise(a)
+    new_verb = F.when(F.col("o_orderstatus") == "F", "must").when(F.col("o_orderstatus") == "O", "may").otherwise("shall")
+    clause = lambda verb, days: F.concat(F.lit("The clerk "), verb, F.lit(" settle the order of the customer within "), days.cast("string"), F.lit(" days."))
+    urgent, low = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority") == "5-LOW"
+    change = F.when(urgent, "repealed").when(low, "new").otherwise("modified")
+    changes = o.select("o_orderkey", change.alias("change"), F.when(~low, clause(F.lit("can"), a)).alias("old_text"), F.when(~urgent, clause(new_verb, b)).alias("new_text"))
+    return C.plan(C.classify(changes)).select("o_orderkey", "effect", "step")
 
 
 @query(f"""WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter({CONTENT_SQL.format('text')}, lambda w: w <> '#'))) AS word FROM documents), b AS (SELECT item_id, unnest(list_distinct(list_filter({CONTENT_SQL.format('text')}, lambda w: w <> '#'))) AS word FROM benchmark),
