@@ -5,10 +5,11 @@ would need hundreds of rows a document. Candidates are found by MinHash instead:
 least values each. Two sets at similarity s share a band with probability s ** ROWS, at 0.8 all but 3 in a
 million pairs share one.
 
-Links are needed for components only, so a bucket's sets are held against one of them first. What that leaves
-in different components is held against each other: all pairs of a small bucket, and of the sets in larger
-ones all that can be similar by an exact join on rare shingles (``prefix_pairs``), however many share a
-bucket. Pairs that their signatures rule out are dropped, all others are verified on the whole sets, which
+Links are needed for components only, so a bucket's sets are held against one of them first, and in large
+buckets in some rounds against a few others drawn by hash, of other components as found so far: a large group
+of copies grows together from as many pairs as it has sets. What that leaves in different components is held
+against each other: all pairs of a small bucket, and of the sets in larger ones all that can be similar by an
+exact join on rare shingles (``prefix_pairs``), however many share a bucket. Pairs that their signatures rule out are dropped, all others are verified on the whole sets, which
 are worked out again for the documents concerned alone. The links of ``simhash`` are added.
 """
 
@@ -32,6 +33,10 @@ DENSE = 32
 #: Least number of equal bytes of two signatures. At similarity 0.8 each of the 160 is equal with probability 0.8 or
 #: more, so that fewer come in one of 10 ** 9 pairs (binomial tail).
 LEAST_EQUAL = 96
+#: Rounds in which the sets of large buckets are held against others drawn by hash, and in how many of its buckets a set is drawn for.
+ROUNDS, DRAWN = 3, 4
+#: Sets of a large bucket among which partners are drawn.
+GROUP = 1000
 #: Sizes are dealt into classes, each 2 % wider than the one before.
 STEP = 1.02
 _RNG = np.random.default_rng(42)
@@ -153,6 +158,24 @@ def crowd_stars(shared: DataFrame) -> DataFrame:
     return shared.where(F.col("node") != F.col("least")).groupBy(F.col("node").alias("b")).agg(F.min("least").alias("a")).select("a", "b")
 
 
+def drawn_pairs(crowd: DataFrame, component: DataFrame, turn: int) -> DataFrame:
+    """Rows (a, b): each set of a large bucket with one of another component among those just before it, in an order by hash, in ``DRAWN`` of its buckets.
+
+    ``crowd``: key, node, n. The buckets are those of the least hashes, so that sets which share many draw in the same ones;
+    a bucket is dealt into groups of about ``GROUP`` sets, so that none meets whole in one task.
+    """
+    held = crowd.join(component.hint("merge"), "node")
+    mixed = _across(held, ["key"])
+    seeded = lambda *c: F.xxhash64(F.lit(turn), *c)
+    mine = mixed.groupBy("node", "component").agg(F.slice(F.array_sort(F.collect_list(F.struct(seeded("key").alias("h"), "key", "n"))), 1, DRAWN).alias("some"))
+    rows = mine.select("node", "component", F.explode("some").alias("x")).select("node", "component", "x.key", F.pmod(seeded("node"), F.ceil(F.col("x.n") / GROUP)).alias("part"))
+    order = W.partitionBy("key", "part").orderBy(seeded("node", "key"), "node")
+    earlier = F.array(*[F.lag(F.struct("node", "component"), i).over(order) for i in range(1, 7)])
+    other = F.get(F.filter("earlier", lambda x: x.isNotNull() & (x["component"] != F.col("component"))), 0)
+    pairs = rows.withColumn("earlier", earlier).select("node", other.alias("x")).where("x IS NOT NULL")
+    return pairs.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
+
+
 def _across(named: DataFrame, by: list[str]) -> DataFrame:
     """The rows (by..., node, component) of groups that more than one component has."""
     mixed = named.groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(*by)
@@ -181,12 +204,14 @@ def prefix_pairs(own: DataFrame, component: DataFrame) -> DataFrame:
     as_large = wide.withColumn("other", F.explode(F.sequence(F.col("own") - 12, F.col("own") + 1))).where(9 * F.col("left") >= 4 * (F.col("size") + low(F.col("other") - 1)) - 1)
     as_small = wide.withColumn("other", F.explode(F.sequence(F.col("own") - 1, F.col("own") + 12))).where(9 * F.col("left") >= 4 * (F.col("size") + low(F.col("other") - 1)) - 1)
     # key: shingle, class of the larger, class of the smaller
-    rows = as_large.select("h", F.col("own").alias("p"), F.col("other").alias("q"), "node", F.lit(1).alias("large")).unionByName(as_small.select("h", F.col("other").alias("p"), F.col("own").alias("q"), "node", F.lit(0).alias("large")))
+    rows = as_large.select("h", F.col("own").alias("p"), F.col("other").alias("q"), "node", "size", "left", F.lit(1).alias("large")).unionByName(as_small.select("h", F.col("other").alias("p"), F.col("own").alias("q"), "node", "size", "left", F.lit(0).alias("large")))
     named = _across(rows.join(component.hint("merge"), "node"), ["h", "p", "q"])
     kept = written(named, "near-mixed-prefixes")
-    a = kept.where("large = 1").select("h", "p", "q", F.col("node").alias("u"), F.col("component").alias("cu"))
-    b = kept.where("large = 0").select("h", "p", "q", F.col("node").alias("v"), F.col("component").alias("cv"))
-    pairs = a.hint("merge").join(b, ["h", "p", "q"]).where("cu <> cv")
+    a = kept.where("large = 1").select("h", "p", "q", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("size").alias("m"), F.col("left").alias("x"))
+    b = kept.where("large = 0").select("h", "p", "q", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("size").alias("n"), F.col("left").alias("y"))
+    # both know of each other now; of one class each pair meets twice
+    fits = (9 * F.least("x", "y") >= 4 * (F.col("m") + F.col("n"))) & _sizes_fit(F.col("m"), F.col("n")) & ((F.col("p") != F.col("q")) | (F.col("u") < F.col("v")))
+    pairs = a.hint("merge").join(b, ["h", "p", "q"]).where((F.col("cu") != F.col("cv")) & fits)
     return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
@@ -208,15 +233,29 @@ def links(docs: DataFrame, table: DataFrame, dense: int = DENSE, width: int = 5,
     star = held(few.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(likely(crowd_stars(crowd), nodes)).distinct(), "star")
     named = crowd.select("node").union(few.select("a")).union(few.select("b")).union(star.select("a")).union(star.select("b")).distinct()
     own = held(sets(docs, nodes.select("node", "text_hash", "doc_id").join(named.hint("merge"), "node", "left_semi"), width, text, doc_id), "sets")
-    first = held(verified(star, own), "first")
-    found = components(first)
-    kept.append(found)
-    component = held(named.join(found.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "first-components")
+    first, tried = held(verified(star, own), "first"), star
+
+    def joined(found: DataFrame) -> DataFrame:
+        """Components of the sets in question by the links found so far."""
+        by_link = components(found)
+        kept.append(by_link)
+        return held(named.join(by_link.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "joined")
+
+    component = joined(first)
+    for turn in range(ROUNDS):
+        drawn = held(likely(drawn_pairs(crowd.select("key", "node", "n"), component, turn).join(tried.hint("merge"), ["a", "b"], "left_anti"), nodes), "drawn")
+        if drawn.isEmpty():
+            break
+        more = held(verified(drawn, own), "more")
+        tried = tried.union(drawn)
+        if not more.isEmpty():
+            first = first.union(more)
+            component = joined(first)
     side = lambda k: component.select(F.col("node").alias(k), F.col("component").alias("c" + k)).hint("merge")
     apart = few.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select("a", "b")
     mixed = _across(crowd.select("key", "node").join(component.hint("merge"), "node"), ["key"]).select("node").distinct()
     rare = likely(prefix_pairs(own.join(mixed.hint("merge"), "node", "left_semi"), component), nodes)
-    asked = held(apart.union(rare).distinct().join(star.hint("merge"), ["a", "b"], "left_anti"), "asked")
+    asked = held(apart.union(rare).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "asked")
     out = written(first.union(verified(asked, own)), "near-links")
     for table_ in kept:
         forget(table_)
