@@ -44,13 +44,16 @@ def tokens(raw: bytes) -> tuple[np.ndarray, pa.Array]:
     """Codes of the words of a text, -1 between its pieces, and the distinct words."""
     text = _TABLE[np.frombuffer(raw, np.uint8)]
     inside = (text != 32) & (text != 10)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
-    flat = pa.py_buffer(text[inside].tobytes())
-    offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64).tobytes())
-    coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, offsets, flat]).dictionary_encode()
     breaks = np.cumsum(text == 10, dtype=np.int32)
     apart = np.flatnonzero(breaks[ends[:-1] - 1] != breaks[starts[1:]]) + 1
+    del breaks
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    flat = text[inside]
+    del text, inside, edges, starts, ends
+    coded = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
     return np.insert(np.asarray(coded.indices).astype(np.int32), apart, -1), coded.dictionary
 
 

@@ -24,8 +24,9 @@ def permuted(keys: np.ndarray, width: int) -> np.ndarray:
     """An invertible mix of numbers of ``width`` bits: multiplication by an odd number and a shift onto itself, twice."""
     mask, shift = np.uint64((1 << width) - 1), np.uint64((width + 1) // 2)
     x = keys.astype(np.uint64)
-    for _ in range(2):
-        x = (x * np.uint64(_ODD)) & mask
+    for _ in range(2):  # in place: there are millions of keys
+        x *= np.uint64(_ODD)
+        x &= mask
         x ^= x >> shift
     return x
 
@@ -96,7 +97,10 @@ class Filter:
     @classmethod
     def counting(cls, keys: np.ndarray, width: int) -> Filter:
         """Counts of ``keys`` of ``width`` bits."""
-        return cls.of(*summed(permuted(keys, width), np.ones(len(keys), np.uint64)), width)
+        mixed = permuted(keys, width)
+        mixed.sort()
+        first = np.flatnonzero(np.append(True, mixed[1:] != mixed[:-1])) if len(mixed) else np.zeros(0, np.int64)
+        return cls.of(mixed[first], np.diff(np.append(first, len(mixed))), width)
 
     def _bits(self, packed: np.ndarray, n: int) -> np.ndarray:
         return np.unpackbits(packed, count=n, bitorder="little").view(bool)
