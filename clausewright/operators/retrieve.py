@@ -113,3 +113,24 @@ def reranked(ranked: DataFrame, group: list[str], score: Column, order: list[str
     """The ``keep`` rows of each group with the highest score; a null score, of a scorer that failed, counts as 0, and equal ones keep their order."""
     rank = F.row_number().over(W.partitionBy(*group).orderBy(F.desc(F.coalesce(score, F.lit(0.0))), *order))
     return ranked.withColumn("new_rank", rank).where(F.col("new_rank") <= keep)
+
+
+def coverage_candidates(lexical: DataFrame, semantic: DataFrame, edited: DataFrame, k: int = 5) -> DataFrame:
+    """Rows (q_id, i_id, lexical_rank, semantic_rank, edited): what may still state a query's matter somewhere else.
+
+    ``lexical`` and ``semantic``: q_id, i_id, rank. Of the semantic list the first ``k`` that aren't ``edited``
+    (q_id, i_id) for the query count, ranked anew; wording hits all stay, with a mark where they are edited.
+    """
+    marks = edited.select("q_id", "i_id").distinct().withColumn("edited", F.lit(True))
+    fresh = semantic.select("q_id", "i_id", "rank").join(marks, ["q_id", "i_id"], "left_anti")
+    again = F.row_number().over(W.partitionBy("q_id").orderBy("rank", "i_id"))
+    near = fresh.withColumn("semantic_rank", again).where(F.col("semantic_rank") <= k).select("q_id", "i_id", "semantic_rank")
+    words = lexical.select("q_id", "i_id", F.col("rank").alias("lexical_rank"))
+    both = words.join(near, ["q_id", "i_id"], "full_outer").join(marks, ["q_id", "i_id"], "left")
+    return both.withColumn("edited", F.coalesce("edited", F.lit(False))).select("q_id", "i_id", "lexical_rank", "semantic_rank", "edited")
+
+
+def unsupported(queries: DataFrame, candidates: DataFrame, least: int = 1) -> DataFrame:
+    """The queries (q_id) for which fewer than ``least`` unedited candidates were found: nothing else covers them."""
+    left = candidates.where(~F.col("edited")).groupBy("q_id").agg(F.countDistinct("i_id").alias("n"))
+    return queries.select("q_id").distinct().join(left, "q_id", "left").na.fill(0, ["n"]).where(F.col("n") < least)

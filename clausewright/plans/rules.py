@@ -380,3 +380,23 @@ def gap_emission(spark, sf):
 @query(GATE_SQL + " SELECT obligation, control, verdict, confidence, CASE WHEN citation_ok AND confidence >= 0.7 THEN 'auto' ELSE 'escalated' END AS status FROM g")
 def judged_mappings(spark, sf):
     return judge.mappings(gate(spark, sf))
+
+
+@query(KNN_SQL.replace("q.vec_id % 50 = 0", "q.vec_id IN (SELECT item_id FROM benchmark)") + """, w AS (SELECT DISTINCT item_id AS q_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), d AS (SELECT DISTINCT doc_id AS i_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),
+l AS (SELECT q_id, i_id, row_number() OVER (PARTITION BY q_id ORDER BY count(*) DESC, i_id) AS rank FROM w JOIN d USING (word) GROUP BY 1, 2), x AS (SELECT q_id, i_id, rank AS lexical_rank FROM l WHERE rank <= 3),
+e AS (SELECT DISTINCT q_id, doc_id AS i_id FROM documents, (SELECT DISTINCT item_id AS q_id FROM benchmark) WHERE contains(text, '***')),
+y AS (SELECT r.q_id, r.i_id, row_number() OVER (PARTITION BY r.q_id ORDER BY rank, r.i_id) AS semantic_rank FROM r ANTI JOIN e ON e.q_id = r.q_id AND e.i_id = r.i_id WHERE rank <= 50),
+z AS (SELECT coalesce(x.q_id, y.q_id) AS q_id, coalesce(x.i_id, y.i_id) AS i_id, lexical_rank, semantic_rank FROM x FULL JOIN (SELECT * FROM y WHERE semantic_rank <= 5) y ON x.q_id = y.q_id AND x.i_id = y.i_id)
+SELECT z.q_id, z.i_id, lexical_rank, semantic_rank, e.q_id IS NOT NULL AS edited FROM z LEFT JOIN e ON e.q_id = z.q_id AND e.i_id = z.i_id""")
+def coverage_candidates(spark, sf):
+    """For each benchmark text, documents near it by words or by vectors; documents with a row of three stars count as edited."""
+    items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    ids = items.select(F.col("item_id").alias("id"))
+    semantic = retrieve.nearest(vectors.join(ids, "id", "left_semi"), vectors, 50)
+    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))).alias("word")
+    met = items.select(F.col("item_id").alias("q_id"), words("text")).join(docs.select(F.col("doc_id").alias("i_id"), words("text")), "word").groupBy("q_id", "i_id").agg(F.count("*").alias("n"))
+    lexical = met.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("n"), "i_id"))).where("rank <= 3")
+    found = lexical.select("q_id", "i_id").union(semantic.select("q_id", "i_id")).distinct()
+    edited = found.join(docs.where(F.col("text").contains("***")).select(F.col("doc_id").alias("i_id")), "i_id", "left_semi")
+    return retrieve.coverage_candidates(lexical, semantic, edited)

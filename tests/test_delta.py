@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clausewright.functions import text as T
 from clausewright.functions import variants as V
-from clausewright.operators import change, mutate, records, rework, sequence, spans, undo, versioned
+from clausewright.operators import change, mutate, records, retrieve, rework, sequence, spans, undo, versioned
 
 
 def one(spark, *columns):
@@ -235,3 +235,14 @@ def test_stages_are_undone(spark):
     assert sorted(map(repr, undo.restored(after, "other", ["kind", "price"]).collect())) == sorted(map(repr, after.collect()))
     back = {r.id: r for r in undo.restored(after, "s", ["kind", "price"], keep="kept").collect()}
     assert {i: (r.kind, r.price, r.evidence is None) for i, r in back.items()} == {1: ("a", 1.5, True), 2: (None, 2.5, True), 3: ("old", 3.5, False)}
+
+
+def test_coverage_elsewhere(spark):
+    rows = lambda *r: spark.createDataFrame(r, "q_id int, i_id int, rank int")
+    semantic = rows((1, 10, 1), (1, 11, 2), (1, 12, 3), (1, 13, 4), (2, 10, 1))
+    lexical = rows((1, 11, 1), (1, 14, 2))
+    edited = spark.createDataFrame([(1, 10), (1, 14), (2, 10)], "q_id int, i_id int")
+    found = retrieve.coverage_candidates(lexical, semantic, edited, 2)
+    assert sorted(map(tuple, found.collect())) == [(1, 11, 1, 1, False), (1, 12, None, 2, False), (1, 14, 2, None, True)]
+    left = retrieve.unsupported(spark.createDataFrame([(1,), (2,), (2,)], "q_id int"), found)
+    assert [(r.q_id, r.n) for r in left.collect()] == [(2, 0)]
