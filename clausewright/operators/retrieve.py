@@ -75,15 +75,17 @@ def wording_matches(queries: DataFrame, documents: DataFrame, query_id: str, que
     q = wanted.select(query_id, F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
     cut = F.transform(sentences(F.col(text)), lambda s: content_words(s, stop))
     # each sentence with the first word of the next
-    beside = once(cut, lambda all_: F.transform(all_, lambda w, i: F.struct(w.alias("w"), F.get(F.get(all_, i + 1), 0).alias("next"), F.size(all_).alias("of"))))
-    each = documents.select(key, F.posexplode(beside).alias("i", "x")).select(key, "i", "x.*")
-    last = F.get("w", F.size("w") - 1)
-    seam = F.when(last.isNotNull() & F.col("next").isNotNull(), F.array(F.struct(F.concat_ws(" ", last, "next").alias("pair"), F.lit(True).alias("seam")))).otherwise(F.array().cast("array<struct<pair:string,seam:boolean>>"))
-    pairs = each.select(key, "i", "of", F.explode(F.concat(F.transform(word_pairs(F.col("w")), lambda p: F.struct(p.alias("pair"), F.lit(False).alias("seam"))), seam)).alias("p")).select(key, "i", "of", "p.*")
+    beside = once(cut, lambda all_: F.transform(all_, lambda w, i: F.struct(w.alias("__w"), F.get(F.get(all_, i + 1), 0).alias("__next"), F.size(all_).alias("__of"))))
+    each = documents.select(key, F.posexplode(beside).alias("__i", "__x")).select(key, "__i", "__x.*")
+    last = F.get("__w", F.size("__w") - 1)
+    seam = F.when(last.isNotNull() & F.col("__next").isNotNull(), F.array(F.struct(F.concat_ws(" ", last, "__next").alias("pair"), F.lit(True).alias("__seam")))).otherwise(F.array().cast("array<struct<pair:string,__seam:boolean>>"))
+    own = F.transform(word_pairs(F.col("__w")), lambda p: F.struct(p.alias("pair"), F.lit(False).alias("__seam")))
+    pairs = each.select(key, "__i", "__of", F.explode(F.concat(own, seam)).alias("__p")).select(key, "__i", "__of", "__p.*")
     few = small(q)
     hits = pairs.join(few, "pair") if few is not None else q.join(pairs, "pair")
     # a sentence alone, with the one before it and with the one behind it
-    both = F.array_compact(F.array(F.when(~F.col("seam"), F.col("i")), F.when(~F.col("seam") & (F.col("i") > 0), F.col("of") + F.col("i") - 1), F.when(F.col("i") < F.col("of") - 1, F.col("of") + F.col("i"))))
+    i, of = F.col("__i"), F.col("__of")
+    both = F.array_compact(F.array(F.when(~F.col("__seam"), i), F.when(~F.col("__seam") & (i > 0), of + i - 1), F.when(i < of - 1, of + i)))
     shared = hits.select(query_id, "n", key, "pair", F.explode(both).alias("ordinal")).distinct().groupBy(query_id, "n", key, "ordinal").agg(F.count("*").alias("shared"))
     rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("shared"), key, "ordinal"))
     return shared.withColumn("rank", rank).where(F.col("rank") <= k).select(query_id, key, "ordinal", "shared", (F.col("shared") / F.col("n")).alias("share"), "rank")
