@@ -6,11 +6,12 @@ import duckdb
 import numpy as np
 import pytest
 
-from clausewright.plans import evidence, records, rules, text
+from clausewright.plans import books, delta, evidence, records, rules, scoring, text
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = {**evidence.QUERIES, **records.QUERIES, **rules.QUERIES, **text.QUERIES}
-SQL = {**evidence.SQL, **records.SQL, **rules.SQL, **text.SQL}
+PLANS = (books, delta, evidence, records, rules, scoring, text)
+QUERIES = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
+SQL = {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 
