@@ -34,7 +34,7 @@ DENSE = 32
 #: more, so that fewer come in one of 10 ** 9 pairs (binomial tail).
 LEAST_EQUAL = 96
 #: Rounds in which the sets of large buckets are held against others drawn by hash, and in how many of its buckets a set is drawn for.
-ROUNDS, DRAWN = 3, 4
+ROUNDS, DRAWN = 2, 4
 #: Sets of a large bucket among which partners are drawn.
 GROUP = 1000
 #: Sizes are dealt into classes, each 2 % wider than the one before.
