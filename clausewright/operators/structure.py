@@ -7,11 +7,14 @@ tree is relational.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from itertools import islice, repeat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import canonical
 from ..session import settled
@@ -48,25 +51,53 @@ def mark_kind(label: str, path: list[tuple[str, str]]) -> str:
     return "roman" if follows or len(label) > 1 or label == "i" or not letter else "alpha"
 
 
-def tree_of(blocks: pd.DataFrame) -> list[dict]:
-    """Clauses that one document's blocks open, in order; ``blocks``: text (canonical), is_heading, s, amended_by."""
+def trees_of(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """Clauses that blocks open; ``rows``: (doc, text in canonical form, is_heading, amended_by), a document's together and in order.
+
+    A clause ends before the next one of its depth or less, or the next heading, and is given out then: only
+    what is open and the references of one document are held. Runs of 80 characters or more outside all
+    clauses of depth one come as U1, U2 and so on.
+    """
+    first, doc = True, None
     path: list[dict] = []
+    open_: list[dict] = []  # depths grow
     used: dict[str, int] = {}
-    out, waiting, chapter, section = [], [], None, None
+    waiting: list[str] = []
+    chapter = section = run = None
+    at = runs = 0
 
     def named(ref: str) -> str:
         used[ref] = used.get(ref, 0) + 1
         return ref if used[ref] == 1 else f"{ref}~{used[ref]}"
 
-    for b in blocks.itertuples():
-        marks = list(b.amended_by) if b.amended_by is not None else []
-        if b.is_heading:
+    def closed(depth: int, end: int) -> Iterator[tuple]:
+        while open_ and open_[-1]["depth"] >= depth:
+            n = open_.pop()
+            yield doc, n["ref"], n["label"], n["kind"], n["depth"], n["parent_ref"], n["chapter"], n["section"], n["s"], end, n["amended_by"]
+
+    def run_ended() -> Iterator[tuple]:
+        nonlocal run, runs
+        if run and run[2] >= LEAST_RUN:
+            runs += 1
+            yield doc, f"U{runs}", f"U{runs}", "unnumbered", 1, None, None, None, run[0], run[1], None
+        run = None
+
+    for key, text, is_heading, amended_by in rows:
+        if first or key != doc:
+            yield from closed(0, at - 1)
+            yield from run_ended()
+            first, doc, path, used, waiting, chapter, section, at, runs = False, key, [], {}, [], None, None, 0, 0
+        s, at = at, at + len(text) + 1
+        marks = list(amended_by or [])
+        if is_heading:
+            yield from closed(0, s - 1)
+            yield from run_ended()
             waiting += marks
             path = []
-            chapter, section = (b.text, None) if b.text.lower().startswith("chapter") else (chapter, b.text)
+            chapter, section = (text, None) if text.lower().startswith("chapter") else (chapter, text)
             continue
-        number = DECIMAL.match(b.text) or PARAGRAPH.match(b.text)
-        bracket = None if number else BRACKET.match(b.text)
+        number = DECIMAL.match(text) or PARAGRAPH.match(text)
+        bracket = None if number or not path else BRACKET.match(text)
         node = None
         if number:
             label = number.group(1)
@@ -74,27 +105,38 @@ def tree_of(blocks: pd.DataFrame) -> list[dict]:
             node = {"ref": "", "label": label, "kind": "dec" if "." in label else "para", "depth": label.count(".") + 1, "parent_ref": next((p for p in prefixes if p in used), None)}
             node["ref"] = named(label)
             path = []
-        elif bracket and path:
+        elif bracket:
             label = next(g for g in bracket.groups() if g)
             kind = mark_kind(label, [(n["kind"], n["label"]) for n in path])
             open_at = next((i for i, n in enumerate(path) if i and n["kind"] == kind), len(path))
             path = path[:open_at]
             node = {"ref": named(f"{path[-1]['ref']}({label})"), "label": label, "kind": kind, "depth": path[0]["depth"] + len(path), "parent_ref": path[-1]["ref"]}
         if node:
-            node |= {"chapter": chapter, "section": section, "s": b.s, "amended_by": waiting}
+            yield from closed(node["depth"], s - 1)
+            node |= {"chapter": chapter, "section": section, "s": s, "amended_by": waiting}
             waiting = []
             path = [*path, node]
-            out.append(node)
+            open_.append(node)
         if path:
             path[-1]["amended_by"] = path[-1]["amended_by"] + marks
         else:
             waiting += marks
-    return out
+        if open_ and open_[0]["depth"] == 1:
+            yield from run_ended()
+        else:
+            run = (run[0], at - 1, run[2] + len(text)) if run else (s, at - 1, len(text))
+    yield from closed(0, at - 1)
+    yield from run_ended()
+
+
+def clean_blocks(blocks: DataFrame) -> DataFrame:
+    """``blocks`` in canonical form; empty ones go."""
+    return blocks.withColumn("text", canonical(F.coalesce("text", F.lit("")))).where("text <> ''")
 
 
 def placed_blocks(blocks: DataFrame) -> DataFrame:
     """``blocks`` (doc, pos, text, is_heading, amended_by) in canonical form with their span (s, e) in the document's text; empty ones go."""
-    clean = blocks.withColumn("text", canonical(F.coalesce("text", F.lit("")))).where("text <> ''")
+    clean = clean_blocks(blocks)
     order = W.partitionBy("doc").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("text") + 1).over(order), F.lit(0))
     return clean.withColumn("s", start.cast("bigint")).withColumn("e", F.col("s") + F.length("text"))
@@ -104,44 +146,21 @@ def clause_tree(blocks: DataFrame) -> DataFrame:
     """Clauses of each document: doc, ref, label, kind, depth, parent_ref, chapter, section, s, e, amended_by.
 
     A clause ends before the next one of its depth or less, or the next heading. Text outside all clauses, 80
-    characters or more of it in a row, becomes clauses U1, U2 and so on.
+    characters or more of it in a row, becomes clauses U1, U2 and so on. Documents are dealt to tasks, and each
+    task reads its blocks in order once.
     """
-    placed = placed_blocks(blocks)
-    kind = dict(placed.dtypes)["doc"]
-
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
-        rows = tree_of(part)
-        # from the end: what is open at a place ends where the next clause of its depth or less begins, or the next heading
-        ahead: list[tuple[int, int]] = []
-        marks = sorted([(int(r["s"]), int(r["depth"]), r) for r in rows] + [(int(s), 0, None) for s in part.loc[part["is_heading"], "s"]], key=lambda x: x[0])
-        for s, depth, r in reversed(marks):
-            while ahead and ahead[-1][1] > depth:
-                ahead.pop()
-            if r is not None:
-                r["e"] = ahead[-1][0] - 1 if ahead else int(part["e"].max())
-            ahead.append((s, depth))
-        names = ["ref", "label", "kind", "depth", "parent_ref", "chapter", "section", "s", "e", "amended_by"]
-        frame = pd.DataFrame([[r[k] for k in names] for r in rows], columns=names)
-        frame.insert(0, "doc", part["doc"].iloc[0])
-        return frame
-
-    # settled, since spans, runs and limits below all start from it
-    opened = settled(placed.groupBy("doc").applyInPandas(build, f"doc {kind}, ref string, label string, kind string, depth int, parent_ref string, chapter string, section string, s bigint, e bigint, amended_by array<string>"))
-    return opened.unionByName(unnumbered(placed, opened), allowMissingColumns=True)
-
-
-def unnumbered(placed: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Runs of blocks outside the clauses of depth one."""
-    top = numbered.where("depth = 1").select("doc", "s", "e")
-    points = placed.where("NOT is_heading").select("doc", "pos", "s", "e")
-    inside = overlap_join(points.withColumn("e", F.col("s") + 1), top, ["doc"]).select("doc", "pos").distinct().withColumn("inside", F.lit(True))
-    order = W.partitionBy("doc").orderBy("pos")
-    marked = placed.join(inside, ["doc", "pos"], "left").withColumn("out", ~F.coalesce("inside", F.lit(False)) & ~F.col("is_heading"))
-    runs = marked.withColumn("run", F.sum((~F.col("out")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).where("out")
-    held = runs.groupBy("doc", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum(F.length("text")).alias("chars")).where(F.col("chars") >= LEAST_RUN)
-    ref = F.concat(F.lit("U"), F.row_number().over(W.partitionBy("doc").orderBy("s")).cast("string"))
-    return held.select("doc", ref.alias("ref"), ref.alias("label"), F.lit("unnumbered").alias("kind"), F.lit(1).alias("depth"), "s", "e")
+    kind = dict(blocks.dtypes)["doc"]
+    schema = f"doc {kind}, ref string, label string, kind string, depth int, parent_ref string, chapter string, section string, s bigint, e bigint, amended_by array<string>"
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = lambda c: c.to_pylist() if c.null_count < len(c) else repeat(None, len(c))
+        rows = trees_of(row for b in batches for row in zip(*map(cells, b.columns)))
+        while part := list(islice(rows, 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), form.types)], schema=form)
+
+    dealt = clean_blocks(blocks).repartition("doc").sortWithinPartitions("doc", "pos").select("doc", "text", "is_heading", F.when(F.size("amended_by") > 0, F.col("amended_by")).alias("amended_by"))
+    form = to_arrow_schema(dealt.sparkSession.createDataFrame([], schema).schema)
+    return dealt.mapInArrow(build, schema)
 
 
 def document_text(blocks: DataFrame) -> DataFrame:
@@ -223,10 +242,14 @@ def passages(clauses: DataFrame, texts: DataFrame, covered: DataFrame) -> DataFr
 
 
 def ancestors(clauses: DataFrame) -> DataFrame:
-    """Rows (doc, ref, ancestor, steps) for every clause and what it lies under, by a recursive query."""
-    return clauses.sparkSession.sql("""
-        WITH RECURSIVE up AS (
-          SELECT doc, ref, parent_ref AS ancestor, 1 AS steps FROM {clauses} WHERE parent_ref IS NOT NULL
-          UNION ALL
-          SELECT up.doc, up.ref, c.parent_ref, up.steps + 1 FROM up JOIN {clauses} c ON c.doc = up.doc AND c.ref = up.ancestor WHERE c.parent_ref IS NOT NULL
-        ) SELECT doc, ref, ancestor, steps FROM up""", clauses=clauses.select("doc", "ref", "parent_ref"))
+    """Rows (doc, ref, ancestor, steps) for every clause and what it lies under, a step up at a time until nothing lies higher.
+
+    However many rows a step has: a recursive query stops at a million (spark.sql.cteRecursionRowLimit).
+    """
+    up = settled(clauses.where("parent_ref IS NOT NULL").select("doc", "ref", F.col("parent_ref").alias("ancestor")))
+    above = up.select("doc", F.col("ref").alias("ancestor"), F.col("ancestor").alias("__next"))
+    level = out = up.withColumn("steps", F.lit(1))
+    while not level.isEmpty():
+        level = settled(level.join(above, ["doc", "ancestor"]).select("doc", "ref", F.col("__next").alias("ancestor"), (F.col("steps") + 1).alias("steps")))
+        out = out.unionByName(level)
+    return out

@@ -193,6 +193,27 @@ def test_units_go_down_to_the_last_level(spark):
     assert all(got[k] > 0 for k in leaves)
 
 
+def test_ancestors_have_no_row_limit(spark):
+    tree = structure.clause_tree(blocks(spark, "5. First", "(1) one", "(i) roman", "(a) letter", "6. Second", "(1) one"))
+    limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "2")
+    try:
+        got = {(r.ref, r.ancestor, r.steps) for r in structure.ancestors(tree).collect()}
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
+    assert got == {("5(1)", "5", 1), ("5(1)(i)", "5(1)", 1), ("5(1)(i)", "5", 2), ("5(1)(i)(a)", "5(1)(i)", 1), ("5(1)(i)(a)", "5(1)", 2), ("5(1)(i)(a)", "5", 3), ("6(1)", "6", 1)}
+
+
+def test_trees_are_read_in_one_pass(spark):
+    long = "x" * 90
+    rows = [("a", 0, long, False, ["n0"]), ("a", 1, "1. x", False, ["n1"]), ("a", 2, "(a) y", False, []), ("a", 3, "Head", True, ["n2"]), ("a", 4, "short", False, None), ("a", 5, "Head", True, []), ("a", 6, long, False, []), ("a", 7, long, False, []), ("a", 8, "2. z", False, []), (None, 0, "1. w", False, []), ("b", 0, "1.1 v", False, []), ("b", 1, long, False, [])]
+    tree = structure.clause_tree(spark.createDataFrame(rows, "doc string, pos int, text string, is_heading boolean, amended_by array<string>"))
+    plan = tree._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "FlatMapGroups" not in plan
+    got = {(r.doc, r.ref): (r.s, r.e, r.depth, r.amended_by) for r in tree.collect()}
+    assert got == {("a", "1"): (91, 101, 1, ["n0", "n1"]), ("a", "1(a)"): (96, 101, 2, []), ("a", "2"): (300, 304, 1, ["n2"]), ("a", "U1"): (0, 90, 1, None), ("a", "U2"): (118, 299, 1, None), (None, "1"): (0, 4, 1, []), ("b", "1.1"): (0, 96, 2, []), ("b", "U1"): (0, 96, 1, None)}
+
+
 def test_smallest_clause_and_own_segments(spark):
     clauses = spark.createDataFrame([("d", "1", 0, 100), ("d", "1(1)", 10, 50), ("d", "1(2)", 50, 90), ("d", "1(1)(a)", 20, 30)], "doc string, ref string, s bigint, e bigint")
     points = spark.createDataFrame([("d", 1, 25), ("d", 2, 95), ("d", 3, 50), ("d", 4, 500)], "doc string, p int, at bigint")
