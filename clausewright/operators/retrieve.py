@@ -2,37 +2,167 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import body, content_words, cosine, once, sentences, word_pairs
+from ..functions.text import body, content_words, once, sentences, word_pairs
 from ..session import small
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = 64) -> DataFrame:
-    """The ``k`` nearest items of each query by cosine distance: rows (q_id, i_id, distance, rank); both have id and vec.
+def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = 8192) -> DataFrame:
+    """The ``k`` nearest items of each query by cosine distance: rows (q_id, i_id, distance, rank); both have id (a whole number) and vec.
 
-    Exact. Queries go in blocks of ``block`` vectors, so an item meets a block and not a query at a time; each
-    task keeps its own best ``k`` of a query before the shuffle. Equal distances rank by id.
+    Exact. Items and queries go in blocks of vectors, ``block`` on average, and a task multiplies a block of one with
+    one of the other as matrices. It keeps each query's best ``k`` so far, so that later blocks are only looked
+    through for what may beat them. What the product in single precision lets through is worked out again in
+    double precision. Equal distances rank by id.
     """
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        """Groups of at most ``block`` vectors."""
-        part = F.pmod(F.xxhash64("id"), F.lit(64))
-        numbered = rows.select("id", "vec", part.alias("p"), F.floor((F.row_number().over(W.partitionBy(part).orderBy("id")) - 1) / block).alias("b"))
-        return numbered.groupBy("p", "b").agg(F.collect_list(F.struct("id", "vec")).alias(name)).select(name)
-
-    def best(q: Column) -> Column:
-        """The block's best ``k`` items of a query."""
-        far = F.transform("items", lambda i: F.struct(F.round(1 - cosine(q["vec"], i["vec"]), 6).alias("distance"), i["id"].alias("i_id")))
-        return F.transform(F.slice(F.array_sort(F.filter(far, lambda x: x["distance"].isNotNull() & (x["i_id"] != q["id"]))), 1, k), lambda x: F.struct(q["id"].alias("q_id"), x["i_id"].alias("i_id"), x["distance"].alias("distance")))
-
-    grouped = blocks(queries, "qs")
-    few = small(grouped, 1000)
-    scored = blocks(items, "items").join(grouped if few is None else few).select(F.explode(F.flatten(F.transform("qs", best))).alias("s"))
-    rows = scored.select("s.q_id", "s.i_id", "s.distance")
+    def good(rows: DataFrame) -> DataFrame:
+        """Rows that are near something: no null, some length."""
+        return rows.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("id IS NOT NULL AND size(vec) > 0 AND NOT exists(vec, x -> x IS NULL)")
+
+    def blocks(rows: DataFrame, n: int) -> DataFrame:
+        dealt = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), F.size("vec").alias("dim")).agg(F.collect_list(F.struct("id", "vec")).alias("x"))
+        return dealt.select(F.struct("block", "dim", F.col("x.id").alias("ids"), F.flatten("x.vec").alias("vecs")).alias("x"))
+
+    kinds = dict(queries.dtypes)["id"], dict(items.dtypes)["id"]
+    asked, all_ = good(queries), good(items)
+    n, dim = all_.agg(F.count("*"), F.max(F.size("vec"))).first()
+    most = max(1, min(block, (1 << 20) // (dim or 1)))
+    q = blocks(asked, max(1, -(-asked.count() // max(1, most // 4)))).withColumnRenamed("x", "q")
+    few = small(q, 32)
+    # small tables in more blocks, so that all tasks have some
+    pairs = blocks(all_, max(1, -(-n // most), min(64, n // 256))).withColumnRenamed("x", "i").join(q if few is None else few)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in best_of_blocks(batches, k):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["q_id", "i_id", "distance"])
+
+    rows = pairs.select("i.*", *[F.col(f"q.{c}").alias(f"q_{c}") for c in ("block", "dim", "ids", "vecs")]).mapInArrow(run, "q_id bigint, i_id bigint, distance double")
+    named = rows.select(F.col("q_id").cast(kinds[0]).alias("q_id"), F.col("i_id").cast(kinds[1]).alias("i_id"), F.round("distance", 6).alias("distance"))
     rank = F.row_number().over(W.partitionBy("q_id").orderBy("distance", "i_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    return named.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+NO_KEY = np.iinfo(np.int64).max
+
+
+def in_turn(n: int, term) -> np.ndarray:
+    """``term(0) + term(1) + ...``, added in this order as a fold does."""
+    total = 0.0
+    for d in range(n):
+        total = total + term(d)
+    return total
+
+
+def millionths(distance: np.ndarray) -> np.ndarray:
+    """Distances rounded half up to 6 places, as whole numbers; NaN is greater than all numbers."""
+    x = np.nan_to_num(distance, nan=1e12, posinf=1e11, neginf=-1e11) * 1e6
+    key = np.floor(x + 0.5).astype(np.int64)
+    for j in np.flatnonzero(np.abs(x - np.floor(x) - 0.5) < 1e-3):  # where doubles can't tell
+        key[j] = int((Decimal(repr(float(distance[j]))) * 1000000).to_integral_value(ROUND_HALF_UP))
+    return key
+
+
+class Block:
+    """Vectors of one block by id, with their lengths and as unit vectors in single precision; ``copies`` of equal vectors stay at most."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, dim: int, copies: int | None = None):
+        order = np.argsort(ids, kind="stable")
+        ids, vecs = ids[order], vecs.reshape(-1, dim)[order]
+        if copies is not None:
+            same = np.unique(np.ascontiguousarray(vecs).view(np.dtype((np.void, 8 * dim))).ravel(), return_inverse=True)[1].ravel()
+            by = np.argsort(same, kind="stable")
+            first = np.flatnonzero(np.r_[True, same[by][1:] != same[by][:-1]])
+            nth = np.arange(len(by)) - np.repeat(first, np.diff(np.r_[first, len(by)]))
+            stay = np.sort(by[nth < copies])
+            ids, vecs = ids[stay], vecs[stay]
+        self.ids, self.t = ids, np.ascontiguousarray(vecs.T)
+        with np.errstate(all="ignore"):
+            self.square = in_turn(dim, lambda d: self.t[d] * self.t[d])
+            # lengths that single precision can't be trusted with
+            self.odd = ~((self.square > 1e-100) & (self.square < 1e100))
+            self.unit = np.where(self.odd[:, None], 0, vecs / np.sqrt(self.square)[:, None]).astype(np.float32)
+
+
+class Best:
+    """The best ``k`` of each query of a block so far."""
+
+    def __init__(self, q: Block, k: int):
+        n = len(q.ids)
+        self.q, self.key, self.id, self.distance = q, np.full((n, k), NO_KEY), np.zeros((n, k), np.int64), np.zeros((n, k))
+
+    def look(self, items: Block, a: int, b: int) -> None:
+        """Looks for better ones of queries ``a`` to ``b`` among the items."""
+        q, k, dim = self.q, self.key.shape[1], len(self.q.t)
+        near = q.unit[a:b] @ items.unit.T
+        near[:, items.odd] = -np.inf
+        slack = 2 * (dim + 8) * 1.2e-7 + 2e-6
+        last = self.key[a:b, -1]
+        least = np.where(last < NO_KEY, 1 - last * 1e-6, -np.inf)
+        if (last == NO_KEY).any() and near.shape[1] > k + 1:
+            # the query itself may be one of them
+            least = np.maximum(least, np.partition(near, near.shape[1] - k - 1, axis=1)[:, near.shape[1] - k - 1])
+        hit = near >= (least - slack)[:, None]
+        hit[:, items.odd] = True
+        hit[q.odd[a:b]] = True
+        row, col = np.nonzero(hit)
+        for s in range(0, len(row), 50_000):
+            self.add(items, row[s : s + 50_000] + a, col[s : s + 50_000])
+
+    def add(self, items: Block, row: np.ndarray, col: np.ndarray) -> None:
+        with np.errstate(all="ignore"):
+            size = np.sqrt(self.q.square[row] * items.square[col])
+            distance = 1 - in_turn(len(self.q.t), lambda d: self.q.t[d][row] * items.t[d][col]) / size
+        key, id_ = millionths(distance), items.ids[col]
+        last_key, last_id = self.key[row, -1], self.id[row, -1]
+        # a NaN size comes after all numbers, as in Spark
+        stay = ~(size <= 0) & (id_ != self.q.ids[row]) & ((key < last_key) | ((key == last_key) & (id_ < last_id)))
+        if not stay.any():
+            return
+        row, key, id_, distance = row[stay], key[stay], id_[stay], distance[stay]
+        k = self.key.shape[1]
+        some = np.unique(row)
+        held = [x[some].ravel() for x in (self.key, self.id, self.distance)]
+        row = np.r_[np.repeat(some, k), row]
+        key, id_, distance = (np.r_[x, y] for x, y in zip(held, (key, id_, distance)))
+        order = np.lexsort((id_, key, row))
+        first = np.searchsorted(row[order], some)
+        take = order[first[:, None] + np.arange(k)]
+        self.key[some], self.id[some], self.distance[some] = key[take], id_[take], distance[take]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        there = self.key < NO_KEY
+        return np.repeat(self.q.ids, there.sum(axis=1)), self.id[there], self.distance[there]
+
+
+def best_of_blocks(batches: Iterator[pa.RecordBatch], k: int, most: int = 2_000_000) -> Iterator[tuple]:
+    """Arrays (q_id, i_id, distance): each query's best ``k`` among the items it met; given out early where more than ``most`` rows would be held."""
+    best: dict[tuple, Best] = {}
+    at, items = None, None
+    for batch in batches:
+        columns = [batch.column(i) for i in range(batch.num_columns)]
+        for r in range(batch.num_rows):
+            block, dim, ids, vecs, q_block, q_dim, q_ids, q_vecs = (c[r].values.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) else c[r].as_py() for c in columns)
+            if dim != q_dim:
+                continue
+            if at != (block, dim):
+                at, items = (block, dim), Block(ids, vecs, dim, k + 1)
+            mine = best.get((q_block, dim))
+            if mine is None:
+                if (sum(len(b.q.ids) for b in best.values()) + len(q_ids)) * k > most:
+                    yield from (b.rows() for b in best.values())
+                    best = {}
+                mine = best[q_block, dim] = Best(Block(q_ids, q_vecs, dim), k)
+            for a in range(0, len(q_ids), 256):
+                mine.look(items, a, min(a + 256, len(q_ids)))
+    yield from (b.rows() for b in best.values())
 
 
 def greedy_distinct(ranked: DataFrame, group: list[str], order: list[str], keep: int, clash) -> DataFrame:

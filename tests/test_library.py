@@ -444,3 +444,28 @@ def test_wording(spark):
     assert r.a == "Report it." and r.d == "no tag  here"
     assert r.b == ["drops: ten", "adds: 12", "the prohibition is lost", "the duty is no longer mandatory"]
     assert r.c == "The policy's own date (approved 5 Jan 2024) is earlier than the amendment to this paragraph (in effect from 12 Jun 2025)."
+
+
+def test_nearest_multiplies_blocks_and_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vecs = [[float(x) for x in v] for v in rng.normal(size=(300, 6)).astype(np.float32)]
+    vecs[40:140] = [vecs[50]] * 100  # a large group of copies
+    vecs[7], vecs[8], vecs[9] = [0.0] * 6, None, [1.0, None, 0.0, 0.0, 0.0, 0.0]
+    vecs[10] = [1.0, 2.0]
+    vecs[11], vecs[12] = [x * 1e-120 for x in vecs[3]], [x * 1e120 for x in vecs[3]]
+    rows = spark.createDataFrame(list(enumerate(vecs)), "id int, vec array<double>")
+    found = retrieve.nearest(rows.where("id % 10 = 0 OR id BETWEEN 7 AND 12"), rows, 4, block=16)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.q_id, r["rank"]): (r.distance, r.i_id) for r in found.collect()}
+    want = {}
+    whole = {i: v for i, v in enumerate(vecs) if v and None not in v and any(v)}
+    for q in [i for i in whole if i % 10 == 0 or 7 <= i <= 12]:
+        far = []
+        for i, v in whole.items():
+            size = (sum(x * x for x in whole[q]) * sum(x * x for x in v)) ** 0.5
+            if i != q and len(v) == len(whole[q]) and size > 0:
+                far.append((round(1 - sum(x * y for x, y in zip(whole[q], v)) / size, 6), i))
+        want |= {(q, n + 1): x for n, x in enumerate(sorted(far)[:4])}
+    assert got == want
