@@ -6,6 +6,7 @@ tree is relational.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 from itertools import islice, repeat
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import canonical
-from ..session import settled
+from ..session import dealt_by, settled
 from .spans import own_segments, overlap_join, shared_length
 
 #: The marks that open a clause, and words that say a text sets a rule or defines a term.
@@ -96,7 +97,7 @@ def trees_of(rows: Iterable[tuple]) -> Iterator[tuple]:
             path = []
             chapter, section = (text, None) if text.lower().startswith("chapter") else (chapter, text)
             continue
-        number = DECIMAL.match(text) or PARAGRAPH.match(text)
+        number = (DECIMAL.match(text) or PARAGRAPH.match(text)) if text[0].isdecimal() else None
         bracket = None if number or not path else BRACKET.match(text)
         node = None
         if number:
@@ -112,17 +113,20 @@ def trees_of(rows: Iterable[tuple]) -> Iterator[tuple]:
             path = path[:open_at]
             node = {"ref": named(f"{path[-1]['ref']}({label})"), "label": label, "kind": kind, "depth": path[0]["depth"] + len(path), "parent_ref": path[-1]["ref"]}
         if node:
-            yield from closed(node["depth"], s - 1)
+            if open_ and open_[-1]["depth"] >= node["depth"]:
+                yield from closed(node["depth"], s - 1)
             node |= {"chapter": chapter, "section": section, "s": s, "amended_by": waiting}
             waiting = []
             path = [*path, node]
             open_.append(node)
-        if path:
-            path[-1]["amended_by"] = path[-1]["amended_by"] + marks
-        else:
-            waiting += marks
+        if marks:
+            if path:
+                path[-1]["amended_by"] = path[-1]["amended_by"] + marks
+            else:
+                waiting += marks
         if open_ and open_[0]["depth"] == 1:
-            yield from run_ended()
+            if run:
+                yield from run_ended()
         else:
             run = (run[0], at - 1, run[2] + len(text)) if run else (s, at - 1, len(text))
     yield from closed(0, at - 1)
@@ -131,7 +135,7 @@ def trees_of(rows: Iterable[tuple]) -> Iterator[tuple]:
 
 def clean_blocks(blocks: DataFrame) -> DataFrame:
     """``blocks`` in canonical form; empty ones go."""
-    return blocks.withColumn("text", canonical(F.coalesce("text", F.lit("")))).where("text <> ''")
+    return blocks.where(F.col("text").rlike(r"[^\s\u00A0]")).withColumn("text", canonical(F.col("text")))
 
 
 def placed_blocks(blocks: DataFrame) -> DataFrame:
@@ -154,11 +158,13 @@ def clause_tree(blocks: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = lambda c: c.to_pylist() if c.null_count < len(c) else repeat(None, len(c))
-        rows = trees_of(row for b in batches for row in zip(*map(cells, b.columns)))
+        rows = trees_of((doc, text, head, marks and json.loads(marks)) for b in batches for doc, text, head, marks in zip(*map(cells, b.columns)))
         while part := list(islice(rows, 5000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), form.types)], schema=form)
 
-    dealt = clean_blocks(blocks).repartition("doc").sortWithinPartitions("doc", "pos").select("doc", "text", "is_heading", F.when(F.size("amended_by") > 0, F.col("amended_by")).alias("amended_by"))
+    # as text: the size of a batch is taken at each row, which reads a list column's batch through
+    marks = F.when(F.size("amended_by") > 0, F.to_json("amended_by"))
+    dealt = dealt_by(clean_blocks(blocks), "doc").sortWithinPartitions("doc", "pos").select("doc", "text", "is_heading", marks.alias("marks"))
     form = to_arrow_schema(dealt.sparkSession.createDataFrame([], schema).schema)
     return dealt.mapInArrow(build, schema)
 
@@ -189,24 +195,32 @@ def units(clauses: DataFrame, texts: DataFrame) -> DataFrame:
     """Extraction units: rows (doc, ref, kind, start, text, cut, context), whole clauses of 2,500 characters at most, else lead-ins and children.
 
     A definition is split down to its leaves. Goes down the tree a level at a time, until a level is empty. A
-    clause without children that is longer than 2,500 characters is cut there; cut says how many it lost.
+    clause without children that is longer than 2,500 characters is cut there; cut says how many it lost. What
+    is split is told by spans, which lie within the texts, so that only units are held against these.
     """
-    q = quoted(clauses, texts).join(own_text(clauses, texts), ["doc", "ref"])
-    parents = clauses.where("parent_ref IS NOT NULL").select("doc", F.col("parent_ref").alias("ref")).distinct().withColumn("has_child", F.lit(True))
-    nodes = q.join(parents, ["doc", "ref"], "left").withColumn("unit_kind", F.when(F.coalesce("section", F.lit("")).rlike(r"(?i)\bdefinitions?\b"), "definition").otherwise("provision"))
-    whole = ((F.length("quote") <= UNIT_CHARS) & (F.col("unit_kind") == "provision")) | F.col("has_child").isNull()
-    nodes = settled(nodes)
+    unit_kind = F.when(F.coalesce("section", F.lit("")).rlike(r"(?i)\bdefinitions?\b"), "definition").otherwise("provision")
+    nodes = settled(clauses.select("doc", "ref", "parent_ref", unit_kind.alias("unit_kind"), "s", "e"))
+    long = nodes.where((F.col("e") - F.col("s") > UNIT_CHARS) | (F.col("unit_kind") == "definition")).select("doc", "ref", "s", "e")
+    child = nodes.where("parent_ref IS NOT NULL").select("doc", F.col("parent_ref").alias("ref"))
+    split = settled(long.join(child, ["doc", "ref"], "left_semi"))
     level = nodes.where("parent_ref IS NULL").withColumn("context", F.lit(""))
-    out = None
-    while out is None or not level.isEmpty():
-        leaf = level.where(whole).select("doc", "ref", "unit_kind", "s", F.substring("quote", 1, UNIT_CHARS).alias("text"), F.greatest(F.length("quote") - UNIT_CHARS, F.lit(0)).alias("cut"), "context")
-        lead = level.where(~whole & (F.col("own") != "")).select("doc", F.concat("ref", F.lit("#lead")).alias("ref"), "unit_kind", "s", F.col("own").alias("text"), F.lit(0).alias("cut"), "context")
-        part = leaf.unionByName(lead)
-        out = part if out is None else out.unionByName(part)
-        context = F.trim(F.concat_ws(" ", "context", "own"))
-        tail = F.substring(context, F.greatest(F.length(context) - CONTEXT_CHARS + 1, F.lit(1)), F.lit(CONTEXT_CHARS))
-        down = level.where(~whole).select("doc", F.col("ref").alias("parent_ref"), tail.alias("context"))
-        level = settled(nodes.join(down, ["doc", "parent_ref"]))
+    whole, leads = level, []
+    if not split.isEmpty():
+        some = nodes.join(split.select("doc").distinct(), "doc", "left_semi")
+        opened = settled(own_text(some, texts).join(split.select("doc", "ref"), ["doc", "ref"], "left_semi"))
+        whole = None
+        while whole is None or not level.isEmpty():
+            leaf = level.join(opened, ["doc", "ref"], "left_anti")
+            whole = leaf if whole is None else whole.unionByName(leaf)
+            open_ = settled(level.join(opened, ["doc", "ref"]))
+            leads.append(open_.where("own <> ''").select("doc", F.concat("ref", F.lit("#lead")).alias("ref"), "unit_kind", "s", F.col("own").alias("text"), F.lit(0).alias("cut"), "context"))
+            context = F.trim(F.concat_ws(" ", "context", "own"))
+            tail = F.substring(context, F.greatest(F.length(context) - CONTEXT_CHARS + 1, F.lit(1)), F.lit(CONTEXT_CHARS))
+            level = settled(nodes.join(open_.select("doc", F.col("ref").alias("parent_ref"), tail.alias("context")), ["doc", "parent_ref"]))
+    quotes = quoted(whole, texts)
+    out = quotes.select("doc", "ref", "unit_kind", "s", F.substring("quote", 1, UNIT_CHARS).alias("text"), F.greatest(F.length("quote") - UNIT_CHARS, F.lit(0)).alias("cut"), "context")
+    for lead in leads:
+        out = out.unionByName(lead)
     asks = F.col("text").rlike(NORMATIVE) | ((F.col("unit_kind") == "definition") & (F.length("text") >= 50) & F.col("text").rlike(DEFINES))
     return out.where(asks).select("doc", "ref", F.col("unit_kind").alias("kind"), F.col("s").alias("start"), "text", "cut", "context")
 

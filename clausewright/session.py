@@ -33,6 +33,11 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame | None:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else None
 
 
+def dealt_by(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` in tasks by ``columns``, for work that costs much more than its rows' bytes: never merged, as small shuffles are, into about as many tasks as cores of which some have twice the work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` worked out once and kept in the shared checkpoint folder, so that what follows starts from files that survive lost executors."""
     sc = df.sparkSession.sparkContext

@@ -193,6 +193,30 @@ def test_units_go_down_to_the_last_level(spark):
     assert all(got[k] > 0 for k in leaves)
 
 
+def test_units_build_the_tree_once(spark):
+    lines = ["#Definitions", "1. In this book:", "(a) a bank means a company that takes deposits from the public, and pays;", "(b) y", "#Rules", "2. Banks shall keep it " + "x" * 2500, "(a) and must file it", "(b) and may not", "3. Banks must report " + "z" * 2600]
+    book = blocks(spark, *lines)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    tree = structure.clause_tree(book)
+    once = tree.mapInArrow(counted, tree.schema)
+    got = {(r.ref, r.kind, r.start, r.text[:12], len(r.text), r.cut, r.context[:20]) for r in structure.units(once, structure.document_text(book)).collect()}
+    told = "x" * 20
+    assert got == {
+        ("1(a)", "definition", 29, "(a) a bank m", 73, 0, "1. In this book:"),
+        ("2#lead", "provision", 115, "2. Banks sha", 2523, 0, ""),
+        ("2(a)", "provision", 2639, "(a) and must", 20, 0, told),
+        ("2(b)", "provision", 2660, "(b) and may ", 15, 0, told),
+        ("3", "provision", 2676, "3. Banks mus", 2500, 121, ""),
+    }
+    assert seen.value == tree.count()
+
+
 def test_ancestors_have_no_row_limit(spark):
     tree = structure.clause_tree(blocks(spark, "5. First", "(1) one", "(i) roman", "(a) letter", "6. Second", "(1) one"))
     limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
