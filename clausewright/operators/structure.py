@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import canonical
 from ..session import dealt_by, settled
-from .spans import own_segments, overlap_join, shared_length
+from .spans import own_segments
 
 #: The marks that open a clause, and words that say a text sets a rule or defines a term.
 DECIMAL = re.compile(r"^(\d{1,2}(?:\.\d{1,2})+)\.?\s+")
@@ -237,7 +237,10 @@ def packed_sentences(text: Column, limit: int = PASSAGE_CHARS) -> Column:
 
     empty = F.array().cast("array<struct<s:int,e:int>>")
     start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("at"), empty.alias("out"))
-    return F.aggregate(parts, start, step, lambda st: F.when(st["at"] > st["s"], F.array_append(st["out"], F.struct(st["s"].alias("s"), st["at"].alias("e")))).otherwise(st["out"]))
+    packed = F.aggregate(parts, start, step, lambda st: F.when(st["at"] > st["s"], F.array_append(st["out"], F.struct(st["s"].alias("s"), st["at"].alias("e")))).otherwise(st["out"]))
+    # a text within the limit is one piece
+    alone = F.when(F.length(text) > 0, F.array(F.struct(F.lit(0).alias("s"), F.length(text).alias("e")))).otherwise(empty)
+    return F.when(F.length(text) <= limit, alone).otherwise(packed)
 
 
 def passages(clauses: DataFrame, texts: DataFrame, covered: DataFrame) -> DataFrame:
@@ -250,9 +253,18 @@ def passages(clauses: DataFrame, texts: DataFrame, covered: DataFrame) -> DataFr
     lead = F.length(piece) - F.length(strip(piece))
     text = F.regexp_replace(strip(piece), r"\s+$", "")
     found = each.select("doc", "ref", (F.col("s") + F.col("p.s") + lead).alias("s"), text.alias("text")).withColumn("e", F.col("s") + F.length("text")).where(F.length("text") >= LEAST_PASSAGE)
-    pairs = overlap_join(found, covered.select("doc", "s", "e"), ["doc"], how="left_outer")
-    inside = pairs.groupBy("doc", "ref", "s", "e", "text").agg(F.coalesce(F.sum(F.when(F.col("r_s").isNotNull(), shared_length(F.col("s"), F.col("e"), F.col("r_s"), F.col("r_e")))), F.lit(0)).alias("inside"))
-    return inside.where(F.col("inside") < COVERED * (F.col("e") - F.col("s"))).select("doc", "ref", "s", "e", "text")
+    if covered.isEmpty():
+        return found.select("doc", "ref", "s", "e", "text")
+    # what lies covered before a place, a span as often as it is given, follows from the starts and ends before it
+    spans = covered.where("s < e AND doc IS NOT NULL").select("doc", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("n")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("n")))).alias("x")).select("doc", "x.*")
+    both = found.unionByName(spans.withColumns({"s": F.col("at"), "e": F.col("at")}).drop("at"), allowMissingColumns=True)
+
+    def before(place: str) -> Column:
+        order = W.partitionBy("doc").orderBy(place).rangeBetween(W.unboundedPreceding, W.currentRow)
+        return F.coalesce(F.col(place) * F.sum("n").over(order) - F.sum(F.col("n") * F.col(place)).over(order), F.lit(0))
+
+    inside = both.withColumn("__s", before("s")).withColumn("__e", before("e")).where("n IS NULL")
+    return inside.where(F.col("__e") - F.col("__s") < COVERED * (F.col("e") - F.col("s"))).select("doc", "ref", "s", "e", "text")
 
 
 def ancestors(clauses: DataFrame) -> DataFrame:

@@ -248,6 +248,27 @@ def test_smallest_clause_and_own_segments(spark):
     assert own == {"1": [(0, 10), (90, 100)], "1(1)": [(10, 20), (30, 50)], "1(2)": [(50, 90)], "1(1)(a)": [(20, 30)]}
 
 
+def test_own_segments_in_one_pass(spark):
+    rows = [("d", "a", 0, 100), ("d", "a", 0, 100), ("d", "b", 10, 60), ("d", "c", 40, 80), ("d", "p", 70, 70), ("d", "z", 0, 0), ("d", "w", 100, 120), ("d", "t", 10, 60), ("e", "a", 5, 9), (None, "n", 0, 9), (None, "m", 2, 4), ("e", "x", None, 9)]
+    found = spans.own_segments(spark.createDataFrame(rows, "doc string, ref string, s bigint, e bigint"), ["doc"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    got = sorted((str(r.doc), r.ref, r.s, r.e) for r in found.collect())
+    assert got == [("None", "m", 2, 4), ("None", "n", 0, 9), ("d", "a", 0, 10), ("d", "a", 80, 100), ("d", "b", 10, 60), ("d", "c", 40, 70), ("d", "c", 70, 80), ("d", "t", 10, 60), ("d", "w", 100, 120), ("e", "a", 5, 9)]
+
+
+def test_passages_and_what_covers_them(spark):
+    lines = ["1. " + "a" * 97, "2. " + "b" * 97, "3. " + "c" * 97, "(a) " + "d" * 96]
+    book = blocks(spark, *lines)
+    # 80 of 100, 79 of 100, and 45 of 100 twice
+    covered = spark.createDataFrame([("d", 0, 50), ("d", 50, 80), ("d", 120, 199), ("d", 201, 247), ("d", 201, 247), ("d", 310, 310), ("x", 303, 403)], "doc string, s bigint, e bigint")
+    found = structure.passages(structure.clause_tree(book), structure.document_text(book), covered)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
+    assert sorted((r.ref, r.s, r.e) for r in found.collect()) == [("2", 101, 201), ("3(a)", 303, 403)]
+    none = structure.passages(structure.clause_tree(book), structure.document_text(book), covered.where("doc = 'y'"))
+    assert sorted((r.ref, r.text) for r in none.collect()) == [("1", lines[0]), ("2", lines[1]), ("3", lines[2]), ("3(a)", lines[3])]
+
+
 def test_letters_and_romans(spark):
     tree = structure.clause_tree(blocks(spark, "1. x", "(g) a", "(h) b", "(i) c", "(j) d"))
     assert {r.kind for r in tree.where("depth > 1").collect()} == {"alpha"}
