@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions.text import SENTENCE, body, content_words, force, light_stem, places, sentences, unordered_pairs
+from ..session import settled
 from .retrieve import windows, wording_matches
 from .spans import deepest_at
 
@@ -21,8 +22,9 @@ def compare(obligations: DataFrame, policies: DataFrame, key: str, stop: list[st
     In this order: no_similar_text, adds_words or loose below near verbatim, number_differs, optional,
     adds_words, same.
     """
-    best = wording_matches(obligations, policies, "id", "quote", key, "text", 1, stop)
-    text = windows(policies, key, "text")
+    # one row an obligation: only the documents that hold these windows are cut into windows again
+    best = settled(wording_matches(obligations, policies, "id", "quote", key, "text", 1, stop))
+    text = windows(policies.join(best.select(key).distinct(), key, "left_semi"), key, "text").join(best.select(key, "ordinal").distinct(), [key, "ordinal"], "left_semi")
     paired = obligations.join(best, "id", "left").join(text, [key, "ordinal"], "left")
     sentence, window, share = body(F.col("quote")), F.coalesce("window", F.lit("")), F.coalesce("share", F.lit(0.0))
     own = paired.select("id", "modality", share.alias("share"), window.alias("window"), sentence.alias("sentence"))

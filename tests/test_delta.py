@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clausewright.functions import text as T
 from clausewright.functions import variants as V
-from clausewright.operators import change, mutate, records, retrieve, rework, sequence, spans, undo, versioned
+from clausewright.operators import change, compare, mutate, records, retrieve, rework, sequence, spans, undo, versioned
 from clausewright.plans import delta, text
 
 
@@ -270,3 +270,11 @@ def test_no_task_numbers_a_whole_source(spark, tmp_path):
     assert "windowspecdefinition(source" not in found._jdf.queryExecution().optimizedPlan().toString()
     want = {("s" if i % 6 else None, i): n for of in (range(0, 60, 6), [i for i in range(0, 60, 2) if i % 6]) for n, i in enumerate(of, 1)}
     assert {(r.doc, int(r.text[5:])): r.pos for r in found.collect()} == want
+
+
+def test_only_documents_with_a_match_are_cut_again(spark):
+    asked = spark.createDataFrame([("o1", "The branch keeps signed records of every visit for ten years.", "must"), ("o2", "Quite unlike wording stands nowhere here today.", "must")], "id string, quote string, modality string")
+    policies = spark.createDataFrame([(1, "Each branch keeps signed records of every visit for five years."), (2, "Nothing that matters is written down in this one.")], "doc int, text string")
+    found = compare.compare(asked, policies, "doc")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") >= 2
+    assert {r.id: (r.kind, r.window) for r in found.collect()} == {"o1": ("number_differs", "Each branch keeps signed records of every visit for five years."), "o2": ("no_similar_text", "")}
