@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import calls, evaluate, guard, judge, retrieve
 from ..operators import rules as R
 from ..operators import versioned as V
-from ..session import table
+from ..session import settled, table
 
 QUERIES, SQL = {}, {}
 
@@ -393,10 +393,11 @@ def coverage_candidates(spark, sf):
     items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     ids = items.select(F.col("item_id").alias("id"))
-    semantic = retrieve.nearest(vectors.join(ids, "id", "left_semi"), vectors, 50)
+    # both lists are short and used twice
+    semantic = settled(retrieve.nearest(vectors.join(ids, "id", "left_semi"), vectors, 50))
     words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))).alias("word")
     met = items.select(F.col("item_id").alias("q_id"), words("text")).join(docs.select(F.col("doc_id").alias("i_id"), words("text")), "word").groupBy("q_id", "i_id").agg(F.count("*").alias("n"))
-    lexical = met.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("n"), "i_id"))).where("rank <= 3")
+    lexical = settled(met.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("n"), "i_id"))).where("rank <= 3"))
     found = lexical.select("q_id", "i_id").union(semantic.select("q_id", "i_id")).distinct()
     edited = found.join(docs.where(F.col("text").contains("***")).select(F.col("doc_id").alias("i_id")), "i_id", "left_semi")
     return retrieve.coverage_candidates(lexical, semantic, edited)
