@@ -65,6 +65,18 @@ def re_mapped(mapped: DataFrame, changes: DataFrame, clauses: DataFrame, extract
     return carried_over(mapped, changes).withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True)))
 
 
+def re_mapped_beside(versions: DataFrame, extract: Step, map_to: Step) -> DataFrame:
+    """As ``re_mapped``, where both versions of a clause stand in one row (doc, ref, old_text, new_text): nothing has to be joined.
+
+    A null text is a clause that the version doesn't have. Standing clauses take their old mapping, the rest is
+    extracted and mapped anew; each clause goes through the steps once.
+    """
+    of = lambda rows, text: map_to(extract(rows.select("doc", "ref", F.col(text).alias("text"))))
+    stands = versions.where("old_text = new_text")
+    redo = versions.where("new_text IS NOT NULL AND NOT old_text <=> new_text")
+    return of(stands, "old_text").withColumn("fresh", F.lit(False)).unionByName(of(redo, "new_text").withColumn("fresh", F.lit(True)))
+
+
 def committed(store: VersionStore, event: str, at: Column, mapped: DataFrame, changes: DataFrame, direct: DataFrame, note: str = "") -> None:
     """Appends the fresh rows of ``mapped`` to the store and closes what the changed clauses held, as one event.
 

@@ -113,6 +113,54 @@ def test_incremental_equals_full(spark, tmp_path):
         rework.committed(store, "second", day(3), named(out, 2), changes, direct)
 
 
+def test_versions_in_one_row_equal_full(spark):
+    """Standing, edited, new and repealed clauses, each through the steps once."""
+    texts = [("a. b", "a. b"), ("a. b", "a. c"), (None, "d"), ("e", None), ("", "f"), (None, None)]
+    both = spark.createDataFrame([(1, f"c{i}", *t) for i, t in enumerate(texts)], "doc int, ref string, old_text string, new_text string")
+    seen = []
+
+    def extract(rows):
+        seen.append(sorted(r.ref for r in rows.collect()))
+        return rows.select("doc", "ref", F.posexplode(F.split("text", r"\. ?")).alias("nth", "sentence"))
+
+    map_to = lambda rows: rows.withColumn("control", F.upper("sentence"))
+    got = sorted(tuple(r) for r in rework.re_mapped_beside(both, extract, map_to).drop("doc").collect())
+    assert got == [("c0", 0, "a", "A", False), ("c0", 1, "b", "B", False), ("c1", 0, "a", "A", True), ("c1", 1, "c", "C", True), ("c2", 0, "d", "D", True), ("c4", 0, "f", "F", True)]
+    assert seen == [["c0"], ["c1", "c2", "c4"]]
+
+
+def test_incremental_remap_shuffles_nothing_and_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    text = "The the cat sat on the mat in in Rome today. Each dog sleeps; no bird of of paradise sings here\n\nİ said: the owner keeps a register of visitors; the owner keeps a register of visitors"
+    many = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
+    docs = [(1, text), (2, None), (3, ""), (None, text), (4, "nothing that anybody shares with it, 1234 5678. " + many), (5, "cat dog cat dog cat dog cat dog. " + "é" * 30)]
+    items = [(9, "a cat and a dog"), (3, "a dog and a cat"), (7, "register of visitors, owner"), (5, None), (11, many)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = delta.incremental_remap(spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    columns = ["doc", "ref", "nth", "sentence", "control_id", "shared", "fresh"]
+    want = sorted(map(repr, con.sql(f"SELECT {', '.join(columns)} FROM ({delta.SQL['incremental_remap']})").fetchall()))
+    got = found.select(columns).collect()
+    assert sorted(repr(tuple(r)) for r in got) == want
+    assert {r.control_id for r in got if r.doc == 1} == {3, 7} and {r.shared for r in got if r.doc == 4} == {0, 600}
+
+
+def test_controls_in_tasks_or_joined_give_the_same(spark):
+    rows = spark.createDataFrame([(1, "L0", 0, "alpha beta, Beta gamma"), (1, "L0", 1, "1 2 3"), (2, "L1", 0, "beta"), (2, "L2", 0, "delta")], "doc bigint, ref string, nth int, sentence string")
+    controls = spark.createDataFrame([("y", "alpha"), ("y", "beta"), ("x", "beta"), ("x", "gamma"), ("z", "delta")], "item_id string, word string")
+    for of in (controls, controls.where("false")):
+        here, joined = delta.mapped_to(of)(rows), delta.mapped_to(of, most=of.count() - 1)(rows)
+        assert here.dtypes == joined.dtypes
+        got = sorted(map(repr, here.collect()))
+        assert got == sorted(map(repr, joined.collect()))
+    assert sorted(repr(r.control_id) for r in delta.mapped_to(controls)(rows).collect()) == ["'x'", "'x'", "'z'", "None"]
+
+
 def test_units_of_changed_clauses(spark):
     units = spark.createDataFrame([(1, 0, "a" * 10), (1, 10, "b" * 10), (1, 20, "c" * 10), (2, 0, "d" * 10)], "doc int, start int, text string")
     clauses = spark.createDataFrame([(1, "x", 0, 30, 1), (1, "x(1)", 12, 18, 2), (2, "y", 0, 10, 1)], "doc int, ref string, s bigint, e bigint, depth int")
