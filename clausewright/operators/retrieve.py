@@ -7,6 +7,8 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,39 +20,79 @@ from ..session import small
 def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = 8192) -> DataFrame:
     """The ``k`` nearest items of each query by cosine distance: rows (q_id, i_id, distance, rank); both have id (a whole number) and vec.
 
-    Exact. Items and queries go in blocks of vectors, ``block`` on average, and a task multiplies a block of one with
-    one of the other as matrices. It keeps each query's best ``k`` so far, so that later blocks are only looked
-    through for what may beat them. What the product in single precision lets through is worked out again in
-    double precision. Equal distances rank by id.
+    Exact, and every pair is computed. Items and queries go in packed blocks of vectors, ``block`` at most, and a
+    task multiplies each block of its share of the items with each of its share of the queries as matrices. It keeps
+    each query's best ``k`` so far, so that later blocks are only looked through for what may beat them. What the
+    product in single precision lets through is worked out again in double precision. Equal distances rank by id.
+    A task holds the queries of its share, whose size is bounded, and streams the items; queries are dealt to more
+    tasks before items are, since each share of the items returns ``k`` rows a query.
     """
     def good(rows: DataFrame) -> DataFrame:
         """Rows that are near something: no null, some length."""
         return rows.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("id IS NOT NULL AND size(vec) > 0 AND NOT exists(vec, x -> x IS NULL)")
 
-    def blocks(rows: DataFrame, n: int) -> DataFrame:
-        dealt = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), F.size("vec").alias("dim")).agg(F.collect_list(F.struct("id", "vec")).alias("x"))
-        return dealt.select(F.struct("block", "dim", F.col("x.id").alias("ids"), F.flatten("x.vec").alias("vecs")).alias("x"))
+    def blocks(rows: DataFrame, size: int, parts: int) -> DataFrame:
+        return good(rows).mapInArrow(lambda batches: packed(batches, size), "block bigint, dim int, ids binary, vecs binary").repartition(parts)
 
     kinds = dict(queries.dtypes)["id"], dict(items.dtypes)["id"]
-    asked, all_ = good(queries), good(items)
-    n, dim = all_.agg(F.count("*"), F.max(F.size("vec"))).first()
-    most = max(1, min(block, (1 << 20) // (dim or 1)))
-    q = blocks(asked, max(1, -(-asked.count() // max(1, most // 4)))).withColumnRenamed("x", "q")
-    few = small(q, 32)
-    # small tables in more blocks, so that all tasks have some
-    pairs = blocks(all_, max(1, -(-n // most), min(64, n // 256))).withColumnRenamed("x", "i").join(q if few is None else few)
+    sizes = F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(1)).alias("dim")
+    (n, dim), (n_q, dim_q) = (good(x).agg(*sizes).first() for x in (items, queries))
+    most = max(1, min(block, (1 << 20) // max(dim, dim_q)))
+    tasks = 2 * queries.sparkSession.sparkContext.defaultParallelism
+    q_parts = max(1, min(tasks, n_q // 256), -(-held(n_q, dim_q, k) * 2 // HELD))
+    i_parts = max(1, min(-(-tasks // q_parts), n // 256), n * dim * 8 >> 27)
+    q = blocks(queries, min(max(1, most // 4), max(256, n_q // (4 * q_parts))), q_parts)
+    i = blocks(items, min(most, max(256, n // (4 * i_parts))), i_parts)
+    pairs = i.crossJoin(q.select(*[F.col(c).alias(f"q_{c}") for c in q.columns]).hint("shuffle_replicate_nl"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in best_of_blocks(batches, k):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["q_id", "i_id", "distance"])
 
-    rows = pairs.select("i.*", *[F.col(f"q.{c}").alias(f"q_{c}") for c in ("block", "dim", "ids", "vecs")]).mapInArrow(run, "q_id bigint, i_id bigint, distance double")
+    rows = pairs.mapInArrow(run, "q_id bigint, i_id bigint, distance double")
     named = rows.select(F.col("q_id").cast(kinds[0]).alias("q_id"), F.col("i_id").cast(kinds[1]).alias("i_id"), F.round("distance", 6).alias("distance"))
     rank = F.row_number().over(W.partitionBy("q_id").orderBy("distance", "i_id"))
     return named.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 NO_KEY = np.iinfo(np.int64).max
+#: Numbers that a task holds of its queries at most.
+HELD = 16_000_000
+
+
+def held(n: int, dim: int, k: int) -> int:
+    """Numbers held for ``n`` queries: vectors in double and single precision, and their best ``k``."""
+    return n * (2 * dim + 3 * k)
+
+
+def packed(batches: Iterator[pa.RecordBatch], size: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Blocks (block, dim, ids, vecs) of ``size`` vectors of one length at most, from rows (id, vec); numbers go as bytes, which are cheap to move."""
+    waiting: dict[int, list] = {}
+    n, part = 0, TaskContext.get().partitionId() << 32
+
+    def block(dim: int) -> pa.RecordBatch:
+        nonlocal n
+        ids, vecs = (np.concatenate(x) for x in zip(*waiting.pop(dim)))
+        n += 1
+        return pa.RecordBatch.from_arrays([pa.array([part + n], pa.int64()), pa.array([dim], pa.int32()), pa.array([ids.tobytes()]), pa.array([vecs.tobytes()])], names=["block", "dim", "ids", "vecs"])
+
+    for batch in batches:
+        dims = pc.list_value_length(batch.column(1)).to_numpy()
+        for dim in map(int, np.unique(dims)):
+            of = batch.filter(pa.array(dims == dim))
+            ids, vecs = of.column(0).to_numpy(), pc.list_flatten(of.column(1)).to_numpy().reshape(-1, dim)
+            at = 0
+            while at < len(ids):
+                mine = waiting.setdefault(dim, [])
+                take = size - sum(len(x) for x, _ in mine)
+                mine.append((ids[at : at + take], vecs[at : at + take]))
+                at += take
+                if at <= len(ids):  # the block is whole
+                    yield block(dim)
+        # of many lengths, none may have a whole block
+        if sum(v.size for x in waiting.values() for _, v in x) > most:
+            yield from [block(dim) for dim in list(waiting)]
+    yield from [block(dim) for dim in list(waiting)]
 
 
 def in_turn(n: int, term) -> np.ndarray:
@@ -102,17 +144,26 @@ class Best:
         """Looks for better ones of queries ``a`` to ``b`` among the items."""
         q, k, dim = self.q, self.key.shape[1], len(self.q.t)
         near = q.unit[a:b] @ items.unit.T
-        near[:, items.odd] = -np.inf
         slack = 2 * (dim + 8) * 1.2e-7 + 2e-6
         last = self.key[a:b, -1]
         least = np.where(last < NO_KEY, 1 - last * 1e-6, -np.inf)
+        odd = bool(items.odd.any() or q.odd[a:b].any())
+        if odd:
+            near[:, items.odd] = -np.inf
         if (last == NO_KEY).any() and near.shape[1] > k + 1:
             # the query itself may be one of them
             least = np.maximum(least, np.partition(near, near.shape[1] - k - 1, axis=1)[:, near.shape[1] - k - 1])
-        hit = near >= (least - slack)[:, None]
-        hit[:, items.odd] = True
-        hit[q.odd[a:b]] = True
-        row, col = np.nonzero(hit)
+        least = least - slack
+        if odd:
+            hit = near >= least[:, None]
+            hit[:, items.odd] = True
+            hit[q.odd[a:b]] = True
+            row, col = np.nonzero(hit)
+        else:
+            # few queries have better ones in a block, once they have met some
+            some = np.flatnonzero(near.max(axis=1) >= least)
+            row, col = np.divmod(np.flatnonzero(near[some] >= least[some, None]), near.shape[1])
+            row = some[row]
         for s in range(0, len(row), 50_000):
             self.add(items, row[s : s + 50_000] + a, col[s : s + 50_000])
 
@@ -142,21 +193,21 @@ class Best:
         return np.repeat(self.q.ids, there.sum(axis=1)), self.id[there], self.distance[there]
 
 
-def best_of_blocks(batches: Iterator[pa.RecordBatch], k: int, most: int = 2_000_000) -> Iterator[tuple]:
-    """Arrays (q_id, i_id, distance): each query's best ``k`` among the items it met; given out early where more than ``most`` rows would be held."""
+def best_of_blocks(batches: Iterator[pa.RecordBatch], k: int, most: int = HELD) -> Iterator[tuple]:
+    """Arrays (q_id, i_id, distance): each query's best ``k`` among the items it met; given out early where more than ``most`` numbers would be held."""
     best: dict[tuple, Best] = {}
     at, items = None, None
     for batch in batches:
-        columns = [batch.column(i) for i in range(batch.num_columns)]
         for r in range(batch.num_rows):
-            block, dim, ids, vecs, q_block, q_dim, q_ids, q_vecs = (c[r].values.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) else c[r].as_py() for c in columns)
+            block, dim, q_block, q_dim = (batch.column(i)[r].as_py() for i in (0, 1, 4, 5))
             if dim != q_dim:
                 continue
+            ids, vecs, q_ids, q_vecs = (np.frombuffer(batch.column(i)[r].as_buffer(), kind) for i, kind in ((2, np.int64), (3, float), (6, np.int64), (7, float)))
             if at != (block, dim):
                 at, items = (block, dim), Block(ids, vecs, dim, k + 1)
             mine = best.get((q_block, dim))
             if mine is None:
-                if (sum(len(b.q.ids) for b in best.values()) + len(q_ids)) * k > most:
+                if sum(held(len(b.q.ids), len(b.q.t), k) for b in best.values()) + held(len(q_ids), dim, k) > most:
                     yield from (b.rows() for b in best.values())
                     best = {}
                 mine = best[q_block, dim] = Best(Block(q_ids, q_vecs, dim), k)

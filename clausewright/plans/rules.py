@@ -290,14 +290,15 @@ KNN_SQL = """WITH s AS (SELECT q.vec_id AS q_id, i.vec_id AS i_id, i.label, roun
 r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, i_id) AS rank FROM s)"""
 
 
-def nearest(spark, sf, k):
+def nearest(spark, sf, k, asked="id % 50 = 0"):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return retrieve.nearest(vectors.where("id % 50 = 0"), vectors, k)
+    return retrieve.nearest(vectors.where(asked), vectors, k)
 
 
-@query(KNN_SQL + " SELECT q_id, i_id, distance, rank FROM r WHERE rank <= 5")
+@query(KNN_SQL.replace("q.vec_id % 50 = 0 AND ", "") + " SELECT q_id, i_id, distance, rank FROM r WHERE rank <= 5")
 def knn_topk(spark, sf):
-    return nearest(spark, sf, 5)
+    """The five nearest vectors of every vector."""
+    return nearest(spark, sf, 5, "true")
 
 
 @query(KNN_SQL + """, f AS (SELECT *, row_number() OVER (PARTITION BY q_id, label ORDER BY rank) AS of_label FROM r WHERE rank <= 20), k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rank) AS kept_rank FROM f WHERE of_label = 1)

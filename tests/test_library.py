@@ -514,3 +514,34 @@ def test_nearest_multiplies_blocks_and_equals_brute_force(spark):
                 far.append((round(1 - sum(x * y for x, y in zip(whole[q], v)) / size, 6), i))
         want |= {(q, n + 1): x for n, x in enumerate(sorted(far)[:4])}
     assert got == want
+
+
+def test_nearest_holds_few_queries_at_a_time(spark):
+    """Blocks dealt to several tasks, and queries given out early, make the same ranking."""
+    import numpy as np
+    import pyarrow as pa
+
+    vecs = np.random.default_rng(6).normal(size=(1500, 5))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "id bigint, vec array<double>").repartition(3)
+    found = retrieve.nearest(rows, rows, 3, block=100)
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    unit = vecs / np.linalg.norm(vecs, axis=1)[:, None]
+    far = np.round(1 - unit @ unit.T, 6)
+    np.fill_diagonal(far, 9)
+    want = {(q, n + 1): int(i) for q in range(1500) for n, i in enumerate(np.lexsort((np.arange(1500), far[q]))[:3])}
+    assert {(r.q_id, r["rank"]): r.i_id for r in found.collect()} == want
+    block = lambda n, a, b: {"block": n, "dim": 5, "ids": np.arange(a, b).tobytes(), "vecs": vecs[a:b].tobytes()}
+    pairs = [block(i, 50 * i, 50 * i + 50) | {f"q_{c}": v for c, v in block(q, 20 * q, 20 * q + 20).items()} for i in range(4) for q in range(5)]
+    batch = pa.RecordBatch.from_pylist(pairs)
+    at_once, early = (list(zip(*(np.concatenate(x) for x in zip(*retrieve.best_of_blocks(iter([batch]), 3, most))))) for most in (10**9, 900))
+    assert len(at_once) == 100 * 3 and len(early) > len(at_once) and set(at_once) <= set(early)
+
+
+def test_knn_topk_asks_every_vector(spark):
+    from clausewright.plans import rules
+
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    found = rules.knn_topk(spark, folder)
+    assert found.count() == 5 * rows.count() and found.select("q_id").distinct().count() == rows.count()
+    assert "% 50" not in rules.SQL["knn_topk"] and "q.vec_id % 50 = 0" in rules.SQL["knn_dedupe"]
